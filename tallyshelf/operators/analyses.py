@@ -127,11 +127,12 @@ def null_checks(tables: dict[str, DataFrame]) -> DataFrame:
     """Nulls per column; one pass per table."""
     parts = []
     for name, df in tables.items():
-        checks = [
-            _check("null", name, c, F.count_if(F.col(f"`{c}`").isNull()), F.count("*"))
+        counts = ", ".join(
+            f"named_struct('check_name', 'null', 'table_name', '{name}', 'column_name', '{c}', "
+            f"'failed', count_if(`{c}` IS NULL), 'checked', count(*))"
             for c in df.columns
-        ]
-        parts.append(df.agg(F.array(*checks).alias("checks")).select(F.inline("checks")))
+        )
+        parts.append(df.agg(F.expr(f"array({counts})").alias("checks")).select(F.inline("checks")))
     return reduce(DataFrame.unionByName, parts)
 
 

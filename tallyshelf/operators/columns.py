@@ -5,11 +5,11 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyshelf.schemas import TABLES
+from tallyshelf.schemas import TABLES, TableSpec
 
 # The letters that stand for the tables, and the rule for suggestions.
 DEFAULT_ALIASES = {
@@ -37,23 +37,33 @@ def _pairs(text: Column, pattern: str) -> Column:
     return F.arrays_zip(first.alias("first"), second.alias("second"))
 
 
-def _table_of(qualifier: Column, relations: Column) -> Column:
-    """What ``qualifier`` stands for: a relation of this query first, else the usual letter."""
+def _text(value: str) -> str:
+    return f"'{value}'"
+
+
+def _usual_tables() -> Column:
+    """A constant map from the usual letters and names to tables."""
+    pairs = [_text(word) for pair in DEFAULT_ALIASES.items() for word in pair]
+    return F.expr(f"map({', '.join(pairs)})")
+
+
+def _known_names() -> Column:
+    """A constant array of every ``table.column``."""
+    names = [_text(f"{t}.{c}") for t, spec in TABLES.items() for c in spec.columns]
+    return F.expr(f"array({', '.join(names)})")
+
+
+def _meant(reference: Column, relations: Column) -> Column:
+    """``table.column`` of a reference; its qualifier is a relation of this query first, else the
+    usual letter, else nothing."""
+    qualifier = reference["first"]
     bound = F.filter(
         relations,
         lambda r: F.when(r["second"] == "", r["first"]).otherwise(r["second"]) == qualifier,
     )
-    usual = F.lit(None).cast("string")
-    for alias, table in DEFAULT_ALIASES.items():
-        usual = F.when(qualifier == alias, table).otherwise(usual)
-    return F.coalesce(F.get(bound, F.lit(0))["first"], usual)
-
-
-def _unknown(reference: Column) -> Column:
-    known = F.lit(False)
-    for name, spec in TABLES.items():
-        known = known | ((reference["first"] == name) & reference["second"].isin(spec.columns))
-    return reference["first"].isin(list(TABLES)) & ~known
+    usual = F.try_element_at(_usual_tables(), qualifier)
+    table = F.coalesce(F.get(bound, F.lit(0))["first"], usual)
+    return F.concat(table, F.lit("."), reference["second"])
 
 
 def audit_columns(log: DataFrame, query_id: str = "query_id", sql: str = "sql") -> DataFrame:
@@ -68,30 +78,32 @@ def audit_columns(log: DataFrame, query_id: str = "query_id", sql: str = "sql")
         _pairs(F.lower(F.col(sql)), _RELATION).alias("relations"),
         _pairs(F.lower(F.col(sql)), _REFERENCE).alias("refs"),
     )
-    resolved = F.transform(
-        "refs",
-        lambda r: F.struct(
-            _table_of(r["first"], F.col("relations")).alias("first"), r["second"].alias("second")
-        ),
-    )
-    missing = F.array_distinct(F.filter(resolved, _unknown))
-    return parsed.select(F.col(query_id), F.explode(missing).alias("ref")).select(
-        query_id, F.col("ref.first").alias("table_name"), F.col("ref.second").alias("column_name")
-    )
-
-
-def column_dictionary(spark: SparkSession) -> DataFrame:
-    """Every declared column with its position, synonyms and place in the synonym list."""
-    rows = []
-    for name, spec in TABLES.items():
+    meant = F.transform("refs", lambda reference: _meant(reference, F.col("relations")))
+    # array_except also removes repeats.
+    missing = parsed.select(F.col(query_id), F.explode(F.array_except(meant, _known_names())).alias("name"))
+    return missing.select(
+        query_id,
+        F.substring_index("name", ".", 1).alias("table_name"),
+        F.substring_index("name", ".", -1).alias("column_name"),
+    ).where(F.col("table_name").isin(list(TABLES)))
+
+
+def _candidates() -> Column:
+    """A constant map from table to its columns: position, synonyms, place in the synonym list."""
+    def entry(spec: TableSpec, position: int, column: str) -> str:
         order = list(spec.synonyms)
-        for position, column in enumerate(spec.columns, start=1):
-            place = order.index(column) + 1 if column in order else None
-            rows.append((name, column, position, spec.synonyms.get(column, []), place))
-    return spark.createDataFrame(
-        rows,
-        "table_name string, candidate string, position int, synonyms array<string>, place int",
-    )
+        place = order.index(column) + 1 if column in order else "NULL"
+        synonyms = ", ".join(_text(s) for s in spec.synonyms.get(column, []))
+        return (
+            f"named_struct('candidate', '{column}', 'position', {position}, "
+            f"'synonyms', CAST(array({synonyms}) AS ARRAY<STRING>), 'place', CAST({place} AS INT))"
+        )
+
+    tables = [
+        f"'{name}', array({', '.join(entry(spec, i, c) for i, c in enumerate(spec.columns, 1))})"
+        for name, spec in TABLES.items()
+    ]
+    return F.expr(f"map({', '.join(tables)})")
 
 
 def gestalt_ratio(candidate: Column, word: Column) -> Column:
@@ -121,12 +133,12 @@ def suggest_columns(
 
     Only distinct names are compared, each with the at most 25 columns of its table.
     """
-    dictionary = F.broadcast(column_dictionary(missing.sparkSession))  # one row per declared column
     names = missing.select(
         F.lower(F.trim("table_name")).alias("table_name"),
         F.lower(F.trim("column_name")).alias("column_name"),
     ).distinct()
-    pairs = names.join(dictionary, "table_name")
+    columns = F.try_element_at(_candidates(), F.col("table_name"))
+    pairs = names.select("table_name", "column_name", F.inline(columns))
     word, candidate = F.col("column_name"), F.col("candidate")
     if similarity == "gestalt":
         ratio = gestalt_ratio(candidate, word)

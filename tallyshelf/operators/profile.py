@@ -17,31 +17,27 @@ SUGGESTION_SAMPLE_CHARS = 80
 PREVIEW_ROWS = 50
 
 
-def _sample(field: T.StructField, chars: int, no_sample: Collection[type]) -> Column:
+def _sample(field: T.StructField, chars: int, no_sample: Collection[type]) -> str:
     """A value that does not depend on row order: the smallest, as text, cut to ``chars``."""
-    column = F.col(f"`{field.name}`")
     if isinstance(field.dataType, tuple(no_sample)):
-        return F.lit(None).cast("string")
+        return "CAST(NULL AS STRING)"
     if isinstance(field.dataType, T.StringType):
         # The prefix of the smallest text is the smallest prefix; long texts stay out of buffers.
-        return F.min(F.substring(column, 1, chars))
+        return f"min(substring(`{field.name}`, 1, {chars}))"
     if isinstance(field.dataType, T.TimestampNTZType):
-        return F.date_format(F.min(column), "yyyy-MM-dd HH:mm:ss")
-    return F.substring(F.min(column).cast("string"), 1, chars)
+        return f"date_format(min(`{field.name}`), 'yyyy-MM-dd HH:mm:ss')"
+    return f"substring(CAST(min(`{field.name}`) AS STRING), 1, {chars})"
 
 
 def _manifest_of(name: str, df: DataFrame, chars: int, no_sample: Collection[type]) -> DataFrame:
-    entries = [
-        F.struct(
-            F.lit(f.name).alias("column_name"),
-            F.lit(position).cast("bigint").alias("position"),
-            F.lit(f.dataType.simpleString()).alias("data_type"),
-            F.coalesce(F.bool_or(F.col(f"`{f.name}`").isNull()), F.lit(False)).alias("has_nulls"),
-            _sample(f, chars, no_sample).alias("sample"),
-        )
+    entries = ", ".join(
+        f"named_struct('column_name', '{f.name}', 'position', {position}L, "
+        f"'data_type', '{f.dataType.simpleString()}', "
+        f"'has_nulls', coalesce(bool_or(`{f.name}` IS NULL), FALSE), "
+        f"'sample', {_sample(f, chars, no_sample)})"
         for position, f in enumerate(df.schema.fields, start=1)
-    ]
-    return df.agg(F.array(*entries).alias("columns")).select(
+    )
+    return df.agg(F.expr(f"array({entries})").alias("columns")).select(
         F.lit(name).alias("table_name"), F.inline("columns")
     )
 

@@ -36,6 +36,10 @@ REPLY_DECORATIONS = [
     "```sql", "```", "Here is the SQL:", "Here’s the SQL:", "Here is the query:", "SQL:", "Query:",
 ]
 
+# From where a query starts to the end; prose may say "with", a WITH clause names a query.
+_QUERY = r"(?is)(?:\bselect\b|\bwith\s+(?:recursive\s+)?\w+\s+as\s*\().*"
+_WHITESPACE = " \t\n\r\f\v"
+
 
 def _any_word(text: Column, words: Sequence[str]) -> Column:
     return text.rlike("|".join(re.escape(w) for w in words))
@@ -101,18 +105,11 @@ def clean_sql(reply: Column) -> Column:
     text = F.coalesce(reply, F.lit(""))
     for words in REPLY_DECORATIONS:
         text = F.replace(text, F.lit(words), F.lit(""))
-    start = F.regexp_instr(text, F.lit(r"(?i)\bselect\b|\bwith\s+(?:recursive\s+)?\w+\s+as\s*\("))
-    query = F.when(start > 0, F.substring(text, start, F.length(text))).otherwise(text)
+    query = F.regexp_extract(text, _QUERY, 0)
     query = F.regexp_replace(query, r"--[^\n]*", "")
     query = F.regexp_replace(query, r"(?s)/\*.*?\*/", "")
-    parts = F.transform(F.split(query, ";"), _strip)
-    return F.coalesce(
-        F.get(F.filter(parts, lambda p: p.rlike(r"(?i)^(select|with)")), F.lit(0)), F.lit("")
-    )
-
-
-def _strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    queries = F.filter(F.split(query, ";"), lambda part: part.rlike(r"(?i)^\s*(select|with)"))
+    return F.coalesce(F.btrim(F.get(queries, F.lit(0)), F.lit(_WHITESPACE)), F.lit(""))
 
 
 def clean_sql_log(replies: DataFrame, text: str = "reply") -> DataFrame:

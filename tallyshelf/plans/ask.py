@@ -15,8 +15,7 @@ def ask(question: str, tables: dict[str, DataFrame]) -> DataFrame:
     by the same expressions that label whole question logs.
     """
     orders, inventory, mg = tables["orders"], tables["inventory"], tables["mg"]
-    spark = orders.sparkSession
-    asked = spark.createDataFrame([(question,)], "question string")
+    asked = orders.sparkSession.sql("SELECT :asked AS question", args={"asked": question})
     label = route_questions(asked).first()
     if label.route == "total_customers":
         return sales.total_customers(orders)

@@ -62,8 +62,9 @@ def enforce_schema(df: DataFrame, spec: TableSpec) -> DataFrame:
     Columns are cast to the declared type; text columns should go through ``coerce_types`` first.
     """
     present = set(df.columns)
-    return df.select(*[
-        (F.col(f"`{f.name}`") if f.name in present else F.lit(None)).cast(f.dataType).alias(f.name)
+    return df.selectExpr(*[
+        f"CAST({f'`{f.name}`' if f.name in present else 'NULL'} AS {f.dataType.simpleString()})"
+        f" AS `{f.name}`"
         for f in spec.schema.fields
     ])
 

@@ -14,30 +14,47 @@ from tallyshelf.schemas import INVENTORY, MG, ORDERS
 from tallyshelf.sources.conform import enforce_schema
 
 
-def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+# The columns used, so that no job has to open files to find a schema.
+SOURCE_COLUMNS = {
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+                "l_extendedprice double, l_returnflag string, l_linestatus string, "
+                "l_shipdate timestamp_ntz",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, "
+              "o_orderdate timestamp_ntz",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, "
+            "p_retailprice double",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_mktsegment string",
+    "nation": "n_nationkey int, n_name string",
+    "documents": "doc_id bigint, text string, lang string, source string",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
+
+
+def source(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """One table of the warehouse."""
+    return spark.read.schema(SOURCE_COLUMNS[name]).parquet(f"{folder}/{name}.parquet")
 
 
 def order_lines(spark: SparkSession, folder: str) -> DataFrame:
     """The order columns that a line carries itself: no join."""
-    line = _read(spark, folder, "lineitem")
-    return line.select(
-        F.col("l_orderkey").alias("order_id"),
-        F.col("l_partkey").alias("product_id"),
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("inventory_item_id"),
-        F.col("l_shipdate").alias("shipped_at"),
-        F.when(F.col("l_linestatus") == "F", F.col("l_shipdate")).alias("delivered_at"),
-        F.when(F.col("l_returnflag") == "R", F.col("l_shipdate")).alias("returned_at"),
-        F.col("l_extendedprice").alias("sale_price"),
+    return source(spark, folder, "lineitem").selectExpr(
+        "l_orderkey AS order_id",
+        "l_partkey AS product_id",
+        "l_orderkey * 10 + l_linenumber AS inventory_item_id",
+        "l_shipdate AS shipped_at",
+        "CASE WHEN l_linestatus = 'F' THEN l_shipdate END AS delivered_at",
+        "CASE WHEN l_returnflag = 'R' THEN l_shipdate END AS returned_at",
+        "l_extendedprice AS sale_price",
     )
 
 
 def order_headers(spark: SparkSession, folder: str) -> DataFrame:
-    return _read(spark, folder, "orders").select(
-        F.col("o_orderkey").alias("order_id"),
-        F.col("o_custkey").alias("user_id"),
-        F.col("o_orderstatus").alias("status"),
-        F.col("o_orderdate").alias("created_at"),
+    return source(spark, folder, "orders").selectExpr(
+        "o_orderkey AS order_id",
+        "o_custkey AS user_id",
+        "o_orderstatus AS status",
+        "o_orderdate AS created_at",
     )
 
 
@@ -59,25 +76,24 @@ def attach_headers(top: DataFrame, spark: SparkSession, folder: str) -> DataFram
 
 def inventory_units(spark: SparkSession, folder: str) -> DataFrame:
     """The inventory columns that a unit carries itself: no join."""
-    line = _read(spark, folder, "lineitem")
-    return line.select(
-        F.col("l_partkey").alias("product_id"),
-        (F.col("l_shipdate") - F.expr("INTERVAL '30' DAY")).alias("created_at"),
-        F.when(F.col("l_linestatus") == "F", F.col("l_shipdate")).alias("sold_at"),
-        F.col("l_suppkey").alias("product_distribution_center_id"),
+    return source(spark, folder, "lineitem").selectExpr(
+        "l_partkey AS product_id",
+        "l_shipdate - INTERVAL '30' DAY AS created_at",
+        "CASE WHEN l_linestatus = 'F' THEN l_shipdate END AS sold_at",
+        "l_suppkey AS product_distribution_center_id",
     )
 
 
 def products(spark: SparkSession, folder: str) -> DataFrame:
     """One row per product with its attributes."""
-    return _read(spark, folder, "part").select(
-        F.col("p_partkey").alias("product_id"),
-        (F.col("p_retailprice") / 2).alias("cost"),
-        F.col("p_type").alias("product_category"),
-        F.col("p_name").alias("product_name"),
-        F.col("p_brand").alias("product_brand"),
-        F.col("p_retailprice").alias("product_retail_price"),
-        F.concat(F.lit("SKU-"), F.col("p_partkey").cast("string")).alias("product_sku"),
+    return source(spark, folder, "part").selectExpr(
+        "p_partkey AS product_id",
+        "p_retailprice / 2 AS cost",
+        "p_type AS product_category",
+        "p_name AS product_name",
+        "p_brand AS product_brand",
+        "p_retailprice AS product_retail_price",
+        "concat('SKU-', p_partkey) AS product_sku",
     )
 
 
@@ -92,46 +108,42 @@ def mg(spark: SparkSession, folder: str) -> DataFrame:
 
     Events are aggregated before customers are joined, so the joins run on worker-months.
     """
-    kind = F.col("event_type")
     activity = (
-        _read(spark, folder, "events")
-        .select(F.date_format("ts", "yyyy-MM").alias("month"), F.col("user_id").alias("id_user"),
-                F.col("ts").cast("date").alias("day"), "event_type")
+        source(spark, folder, "events")
+        .selectExpr("date_format(ts, 'yyyy-MM') AS month", "user_id AS id_user",
+                    "CAST(ts AS DATE) AS day", "event_type")
         .groupBy("month", "id_user")
         .agg(
             F.count_distinct("day").alias("attendance"),
-            F.count_if(kind == "purchase").alias("total_delivered_month"),
-            F.count_if(kind == "error").alias("errors"),
+            F.expr("count_if(event_type = 'purchase')").alias("total_delivered_month"),
+            F.expr("count_if(event_type = 'error')").alias("errors"),
         )
     )
-    people = _read(spark, folder, "customer").select(
-        F.col("c_custkey").alias("id_user"), F.col("c_name").alias("name"),
-        F.col("c_mktsegment").alias("fleet"), "c_nationkey",
+    people = source(spark, folder, "customer").selectExpr(
+        "c_custkey AS id_user", "c_name AS name", "c_mktsegment AS fleet",
+        "c_nationkey AS n_nationkey",
     )
-    cities = _read(spark, folder, "nation").select(
-        F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("city")
-    )
-    full = F.when(F.col("attendance") >= 28, 1).otherwise(0).cast("bigint")
-    payout = F.col("total_delivered_month") * F.lit(10.0)
-    penalty = F.col("errors") * F.lit(2.0)
-    total = F.when(F.col("id_user") % 7 != 0, payout - penalty)
-    vendor = F.concat(F.lit("VENDOR_"), (F.col("c_nationkey") % 5).cast("string"))
     table = (
         activity.join(people, "id_user")
-        .join(cities, "c_nationkey")
-        .select(
-            "month", "id_user", "name", "fleet", "city", "attendance", "total_delivered_month",
-            F.when(F.col("id_user") % 10 != 0, vendor).alias("vendor_name"),
-            F.lit(10.0).alias("rate"),
-            full.alias("perfect_attendance"),
-            full.alias("mg_eligible"),
-            F.lit(200.0).alias("monthly_mg"),
-            (F.lit(200.0) * full).alias("eligible_mg"),
-            payout.alias("payout"),
-            penalty.alias("fnd_ndr_penalty_amount"),
-            total.alias("total_payout"),
-            total.alias("da_level_final_amount"),
+        .join(source(spark, folder, "nation"), "n_nationkey")
+        .selectExpr(
+            "*",
+            "n_name AS city",
+            "CASE WHEN id_user % 10 <> 0 THEN concat('VENDOR_', n_nationkey % 5) END"
+            " AS vendor_name",
+            "10.0D AS rate",
+            "CASE WHEN attendance >= 28 THEN 1L ELSE 0L END AS perfect_attendance",
+            "200.0D AS monthly_mg",
+            "total_delivered_month * 10.0D AS payout",
+            "errors * 2.0D AS fnd_ndr_penalty_amount",
+        )
+        .selectExpr(
+            "*",
+            "perfect_attendance AS mg_eligible",
+            "monthly_mg * perfect_attendance AS eligible_mg",
+            "CASE WHEN id_user % 7 <> 0 THEN payout - fnd_ndr_penalty_amount END AS total_payout",
         )
+        .withColumn("da_level_final_amount", F.col("total_payout"))
     )
     return enforce_schema(table, MG)
 

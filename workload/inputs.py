@@ -48,7 +48,7 @@ def inventory_csv(spark: SparkSession, folder: str) -> str:
 
 def documents_latin1_csv(spark: SparkSession, folder: str) -> str:
     """Documents as product names, whole, in ISO-8859-1; texts hold line breaks and quotes."""
-    documents = spark.read.parquet(f"{folder}/documents.parquet").select(
+    documents = warehouse.source(spark, folder, "documents").select(
         F.col("doc_id").alias("product_id"), F.col("text").alias("product_name"),
         F.col("source").alias("product_brand"), F.col("lang").alias("product_category"),
     )
@@ -134,7 +134,7 @@ def orders_with_nan(spark: SparkSession, folder: str) -> DataFrame:
 
 def questions(spark: SparkSession, folder: str) -> DataFrame:
     """``question_id, question``: one per event by its type, and every user turn of a conversation."""
-    events = spark.read.parquet(f"{folder}/events.parquet")
+    events = warehouse.source(spark, folder, "events")
     user = F.col("user_id").cast("string")
     kind = F.col("event_type")
     asked = (
@@ -145,7 +145,7 @@ def questions(spark: SparkSession, folder: str) -> DataFrame:
         .when(kind == "signup", F.lit("minimum guarantee by city"))
         .otherwise(F.lit("monthly inventory units"))
     )
-    turns = spark.read.parquet(f"{folder}/conversations.parquet").where(F.col("role") == "user")
+    turns = warehouse.source(spark, folder, "conversations").where(F.col("role") == "user")
     spoken = turns.select(
         (-1 - (F.col("conv_id") * 1000 + F.col("turn"))).alias("question_id"),
         F.col("text").alias("question"),
@@ -161,7 +161,7 @@ def _pick(key: Column, names: list[str]) -> Column:
 
 def sql_replies(spark: SparkSession, folder: str) -> DataFrame:
     """``reply_id, reply``: fenced queries with lead-ins, comments and a second statement."""
-    events = spark.read.parquet(f"{folder}/events.parquet")
+    events = warehouse.source(spark, folder, "events")
     event, user = F.col("event_id"), F.col("user_id").cast("string")
     fenced = F.concat(
         F.lit("Here is the SQL:\n```sql\nselect * FROM orders WHERE user_id = "), user,
@@ -185,7 +185,7 @@ MG_NAMES = ["vendor", "payout", "total_payut", "penalty", "city"]
 def sql_log(spark: SparkSession, folder: str) -> DataFrame:
     """``query_id, sql``: a join of orders and inventory; every third query reads mg, every fourth
     a CTE whose alias is the letter that otherwise stands for mg."""
-    events = spark.read.parquet(f"{folder}/events.parquet")
+    events = warehouse.source(spark, folder, "events")
     key = F.col("event_id")
     joined = F.concat(
         F.lit("SELECT o."), _pick(key, ORDER_NAMES), F.lit(", i."), _pick(key, INVENTORY_NAMES),

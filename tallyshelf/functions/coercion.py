@@ -24,18 +24,22 @@ def nan_to_null(value: Column) -> Column:
     return F.when(~F.isnan(value), value)
 
 
+# A failed cast costs far more than a pattern, so only text of the right shape is cast.
+_WHOLE = r"^\s*[+-]?[0-9]+\s*$"
+_NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
+_INFINITY = r"(?i)^\s*[+-]?inf(inity)?\s*$"
+
+
 def to_double(text: Column) -> Column:
-    """A number, or null. Java's type suffixes (``1d``, ``2f``) are not numbers in a CSV."""
-    number = text.try_cast("double")
-    suffixed = text.rlike(r"[0-9.][dDfF]\s*$")
-    return F.when(~suffixed & ~F.isnan(number), number)
+    """A number, or null. What only Java takes for one (``1d``, ``2f``) is null."""
+    return F.when(text.rlike(_NUMBER) | text.rlike(_INFINITY), text.try_cast("double"))
 
 
 def to_long(text: Column) -> Column:
     """A whole number, or null; ``5.0`` and ``1e3`` are whole, ``2.5`` is not."""
     exact = text.try_cast("decimal(38,18)")
     whole = F.when(exact == F.floor(exact), exact).try_cast("bigint")
-    return F.coalesce(text.try_cast("bigint"), whole)
+    return F.when(text.rlike(_WHOLE), text.try_cast("bigint")).when(text.rlike(_NUMBER), whole)
 
 
 def _utc_wall_clock(instant: Column) -> Column:

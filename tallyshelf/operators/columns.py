@@ -26,15 +26,7 @@ _NOT_AN_ALIAS = (
     "|semi|anti|union|intersect|except|qualify|window|select|lateral|tablesample"
 )
 _RELATION = rf"\b(?:from|join)\s+(\w+)(?:\s+(?:as\s+)?(?!(?:{_NOT_AN_ALIAS})\b)(\w+))?"
-_REFERENCE = r"\b(\w+)\.(\w+)\b"
-
-
-def _pairs(text: Column, pattern: str) -> Column:
-    """All matches as an array of structs ``(first, second)`` of the two groups."""
-    p = F.lit(pattern)
-    first = F.regexp_extract_all(text, p, F.lit(1))
-    second = F.regexp_extract_all(text, p, F.lit(2))
-    return F.arrays_zip(first.alias("first"), second.alias("second"))
+_REFERENCE = r"\b\w+\.\w+\b"
 
 
 def _text(value: str) -> str:
@@ -53,17 +45,16 @@ def _known_names() -> Column:
     return F.expr(f"array({', '.join(names)})")
 
 
-def _meant(reference: Column, relations: Column) -> Column:
-    """``table.column`` of a reference; its qualifier is a relation of this query first, else the
-    usual letter, else nothing."""
-    qualifier = reference["first"]
-    bound = F.filter(
-        relations,
-        lambda r: F.when(r["second"] == "", r["first"]).otherwise(r["second"]) == qualifier,
-    )
+def _meant(reference: Column) -> Column:
+    """``table.column`` of a reference; its qualifier is an alias of this query first, then a
+    relation of it, then one of the usual letters, else nothing."""
+    qualifier = F.substring_index(reference, ".", 1)
+    aliased = F.try_element_at("relations", F.nullif(
+        F.array_position("aliases", qualifier).cast("int"), F.lit(0)))
+    named = F.when(F.array_contains("relations", qualifier), qualifier)
     usual = F.try_element_at(_usual_tables(), qualifier)
-    table = F.coalesce(F.get(bound, F.lit(0))["first"], usual)
-    return F.concat(table, F.lit("."), reference["second"])
+    column = F.substring_index(reference, ".", -1)
+    return F.concat(F.coalesce(aliased, named, usual), F.lit("."), column)
 
 
 def audit_columns(log: DataFrame, query_id: str = "query_id", sql: str = "sql") -> DataFrame:
@@ -73,19 +64,24 @@ def audit_columns(log: DataFrame, query_id: str = "query_id", sql: str = "sql")
     table. Unqualified names are not checked. Names are compared and reported in lower case. Every
     query is handled within its own row: no join, no shuffle.
     """
+    text = F.lower(F.col(sql))
     parsed = log.select(
         F.col(query_id),
-        _pairs(F.lower(F.col(sql)), _RELATION).alias("relations"),
-        _pairs(F.lower(F.col(sql)), _REFERENCE).alias("refs"),
+        F.regexp_extract_all(text, F.lit(_RELATION), F.lit(1)).alias("relations"),
+        F.regexp_extract_all(text, F.lit(_RELATION), F.lit(2)).alias("aliases"),
+        F.array_distinct(F.regexp_extract_all(text, F.lit(_REFERENCE), F.lit(0))).alias("refs"),
     )
-    meant = F.transform("refs", lambda reference: _meant(reference, F.col("relations")))
     # array_except also removes repeats.
-    missing = parsed.select(F.col(query_id), F.explode(F.array_except(meant, _known_names())).alias("name"))
-    return missing.select(
-        query_id,
-        F.substring_index("name", ".", 1).alias("table_name"),
-        F.substring_index("name", ".", -1).alias("column_name"),
-    ).where(F.col("table_name").isin(list(TABLES)))
+    missing = F.array_except(F.transform("refs", _meant), _known_names())
+    return (
+        parsed.select(F.col(query_id), F.explode(missing).alias("name"))
+        .select(
+            query_id,
+            F.substring_index("name", ".", 1).alias("table_name"),
+            F.substring_index("name", ".", -1).alias("column_name"),
+        )
+        .where(F.col("table_name").isin(list(TABLES)))
+    )
 
 
 def _candidates() -> Column:

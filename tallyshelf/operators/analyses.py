@@ -123,17 +123,23 @@ def _check(name: str, table: str, column: str, failed: Column, total: Column) ->
     )
 
 
-def null_checks(tables: dict[str, DataFrame]) -> DataFrame:
-    """Nulls per column; one pass per table."""
-    parts = []
-    for name, df in tables.items():
-        counts = ", ".join(
-            f"named_struct('check_name', 'null', 'table_name', '{name}', 'column_name', '{c}', "
-            f"'failed', count_if(`{c}` IS NULL), 'checked', count(*))"
-            for c in df.columns
+def row_checks(name: str, df: DataFrame, in_order: list[tuple[str, str]] = ()) -> DataFrame:
+    """Nulls per column, and per ``(earlier, later)`` pair the rows where ``later`` lies before
+    ``earlier``, of the rows that have both. One pass, however many checks."""
+    def entry(check: str, column: str, failed: str, checked: str) -> str:
+        return (
+            f"named_struct('check_name', '{check}', 'table_name', '{name}', "
+            f"'column_name', '{column}', 'failed', count_if({failed}), 'checked', {checked})"
         )
-        parts.append(df.agg(F.expr(f"array({counts})").alias("checks")).select(F.inline("checks")))
-    return reduce(DataFrame.unionByName, parts)
+
+    entries = [entry("null", c, f"`{c}` IS NULL", "count(*)") for c in df.columns]
+    entries += [
+        entry(f"before_{earlier}", later, f"`{later}` < `{earlier}`",
+              f"count_if(`{later}` IS NOT NULL AND `{earlier}` IS NOT NULL)")
+        for earlier, later in in_order
+    ]
+    checks = F.expr(f"array({', '.join(entries)})")
+    return df.agg(checks.alias("checks")).select(F.inline("checks"))
 
 
 def duplicate_check(name: str, df: DataFrame, key: list[str]) -> DataFrame:
@@ -158,24 +164,14 @@ def orphan_check(name: str, df: DataFrame, column: str, parent: DataFrame) -> Da
     return joined.agg(check.alias("c")).select("c.*")
 
 
-def order_check(name: str, df: DataFrame, earlier: str, later: str) -> DataFrame:
-    """Rows where ``later`` lies before ``earlier``, of the rows that have both."""
-    both = F.col(earlier).isNotNull() & F.col(later).isNotNull()
-    check = _check(
-        f"before_{earlier}", name, later,
-        F.count_if(F.col(later) < F.col(earlier)), F.count_if(both),
-    )
-    return df.agg(check.alias("c")).select("c.*")
-
-
 def dq_checks(orders: DataFrame, inventory: DataFrame, mg: DataFrame) -> DataFrame:
     """All checks over the three tables: ``check_name, table_name, column_name, failed, checked``."""
     parts = [
-        null_checks({"orders": orders, "inventory": inventory, "mg": mg}),
+        row_checks("orders", orders, [("created_at", "shipped_at")]),
+        row_checks("inventory", inventory, [("created_at", "sold_at")]),
+        row_checks("mg", mg),
         duplicate_check("orders", orders, ["order_id", "inventory_item_id"]),
         duplicate_check("mg", mg, ["month", "id_user"]),
         orphan_check("orders", orders, "product_id", inventory),
-        order_check("orders", orders, "created_at", "shipped_at"),
-        order_check("inventory", inventory, "created_at", "sold_at"),
     ]
     return reduce(DataFrame.unionByName, parts)

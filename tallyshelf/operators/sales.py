@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyshelf.functions.calendar import month_start
-from tallyshelf.functions.ordering import asc, desc, take, then_by_rest
+from tallyshelf.functions.ordering import asc, desc, sort_copies, take, then_by_rest
 
 # Default row limits.
 BY_VALUE_ROWS = 500
@@ -19,7 +19,8 @@ def orders_by_value(orders: DataFrame, n: int = BY_VALUE_ROWS) -> DataFrame:
 
 def orders_recent(orders: DataFrame, n: int | None = None) -> DataFrame:
     """Order items, newest first; all of them unless ``n`` is given."""
-    return take(orders, [desc("created_at"), *then_by_rest(orders, ["created_at"])], n)
+    keys = [desc("created_at"), *then_by_rest(orders, ["created_at"])]
+    return sort_copies(orders, keys) if n is None else take(orders, keys, n)
 
 
 def monthly_counts(orders: DataFrame) -> DataFrame:

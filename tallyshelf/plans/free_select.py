@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallyshelf.session import tune
+
 
 def register(tables: dict[str, DataFrame]) -> SparkSession:
     """The tables as temporary views of the session they belong to."""
@@ -14,9 +16,7 @@ def register(tables: dict[str, DataFrame]) -> SparkSession:
 
 def isolated_session(spark: SparkSession) -> SparkSession:
     """A session of its own for views: same application and cluster, no clash of view names."""
-    child = spark.newSession()
-    child.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
-    return child
+    return tune(spark.newSession())
 
 
 def free_select(spark: SparkSession, sql: str) -> DataFrame:

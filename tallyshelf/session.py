@@ -6,12 +6,12 @@ from pyspark.sql import SparkSession
 
 # Adaptive execution sizes shuffle partitions, splits skewed join partitions and picks
 # broadcast joins from measured sizes, so no partition count is baked into a report.
-DEFAULTS = {
+ADAPTIVE = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.session.timeZone": "UTC",
-    "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Split a skewed join even where the aggregate above could have used its partitioning.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 
 
@@ -24,9 +24,19 @@ def local_session(app: str, cores: int | str = "*", **settings: str) -> SparkSes
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.sql.session.timeZone", "UTC")
     )
-    for key, value in {**DEFAULTS, **settings}.items():
+    for key, value in {**ADAPTIVE, **settings}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """Applies the adaptive settings to a session, except those its cluster chose at start."""
+    chosen = spark.sparkContext.getConf()
+    for key, value in ADAPTIVE.items():
+        if not chosen.contains(key):
+            spark.conf.set(key, value)
+    return spark

@@ -119,34 +119,36 @@ def _header(spark: SparkSession, plan: ReadPlan) -> list[str | None]:
     return [None if value is None else str(value) for value in first]
 
 
-def read_raw(spark: SparkSession, plan: ReadPlan, spec: TableSpec) -> DataFrame:
+def reader_options(encoding: str, multiline: bool, check_headers: bool) -> dict[str, object]:
+    """Options for reading every column as text with the raw record beside rows of odd width."""
+    return {
+        "header": True,
+        "encoding": encoding,
+        "multiLine": multiline,
+        "escape": '"',
+        "mode": "PERMISSIVE",
+        "columnNameOfCorruptRecord": _RAW,
+        # Compares the header of every file to the schema and raises when one differs.
+        "enforceSchema": not check_headers,
+        # Width can only be judged when every field of the record is parsed.
+        "columnPruning": False,
+    }
+
+
+def text_schema(headers: Sequence[str | None]) -> tuple[T.StructType, bool]:
+    """A schema of text columns named as in the files, and whether headers can be compared to it
+    (not when some are empty or repeated)."""
+    plain = all(headers) and len({h.lower() for h in headers}) == len(headers)
+    names = headers if plain else [f"_{i}" for i in range(len(headers))]
+    return T.StructType([T.StructField(n, T.StringType()) for n in [*names, _RAW]]), plain
+
+
+def shape_rows(rows: DataFrame, headers: Sequence[str | None], spec: TableSpec) -> DataFrame:
     """All columns as text under normalised headers, plus ``too_wide`` for rows to be skipped.
 
-    Rows with fewer fields than the header keep nulls for the rest; blank lines are dropped. A
-    file whose header differs from the others' raises instead of shifting columns.
+    Rows with fewer fields than the header keep nulls for the rest; blank lines are dropped.
     """
-    headers = _header(spark, plan)
     names = conform.normal_headers(headers, spec)
-    # Spark compares the headers of all files to the schema's names, so they must be raw here.
-    plain = all(headers) and len({h.lower() for h in headers}) == len(headers)
-    fields = headers if plain else [f"_{i}" for i in range(len(headers))]
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*fields, _RAW]])
-    rows = (
-        spark.read.schema(schema)
-        .options(
-            header=True,
-            encoding=plan.encoding,
-            multiLine=plan.multiline,
-            escape='"',
-            mode="PERMISSIVE",
-            columnNameOfCorruptRecord=_RAW,
-            enforceSchema=not plain,
-            # Width can only be judged when every field of the record is parsed.
-            columnPruning=False,
-        )
-        .csv(list(plan.paths))
-        .toDF(*names, _RAW)
-    )
     # Spark keeps the raw record of rows of another width only; wide ones have more separators
     # outside quotes than the header has.
     unquoted = F.regexp_replace(_RAW, r'"[^"]*"', "")
@@ -154,11 +156,21 @@ def read_raw(spark: SparkSession, plan: ReadPlan, spec: TableSpec) -> DataFrame:
     too_wide = F.coalesce(separators >= len(names), F.lit(False))
     not_blank = F.trim(F.concat_ws("", F.col(f"`{names[0]}`"), F.col(_RAW))) != ""
     return (
-        rows.where(F.col(_RAW).isNull() | not_blank)
+        rows.toDF(*names, _RAW)
+        .where(F.col(_RAW).isNull() | not_blank)
         .select(*[F.col(f"`{n}`") for n in names], too_wide.alias("too_wide"))
     )
 
 
+def read_raw(spark: SparkSession, plan: ReadPlan, spec: TableSpec) -> DataFrame:
+    """The files of one plan, shaped as above."""
+    headers = _header(spark, plan)
+    schema, plain = text_schema(headers)
+    options = reader_options(plan.encoding, plan.multiline, plain)
+    rows = spark.read.schema(schema).options(**options).csv(list(plan.paths))
+    return shape_rows(rows, headers, spec)
+
+
 def load_table(
     spark: SparkSession,
     spec: TableSpec,

@@ -64,7 +64,7 @@ def _flat_position(spark: SparkSession, folder: str) -> DataFrame:
 def _orders_by_value(spark: SparkSession, folder: str) -> DataFrame:
     top = sales.orders_by_value(warehouse.order_lines(spark, folder))
     listed = warehouse.attach_headers(top, spark, folder)
-    return listed.orderBy(desc("sale_price"), *then_by_rest(listed, ["sale_price"]))
+    return sales.orders_by_value(listed)
 
 
 def _preview(spark: SparkSession, folder: str) -> DataFrame:

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-# Adaptive execution sizes shuffle partitions, splits skewed join partitions and picks
+# Settings for reports of any size. Adaptive execution sizes shuffle partitions, splits skewed join partitions and picks
 # broadcast joins from measured sizes, so no partition count is baked into a report.
-ADAPTIVE = {
+SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split a skewed join even where the aggregate above could have used its partitioning.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # A top-k holds its rows in memory per task; a question may ask for any number of them.
+    "spark.sql.execution.topKSortFallbackThreshold": "100000",
 }
 
 
@@ -26,7 +28,7 @@ def local_session(app: str, cores: int | str = "*", **settings: str) -> SparkSes
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
     )
-    for key, value in {**ADAPTIVE, **settings}.items():
+    for key, value in {**SETTINGS, **settings}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -34,9 +36,9 @@ def local_session(app: str, cores: int | str = "*", **settings: str) -> SparkSes
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Applies the adaptive settings to a session, except those its cluster chose at start."""
+    """Applies the settings above to a session, except those its cluster chose at start."""
     chosen = spark.sparkContext.getConf()
-    for key, value in ADAPTIVE.items():
+    for key, value in SETTINGS.items():
         if not chosen.contains(key):
             spark.conf.set(key, value)
     return spark

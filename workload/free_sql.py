@@ -41,15 +41,17 @@ FREE_SQL = {
               FROM {orders}) AS dated
         GROUP BY ROLLUP (status, year_of) ORDER BY level, status, year_of
     """,
+    # Each side is made distinct before the sets meet, so a popular product is one row there too.
     "free_select_sets": """
         SELECT product_id, 'not returned' AS kind FROM (
-            SELECT product_id FROM {orders} WHERE sale_price > 60000
+            SELECT DISTINCT product_id FROM {orders} WHERE sale_price > 60000
             EXCEPT
-            SELECT product_id FROM {orders} WHERE returned_at IS NOT NULL AND sale_price > 60000
+            SELECT DISTINCT product_id FROM {orders}
+            WHERE returned_at IS NOT NULL AND sale_price > 60000
         ) AS clean
         UNION ALL
         SELECT product_id, 'scarce and dear' AS kind FROM (
-            SELECT product_id FROM {orders} WHERE sale_price > 69000
+            SELECT DISTINCT product_id FROM {orders} WHERE sale_price > 69000
             INTERSECT
             SELECT product_id FROM {inventory} GROUP BY product_id
             HAVING SUM(CASE WHEN sold_at IS NULL THEN 1 ELSE 0 END) < 12

@@ -22,7 +22,7 @@ def test_equals_sql(spark, folder, duck, name):
 
 def test_every_sql_belongs_to_a_query():
     assert set(oracle_sql()) <= set(queries())
-    assert set(queries()) - set(oracle_sql()) == {"suggest_columns_gestalt", "user_segments"}
+    assert set(queries()) - set(oracle_sql()) == {"suggest_columns_gestalt"}
 
 
 def test_entry(spark):

@@ -23,7 +23,7 @@ FREE_SQL = {
     """,
     # A rank bound inside each month: Spark prunes to the bound before it shuffles.
     "free_select_window": """
-        SELECT year_of, product_id, units, place FROM (
+        SELECT year_of, product_id, units, CAST(place AS BIGINT) AS place FROM (
             SELECT year_of, product_id, units,
                    ROW_NUMBER() OVER (PARTITION BY year_of ORDER BY units DESC, product_id) AS place
             FROM (

@@ -395,6 +395,21 @@ _ANALYSES = {
                      COUNT(DISTINCT order_id) AS order_count, COUNT(*) AS units,
                      SUM(CAST(sale_price AS DECIMAL(18, 2))) AS total
               FROM shop_orders WHERE created_at IS NOT NULL GROUP BY 1) AS m ORDER BY month"""),
+    # Cut points by rank: the value at position ceil(n * share) of the sorted spends.
+    "user_segments": _with(
+        SHOP_ORDERS,
+        """spends AS (
+            SELECT user_id, COUNT(*) AS units,
+                   CAST(SUM(CAST(sale_price AS DECIMAL(18, 2))) AS DOUBLE) AS spend
+            FROM shop_orders WHERE user_id IS NOT NULL GROUP BY user_id
+        ), cuts AS (SELECT list_sort(list(spend)) AS ranked, COUNT(spend) AS n FROM spends)""",
+        query="""
+        SELECT s.user_id, s.units, s.spend,
+               CAST(1 + (CASE WHEN s.spend > c.ranked[ceil(c.n * 0.25)::INT] THEN 1 ELSE 0 END)
+                      + (CASE WHEN s.spend > c.ranked[ceil(c.n * 0.5)::INT] THEN 1 ELSE 0 END)
+                      + (CASE WHEN s.spend > c.ranked[ceil(c.n * 0.75)::INT] THEN 1 ELSE 0 END)
+                    AS BIGINT) AS segment
+        FROM spends AS s, cuts AS c"""),
     "unit_anomalies": _with(SHOP_ORDERS, query="""
         SELECT month, product_id, units, z_score FROM (
             SELECT month, product_id, units,

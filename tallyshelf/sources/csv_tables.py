@@ -1,7 +1,8 @@
 """CSV exports of unknown encoding, with rows of the wrong width, into declared tables.
 
-A pre-scan decides per file how it must be read; the files are then read in at most four groups.
-Only files that hold a quoted line break are read whole per task, all others stay splittable.
+A pre-scan decides per file how it must be read; the files are then read in a few groups. A file
+without quoted line breaks is split as usual. A file with some is read whole by one task when it is
+small, and put together from its lines by many tasks when it is large.
 """
 
 from __future__ import annotations
@@ -18,9 +19,11 @@ from pyspark.sql import types as T
 
 from tallyshelf.schemas import TableSpec
 from tallyshelf.sources import conform
+from tallyshelf.sources.csv_records import read_records
 
 UTF8 = "UTF-8"
 LATIN1 = "ISO-8859-1"
+WHOLE_FILE_BYTES = 256 * 2**20
 _RAW = "_raw_record"
 
 
@@ -31,6 +34,7 @@ class ReadPlan:
     encoding: str
     multiline: bool
     paths: tuple[str, ...]
+    large: bool = False
 
 
 @dataclass(frozen=True)
@@ -86,30 +90,38 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return True
 
 
-def plan_reads(spark: SparkSession, paths: Sequence[str]) -> list[ReadPlan]:
+def plan_reads(
+    spark: SparkSession, paths: Sequence[str], whole_file_bytes: int = WHOLE_FILE_BYTES
+) -> list[ReadPlan]:
     """Encoding and line-break handling per file, as groups of files.
 
     One pass over the lines with a map-side aggregate, one row per file. A file whose bytes are
     not UTF-8 is ISO-8859-1. A line with an odd number of quotes may begin a value that goes on
     in the next line.
     """
-    lines = spark.read.text(list(paths)).select("value", F.col("_metadata.file_path").alias("file"))
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    per_file = lines.groupBy("file").agg(
+    lines = spark.read.text(list(paths)).select(
+        "value",
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_size").alias("bytes"),
+    )
+    # In bytes: lines that are not UTF-8 cannot be counted in characters.
+    quotes = F.octet_length("value") - F.octet_length(F.replace("value", F.lit('"'), F.lit("")))
+    per_file = lines.groupBy("file", "bytes").agg(
         F.bool_and(F.is_valid_utf8("value")).alias("utf8"),
         F.bool_or(quotes % 2 == 1).alias("multiline"),
     )
     # One small row per input file: Spark's own file index on the driver is larger than this.
-    groups: dict[tuple[str, bool], list[str]] = {}
+    groups: dict[tuple[str, bool, bool], list[str]] = {}
     for row in per_file.collect():
-        key = (UTF8 if row.utf8 else LATIN1, row.multiline)
+        large = row.multiline and row.bytes > whole_file_bytes
+        key = (UTF8 if row.utf8 else LATIN1, row.multiline, large)
         groups.setdefault(key, []).append(unquote(row.file))
     if len(groups) == 1:
-        (encoding, multiline), = groups
-        return [ReadPlan(encoding, multiline, tuple(paths))]
+        (encoding, multiline, large), = groups
+        return [ReadPlan(encoding, multiline, tuple(paths), large)]
     return [
-        ReadPlan(encoding, multiline, tuple(sorted(files)))
-        for (encoding, multiline), files in sorted(groups.items())
+        ReadPlan(encoding, multiline, tuple(sorted(files)), large)
+        for (encoding, multiline, large), files in sorted(groups.items())
     ]
 
 
@@ -167,10 +179,30 @@ def read_raw(spark: SparkSession, plan: ReadPlan, spec: TableSpec) -> DataFrame:
     headers = _header(spark, plan)
     schema, plain = text_schema(headers)
     options = reader_options(plan.encoding, plan.multiline, plain)
-    rows = spark.read.schema(schema).options(**options).csv(list(plan.paths))
+    if plan.large:
+        rows = _parse_records(read_records(spark, plan.paths, plan.encoding), headers, schema)
+    else:
+        rows = spark.read.schema(schema).options(**options).csv(list(plan.paths))
     return shape_rows(rows, headers, spec)
 
 
+def _parse_records(
+    records: DataFrame, headers: Sequence[str | None], schema: T.StructType
+) -> DataFrame:
+    """The fields of every record but each file's first, which must be the expected header."""
+    fields = F.from_csv("record", schema.toDDL(), {
+        "mode": "PERMISSIVE", "escape": '"', "columnNameOfCorruptRecord": _RAW,
+    })
+    parsed = records.select("file", "record_no", fields.alias("fields"))
+    found = F.array(*[F.col("fields").getField(n) for n in schema.fieldNames()[:-1]])
+    expected = F.array(*[F.lit(h).cast("string") for h in headers])
+    message = F.concat(F.lit("CSV header does not conform to the others: "), F.col("file"))
+    is_row = F.when(F.col("record_no") > 1, True).otherwise(
+        F.when(found == expected, False).otherwise(F.raise_error(message).cast("boolean"))
+    )
+    return parsed.where(is_row).select("fields.*")
+
+
 def load_table(
     spark: SparkSession,
     spec: TableSpec,
@@ -179,10 +211,12 @@ def load_table(
     formats: Sequence[str] = (),
     encoding: str | None = None,
     multiline: bool | None = None,
+    whole_file_bytes: int = WHOLE_FILE_BYTES,
 ) -> LoadedTable:
     """The first existing candidate path as a declared table; an empty table when none exists.
 
-    Giving both ``encoding`` and ``multiline`` skips the pre-scan.
+    Giving both ``encoding`` and ``multiline`` skips the pre-scan. Files with quoted line breaks
+    above ``whole_file_bytes`` are put together from lines instead of being read by one task each.
     """
     paths = [candidates] if isinstance(candidates, str) else list(candidates)
     tried: list[str] = []
@@ -197,10 +231,10 @@ def load_table(
     if encoding is not None and multiline is not None:
         plans = [ReadPlan(encoding, multiline, (path,))]
     else:
-        plans = [
-            ReadPlan(encoding or p.encoding, p.multiline if multiline is None else multiline, p.paths)
-            for p in plan_reads(spark, [path])
-        ]
+        plans = []
+        for p in plan_reads(spark, [path], whole_file_bytes):
+            breaks = p.multiline if multiline is None else multiline
+            plans.append(ReadPlan(encoding or p.encoding, breaks, p.paths, p.large and breaks))
     if not plans:  # no line in any file
         empty = spark.createDataFrame([], spec.schema)
         return LoadedTable(spec, empty, None, (), path, tuple(tried), 0)

@@ -135,6 +135,36 @@ def test_files_of_one_folder_are_planned_one_by_one(spark, write, tmp_path):
         (1, "café"), (2, "café"), (3, "café\nx")}
 
 
+def test_large_files_are_put_together_from_lines(spark, write, tmp_path):
+    values = ["plain", "a\nb", 'say ""hi""\n\n\nthere', "x,y\n,", "\n", "end\n" * 40]
+    rows = "".join(f'{i},"{values[i % 6]}"\n' for i in range(3000))
+    odd_rows = '1\n2,z,EXTRA\n\n  \n3,w,\n4,"n\nm","q\nr"\n'
+    write("all/a.csv", b"\xef\xbb\xbf\norder_id,status\n" + (odd_rows + rows).encode())
+    write("all/b.csv", ("order_id,status\n" + rows + '7,"caf\xe9\nx"').encode("latin-1"))
+    folder = str(tmp_path / "all")
+    whole = load(spark, folder)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")  # records span many blocks
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        split = load(spark, folder, whole_file_bytes=1000)
+        assert all(p.large for p in split.plans) and not any(p.large for p in whole.plans)
+        got = sorted(map(str, dicts(split.table)))
+        report = dicts(split.report())[0]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == sorted(map(str, dicts(whole.table)))
+    assert report["row_count"] == len(got) == 6002 and report["skipped_rows"] == 3
+
+
+def test_large_file_with_another_header(spark, write, tmp_path):
+    write("all/a.csv", 'order_id,status\n1,"a\nb"\n')
+    write("all/b.csv", 'status,order_id\n"a\nb",2\n')
+    with pytest.raises(Exception, match="CSV header does not conform"):
+        load(spark, str(tmp_path / "all"), whole_file_bytes=1).table.collect()
+
+
 def test_other_header_in_a_file_is_an_error(spark, write, tmp_path):
     write("all/a.csv", "order_id,status\n1,a\n")
     write("all/b.csv", "status,order_id\nb,2\n")

@@ -6,7 +6,6 @@ counted by subquery, listings sort the joined table, expected texts are spelled
 
 from __future__ import annotations
 
-from tallyshelf.functions.coercion import NA_WORDS
 from tallyshelf.operators import payouts as P
 from tallyshelf.operators import textlog as X
 from tallyshelf.operators.columns import MAX_SUGGESTIONS, MIN_SIMILARITY
@@ -190,15 +189,16 @@ _PROFILES = {
 
 # --- loads -------------------------------------------------------------------------------------
 
-_NO_COLUMNS = {c: "NULL" for c in TABLES["orders"].columns}
+_DOCUMENTS = """
+    SELECT doc_id AS product_id, nullif(text, '') AS product_name, source AS product_brand,
+           lang AS product_category FROM documents"""
 
 _LOADS = {
     "load_orders": _with(SHOP_ORDERS, query="SELECT * FROM shop_orders"),
     "load_inventory": _with(SHOP_INVENTORY, query="SELECT * FROM shop_inventory"),
     "load_mg_missing": _with(SHOP_MG, query="SELECT * FROM shop_mg"),
-    "load_latin1": """
-        SELECT doc_id AS product_id, nullif(text, '') AS product_name, source AS product_brand,
-               lang AS product_category FROM documents""",
+    "load_latin1": _DOCUMENTS,
+    "load_split_records": _DOCUMENTS,
     "load_skip_bad": "SELECT " + _declared("orders", {
         "order_id": "l_orderkey", "product_id": "l_partkey",
         "inventory_item_id":

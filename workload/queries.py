@@ -105,10 +105,13 @@ def _load_inventory(spark: SparkSession, folder: str) -> DataFrame:
     return csv_tables.load_table(spark, INVENTORY, inputs.inventory_csv(spark, folder)).table
 
 
-def _load_latin1(spark: SparkSession, folder: str) -> DataFrame:
-    path = inputs.documents_latin1_csv(spark, folder)
-    loaded = csv_tables.load_table(spark, INVENTORY, path).table
-    return loaded.select("product_id", "product_name", "product_brand", "product_category")
+def _load_documents(**options: object) -> Query:
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        path = inputs.documents_latin1_csv(spark, folder)
+        loaded = csv_tables.load_table(spark, INVENTORY, path, **options).table
+        return loaded.select("product_id", "product_name", "product_brand", "product_category")
+
+    return run
 
 
 def _load_skip_bad(spark: SparkSession, folder: str) -> DataFrame:
@@ -218,7 +221,8 @@ QUERIES: dict[str, Query] = {
     # loads
     "load_orders": _load_orders,
     "load_inventory": _load_inventory,
-    "load_latin1": _load_latin1,
+    "load_latin1": _load_documents(),
+    "load_split_records": _load_documents(whole_file_bytes=0),
     "load_skip_bad": _load_skip_bad,
     "load_mg_missing": _load_mg_missing,
     "load_aliases": _load_aliases,

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 _LARGEST_LIMIT = 2**31 - 1  # Spark counts a limit in a 32-bit integer
 _COPIES_PER_ROW = 100_000
+BROADCAST_ROWS = 100_000  # a top-k of at most this many rows may be sent to every executor
 
 
 def asc(name: str) -> Column:

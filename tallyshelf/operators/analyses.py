@@ -76,19 +76,13 @@ def unit_anomalies(orders: DataFrame, z: float = 2.0) -> DataFrame:
     Months without a sale are not counted. A window holds one product's months: monthly counts
     have merged a popular product's items before it is formed.
     """
-    monthly = monthly_counts(orders)
     product = Window.partitionBy("product_id")
-    n = F.count("*").over(product)
-    total = F.sum("units").over(product)
-    squares = F.sum(F.col("units") * F.col("units")).over(product)
-    scored = monthly.withColumns({"n": n, "total": total, "squares": squares})
-    # n*n times the population variance, in whole numbers: nothing is lost to rounding.
-    spread = F.col("n") * F.col("squares") - F.col("total") * F.col("total")
-    deviation = F.sqrt(spread / (F.col("n") * (F.col("n") - 1)))
-    mean = F.col("total") / F.col("n")
+    mean, deviation = F.avg("units").over(product), F.stddev_samp("units").over(product)
     return (
-        scored.where((F.col("n") > 1) & (spread > 0))
-        .withColumn("z_score", F.round((F.col("units") - mean) / deviation, 6))
+        monthly_counts(orders)
+        .withColumns({"mean": mean, "deviation": deviation})
+        .where(F.col("deviation") > 0)
+        .withColumn("z_score", F.round((F.col("units") - F.col("mean")) / F.col("deviation"), 6))
         .where(F.abs("z_score") >= z)
         .select("month", "product_id", "units", "z_score")
         .orderBy(desc("z_score"), asc("month"), asc("product_id"))

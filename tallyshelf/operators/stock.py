@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyshelf.functions.ordering import asc, desc, take
+from tallyshelf.functions.ordering import BROADCAST_ROWS, asc, desc, take
 from tallyshelf.operators.sales import monthly_counts
 
 ATTRIBUTES = ["product_name", "product_brand", "product_category"]
@@ -24,7 +24,12 @@ SLOW_UNITS = 1
 
 
 def _maxima() -> list[Column]:
-    return [F.max(a).alias(a) for a in ATTRIBUTES]
+    return [F.expr(f"max({a}) AS {a}") for a in ATTRIBUTES]
+
+
+def _sums() -> list[Column]:
+    sums = {"units_sold": "sold", "on_hand": "held", "stocked": "stocked"}
+    return [F.expr(f"sum({part}) AS {name}") for name, part in sums.items()]
 
 
 def _movements(orders: DataFrame, inventory: DataFrame, attributes: list[str]) -> DataFrame:
@@ -33,28 +38,15 @@ def _movements(orders: DataFrame, inventory: DataFrame, attributes: list[str]) -
     Grouping this union gives what a full outer join of two grouped tables would, with one
     map-side aggregate and one exchange. ``stocked`` counts inventory rows.
     """
-    known = F.col("product_id").isNotNull()
-    sold = orders.where(known).select(
-        "product_id",
-        *[F.lit(None).cast("string").alias(a) for a in attributes],
-        F.lit(1).alias("sold"), F.lit(0).alias("held"), F.lit(0).alias("stocked"),
+    no_attributes = [f"CAST(NULL AS STRING) AS {a}" for a in attributes]
+    sold = orders.where("product_id IS NOT NULL").selectExpr(
+        "product_id", *no_attributes, "1 AS sold", "0 AS held", "0 AS stocked"
     )
-    units = inventory.where(known).select(
-        "product_id",
-        *attributes,
-        F.lit(0).alias("sold"),
-        F.when(F.col("sold_at").isNull(), 1).otherwise(0).alias("held"),
-        F.lit(1).alias("stocked"),
+    held = "CASE WHEN sold_at IS NULL THEN 1 ELSE 0 END AS held"
+    units = inventory.where("product_id IS NOT NULL").selectExpr(
+        "product_id", *attributes, "0 AS sold", held, "1 AS stocked"
     )
-    return sold.unionByName(units)
-
-
-def _sums() -> list[Column]:
-    return [
-        F.sum("sold").alias("units_sold"),
-        F.sum("held").alias("on_hand"),
-        F.sum("stocked").alias("stocked"),
-    ]
+    return sold.union(units)
 
 
 def stock_counts(orders: DataFrame, inventory: DataFrame) -> DataFrame:
@@ -72,21 +64,25 @@ def _flat_position(orders: DataFrame, inventory: DataFrame) -> DataFrame:
         _movements(orders, inventory, ATTRIBUTES).groupBy("product_id", *ATTRIBUTES).agg(*_sums())
     )
     return per_text.groupBy("product_id").agg(
-        F.sum("units_sold").alias("units_sold"), F.sum("on_hand").alias("on_hand"), *_maxima()
+        F.expr("sum(units_sold) AS units_sold"), F.expr("sum(on_hand) AS on_hand"), *_maxima()
     )
 
 
-def _stocked_attributes() -> list[Column]:
-    """Attributes describe inventory: a product without a unit there has none."""
-    return [F.when(F.col("stocked") > 0, F.col(a)).alias(a) for a in ATTRIBUTES]
+# Attributes describe inventory: a product without a unit there has none.
+_STOCKED_REPORT = [
+    f"CASE WHEN stocked > 0 THEN {c} END AS {c}" if c in ATTRIBUTES else c for c in REPORT_COLUMNS
+]
 
 
-def _attach(top: DataFrame, products: DataFrame) -> DataFrame:
-    """Attributes for the rows of a top-k (``top`` comes from ``limit``, so it is bounded).
+def _attach(top: DataFrame, products: DataFrame, n: int) -> DataFrame:
+    """Attributes for the rows of a top-k of ``n`` rows.
 
-    The bounded side is broadcast into a scan of ``products``; the counts behind ``top`` are
-    computed once, both uses read the same exchange.
+    When ``n`` is small enough the top-k is broadcast into a scan of ``products``; the counts behind
+    it are computed once, both uses read the same exchange. A larger one is joined.
     """
+    if n > BROADCAST_ROWS:
+        attributes = products.groupBy("product_id").agg(*_maxima())
+        return top.join(attributes, "product_id", "left")
     found = (
         products.join(F.broadcast(top), "product_id")
         .groupBy(*top.columns)
@@ -104,18 +100,14 @@ def stock_position(
         return _flat_position(orders, inventory).select(*REPORT_COLUMNS)
     attributes = products.groupBy("product_id").agg(*_maxima())
     counts = stock_counts(orders, inventory)
-    return (
-        counts.join(attributes, "product_id", "left")
-        .select("product_id", "units_sold", "on_hand", *_stocked_attributes())
-        .select(*REPORT_COLUMNS)
-    )
+    return counts.join(attributes, "product_id", "left").selectExpr(*_STOCKED_REPORT)
 
 
 def _report(
     orders: DataFrame,
     inventory: DataFrame,
     products: DataFrame | None,
-    where: Column | None,
+    where: str | None,
     keys: list[Column],
     n: int,
 ) -> DataFrame:
@@ -126,12 +118,7 @@ def _report(
         return take(chosen.select(*REPORT_COLUMNS), keys, n)
     counts = stock_counts(orders, inventory)
     top = take(counts if where is None else counts.where(where), keys, n)
-    return (
-        _attach(top, products)
-        .select("product_id", "units_sold", "on_hand", *_stocked_attributes())
-        .select(*REPORT_COLUMNS)
-        .orderBy(*keys)
-    )
+    return _attach(top, products, n).selectExpr(*_STOCKED_REPORT).orderBy(*keys)
 
 
 def top_sold(
@@ -147,7 +134,7 @@ def reorder(
     products: DataFrame | None = None, n: int = REPORT_ROWS,
 ) -> DataFrame:
     """Products with fewer than ``threshold`` units on hand, emptiest first."""
-    low = F.col("on_hand") < threshold
+    low = f"on_hand < {int(threshold)}"
     return _report(orders, inventory, products, low, [asc("on_hand"), desc("units_sold")], n)
 
 
@@ -156,7 +143,7 @@ def slow_movers(
     max_units: int = SLOW_UNITS, products: DataFrame | None = None, n: int = REPORT_ROWS,
 ) -> DataFrame:
     """Products with at least ``threshold`` on hand and at most ``max_units`` sold."""
-    slow = (F.col("on_hand") >= threshold) & (F.col("units_sold") <= max_units)
+    slow = f"on_hand >= {int(threshold)} AND units_sold <= {int(max_units)}"
     return _report(orders, inventory, products, slow, [desc("on_hand")], n)
 
 
@@ -171,11 +158,11 @@ def stock_overview(
 
 def stock_on_hand(inventory: DataFrame, products: DataFrame | None = None) -> DataFrame:
     """``product_id, on_hand`` and attributes for every product in inventory."""
-    known = inventory.where(F.col("product_id").isNotNull())
-    held = F.count_if(F.col("sold_at").isNull()).alias("on_hand")
+    known = inventory.where("product_id IS NOT NULL")
+    held = F.expr("count_if(sold_at IS NULL) AS on_hand")
     if products is None:
         per_text = known.groupBy("product_id", *ATTRIBUTES).agg(held)
-        return per_text.groupBy("product_id").agg(F.sum("on_hand").alias("on_hand"), *_maxima())
+        return per_text.groupBy("product_id").agg(F.expr("sum(on_hand) AS on_hand"), *_maxima())
     attributes = products.groupBy("product_id").agg(*_maxima())
     return known.groupBy("product_id").agg(held).join(attributes, "product_id", "left")
 
@@ -184,11 +171,10 @@ def monthly_units_stock(
     orders: DataFrame, inventory: DataFrame, products: DataFrame | None = None
 ) -> DataFrame:
     """Units sold per month and product, with the product's current stock and attributes."""
-    monthly = monthly_counts(orders).withColumnRenamed("units", "units_sold")
     return (
-        monthly.withColumnRenamed("month", "year_month")
+        monthly_counts(orders)
         .join(stock_on_hand(inventory, products), "product_id", "left")
-        .select("year_month", "product_id", *ATTRIBUTES, "units_sold",
-                F.coalesce("on_hand", F.lit(0)).alias("on_hand"))
+        .selectExpr("month AS year_month", "product_id", *ATTRIBUTES, "units AS units_sold",
+                    "coalesce(on_hand, 0) AS on_hand")
         .orderBy(desc("year_month"), desc("units_sold"), asc("product_id"))
     )

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyshelf.functions.ordering import BROADCAST_ROWS
 from tallyshelf.schemas import INVENTORY, MG, ORDERS
 from tallyshelf.sources.conform import enforce_schema
 
@@ -64,14 +65,14 @@ def orders(spark: SparkSession, folder: str) -> DataFrame:
     return enforce_schema(lines.join(order_headers(spark, folder), "order_id"), ORDERS)
 
 
-def attach_headers(top: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
-    """Header columns for a top-k of lines.
+def attach_headers(top: DataFrame, n: int, spark: SparkSession, folder: str) -> DataFrame:
+    """Header columns for a top-k of ``n`` lines.
 
-    ``top`` must come from ``limit``: its row count is the report's own bound, so it is the side
-    that is broadcast and the headers are scanned in place, not shuffled.
+    When ``n`` is small enough the lines are broadcast and the headers scanned in place, not
+    shuffled.
     """
-    joined = order_headers(spark, folder).join(F.broadcast(top), "order_id")
-    return enforce_schema(joined, ORDERS)
+    kept = F.broadcast(top) if n <= BROADCAST_ROWS else top
+    return enforce_schema(order_headers(spark, folder).join(kept, "order_id"), ORDERS)
 
 
 def inventory_units(spark: SparkSession, folder: str) -> DataFrame:

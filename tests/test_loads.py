@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import random
+
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -158,6 +161,35 @@ def test_large_files_are_put_together_from_lines(spark, write, tmp_path):
     assert report["row_count"] == len(got) == 6002 and report["skipped_rows"] == 3
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_random_files_are_read_as_pandas_reads_them(spark, write, seed):
+    """Quotes, line breaks, uneven rows, blank lines and missing words, in text columns."""
+    pick = random.Random(seed)
+    words = ["a", "b c", " d ", "é", "NA", "", "null", "1.0", "x'y", "-", "#N/A"]
+    if seed % 2:
+        words += ["p,q", 'say "hi"', "two\nlines", '"', ",\n,"]
+
+    def cell():
+        word = pick.choice(words)
+        quoted = any(c in word for c in ',"\n') or pick.random() < 0.2
+        return '"' + word.replace('"', '""') + '"' if quoted else word
+
+    # pandas takes a first row that is too wide for one with an index column.
+    lines = ["product_name,product_brand,product_category", "k,l,m"]
+    for _ in range(400):
+        width = pick.choice([3] * 10 + [1, 2, 4, 5])
+        lines.append(",".join(["k", *[cell() for _ in range(width - 1)]]))
+        if pick.random() < 0.05:
+            lines.append(pick.choice(["", "  "]))
+    path = write("i.csv", "\n".join(lines) + "\n")
+    expected = pd.read_csv(path, dtype=str, on_bad_lines="skip").astype(object)
+    rows = [tuple(r) for r in expected.where(expected.notna(), None).itertuples(index=False)]
+    for limit in (csv_tables.WHOLE_FILE_BYTES, 0):
+        loaded = load(spark, path, INVENTORY, whole_file_bytes=limit).table
+        got = loaded.select("product_name", "product_brand", "product_category").collect()
+        assert sorted(map(str, map(tuple, got))) == sorted(map(str, rows))
+
+
 def test_large_file_with_another_header(spark, write, tmp_path):
     write("all/a.csv", 'order_id,status\n1,"a\nb"\n')
     write("all/b.csv", 'status,order_id\n"a\nb",2\n')

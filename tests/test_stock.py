@@ -60,6 +60,8 @@ def test_star_form_equals_flat_form(spark, orders, inventory):
                    stock.stock_overview):
         flat, star = report(orders, inventory), report(orders, inventory, products=products)
         assert dicts(flat.orderBy("product_id")) == dicts(star.orderBy("product_id"))
+    many = stock.top_sold(orders, inventory, n=200_000, products=products)
+    assert dicts(many) == dicts(stock.top_sold(orders, inventory, n=200_000))
     flat = stock.monthly_units_stock(orders, inventory)
     monthly = stock.monthly_units_stock(orders, inventory, products.where("product_id <> 1"))
     assert dicts(flat) == dicts(monthly)

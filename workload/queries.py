@@ -62,9 +62,9 @@ def _flat_position(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _orders_by_value(spark: SparkSession, folder: str) -> DataFrame:
-    top = sales.orders_by_value(warehouse.order_lines(spark, folder))
-    listed = warehouse.attach_headers(top, spark, folder)
-    return sales.orders_by_value(listed)
+    n = sales.BY_VALUE_ROWS
+    top = sales.orders_by_value(warehouse.order_lines(spark, folder), n)
+    return sales.orders_by_value(warehouse.attach_headers(top, n, spark, folder), n)
 
 
 def _preview(spark: SparkSession, folder: str) -> DataFrame:

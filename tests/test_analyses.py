@@ -41,8 +41,9 @@ def test_retention(orders):
     assert got == [(day("2024-01-01"), 0, 1), (day("2024-01-01"), 2, 1), (day("2024-03-01"), 0, 1)]
 
 
-def test_segments_match_ranks(spark, folder):
-    rows = dicts(analyses.user_segments(warehouse.orders(spark, folder)))
+@pytest.mark.parametrize("accuracy", [10_000, 50])
+def test_segments_match_ranks(spark, folder, accuracy):
+    rows = dicts(analyses.user_segments(warehouse.orders(spark, folder), 4, accuracy))
     spends = sorted(r["spend"] for r in rows)
     n = len(spends)
     cuts = [spends[-(-n * i // 4) - 1] for i in (1, 2, 3)]
@@ -54,6 +55,17 @@ def test_segments_match_ranks(spark, folder):
     assert max(sizes.values()) - min(sizes.values()) <= 1
 
 
+def test_segments_with_many_equal_spends(spark):
+    prices = [5.0] * 40 + [1.0, 2.0, 3.0] * 5 + [9.0] * 20
+    orders = table(spark, "orders", [
+        {"user_id": i, "sale_price": p} for i, p in enumerate(prices)])
+    for segments, accuracy in ((3, 10), (5, 1000), (2, 10_000)):
+        ranked = sorted(prices)
+        cuts = [ranked[-(-len(prices) * i // segments) - 1] for i in range(1, segments)]
+        for r in dicts(analyses.user_segments(orders, segments, accuracy)):
+            assert r["segment"] == 1 + sum(r["spend"] > cut for cut in cuts)
+
+
 def test_segments_without_price(orders):
     got = {r["user_id"]: (r["spend"], r["segment"]) for r in dicts(analyses.user_segments(orders, 2))}
     assert got[2] == (None, None) and got[1][0] == 5.3

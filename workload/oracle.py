@@ -210,15 +210,15 @@ _LOADS = {
         SELECT o_orderkey AS order_id, o_custkey AS user_id, o_orderdate AS created_at
         FROM orders""",
     "load_report": _with(SHOP_MG, query="""
-        SELECT 'orders' AS table_name, FALSE AS missing, 'UTF-8' AS encoding,
+        SELECT 'orders' AS table_name, FALSE AS missing, FALSE AS latin1,
                FALSE AS multiline, 'skip' AS bad_rows, CAST(5 AS BIGINT) AS cols,
                SUM(CASE WHEN l_orderkey % 5 <> 0 THEN 1 ELSE 0 END)::BIGINT AS row_count,
                SUM(CASE WHEN l_orderkey % 5 = 0 THEN 1 ELSE 0 END)::BIGINT AS skipped_rows,
                CAST(0 AS BIGINT) AS tried_paths FROM lineitem
-        UNION ALL SELECT 'inventory', FALSE, 'ISO-8859-1', TRUE, 'skip', 4, COUNT(*), 0, 0
+        UNION ALL SELECT 'inventory', FALSE, TRUE, TRUE, 'skip', 4, COUNT(*), 0, 0
         FROM documents
-        UNION ALL SELECT 'mg', FALSE, 'UTF-8', FALSE, 'skip', 25, COUNT(*), 0, 2 FROM shop_mg
-        UNION ALL SELECT 'mg', TRUE, NULL, FALSE, 'skip', 25, 0, 0, 1"""),
+        UNION ALL SELECT 'mg', FALSE, FALSE, FALSE, 'skip', 25, COUNT(*), 0, 2 FROM shop_mg
+        UNION ALL SELECT 'mg', TRUE, FALSE, FALSE, 'skip', 25, 0, 0, 1"""),
     "enforce_schema": _with(SHOP_ORDERS, query=(
         "SELECT * REPLACE (CAST(NULL AS TIMESTAMP) AS returned_at, "
         "CAST(NULL AS BIGINT) AS inventory_item_id) FROM shop_orders")),

@@ -142,10 +142,12 @@ def _load_report(spark: SparkSession, folder: str) -> DataFrame:
         _load_mg(spark, folder),
         csv_tables.load_table(spark, MG, [f"{uneven}/mg.csv"]),
     ]
+    # Which files of a folder hold a letter beyond ASCII depends on how they were written.
+    latin1 = F.coalesce(F.col("encoding").contains(csv_tables.LATIN1), F.lit(False))
     tried = F.size(F.filter(F.split("tried", ","), lambda path: path != "")).cast("bigint")
     return reduce(DataFrame.unionByName, [load.report() for load in loads]).select(
-        "table_name", "missing", "encoding", "multiline", "bad_rows", "cols", "row_count",
-        "skipped_rows", tried.alias("tried_paths"),
+        "table_name", "missing", latin1.alias("latin1"), "multiline", "bad_rows", "cols",
+        "row_count", "skipped_rows", tried.alias("tried_paths"),
     )
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallyshelf.functions.calendar import month_number, month_start
 from tallyshelf.functions.ordering import asc, desc
 from tallyshelf.operators.sales import monthly_counts
+from tallyshelf.sources.scratch import stored
 
 
 def _money(column: str) -> Column:
@@ -90,8 +91,9 @@ def user_segments(orders: DataFrame, segments: int = 4, accuracy: int = 10_000)
 
     No global sort or rank is taken; ``accuracy`` only decides how many values are looked at again.
     A user at a cut point belongs below it, and a user without a price belongs to no segment.
+    Spend per user is used three times, so it is worked out at once and stored.
     """
-    spend = user_spend(orders)
+    spend = stored(user_spend(orders), "user-spend")
     cuts = _spend_cuts(spend, segments, accuracy).scalar()
     above = F.size(F.filter(F.col("cuts"), lambda cut: cut < F.col("spend")))
     segment = F.when(F.col("spend").isNotNull(), above + 1).cast("bigint")

@@ -1,7 +1,9 @@
-"""A folder every executor can reach, for files a job writes and reads again."""
+"""A folder every executor can reach, for tables a job writes and reads again."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -9,14 +11,29 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; only a session that names none (a test) gets a local one."""
+    """The cluster's shared folder; only a local session that names none (a test) gets a temporary one.
+
+    Raises ``ValueError`` on a cluster without ``spark.checkpoint.dir``: a folder of the driver's machine
+    would hide each executor's files from all others.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    return configured if configured else tempfile.mkdtemp(prefix="tallyshelf-")
+    if configured:
+        return configured
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    made = tempfile.mkdtemp(prefix="tallyshelf-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
+    spark.conf.set("spark.checkpoint.dir", made)
+    return made
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    """A path below the shared folder that nothing else uses."""
-    return f"{shared_folder(spark).rstrip('/')}/tallyshelf/{label}-{uuid.uuid4().hex}"
+    """A path below the shared folder that nothing else uses; it is removed when the session's JVM ends."""
+    path = f"{shared_folder(spark).rstrip('/')}/tallyshelf/{label}-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyshelf.llm import bytepair, packing, simhash
+from tallyshelf.llm import bytepair, packing, pii, secrets, simhash, topk, toxicity
 
 # Places of the public vocabularies; parameters of the operators.
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -26,6 +26,14 @@ def op1_pattern_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(pieces)
 
 
+def op2_kneser_ney_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op5_trigram_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.digest(secrets.find_secrets(table(spark, folder, "documents")))
+
+
 def op6_simhash_trie(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, folder, "documents"))
     digits = F.lpad(F.lower(F.hex("fingerprint")), 16, "0")
@@ -36,7 +44,18 @@ def op7_byte_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return bytepair.round_trip(table(spark, folder, "documents"), BYTE_BPE_RANKS, public_tokenizers.PATTERN)
 
 
+def op8_boosted_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.digest(pii.find_personal(table(spark, folder, "documents")))
+
+
+def op9_kd_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.top_k(topk.integer_vectors(table(spark, folder, "embeddings")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pattern_packing, op6_simhash_trie, op7_byte_pairs)
+    f.__name__: f for f in (
+        op1_pattern_packing, op2_kneser_ney_toxicity, op5_trigram_secrets, op6_simhash_trie, op7_byte_pairs,
+        op8_boosted_pii, op9_kd_top_k,
+    )
 }
 ORACLE: dict[str, str] = {}

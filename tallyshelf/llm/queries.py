@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyshelf.llm import bytepair, lines, packing, pii, secrets, simhash, topk, toxicity, vectors
+from tallyshelf.llm import bytepair, language_model, lines, packing, pii, secrets, simhash, topk, toxicity, vectors
 
 # Places of the public vocabularies; parameters of the operators.
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -30,6 +30,10 @@ def op2_kneser_ney_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op3_backoff_automaton(spark: SparkSession, folder: str) -> DataFrame:
+    return language_model.score(table(spark, folder, "documents"))
+
+
 def op4_flat_graph(spark: SparkSession, folder: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, folder, "embeddings"))
 
@@ -63,7 +67,7 @@ def op10_fuzzy_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_pattern_packing, op2_kneser_ney_toxicity, op4_flat_graph, op5_trigram_secrets, op6_simhash_trie, op7_byte_pairs,
+        op1_pattern_packing, op2_kneser_ney_toxicity, op3_backoff_automaton, op4_flat_graph, op5_trigram_secrets, op6_simhash_trie, op7_byte_pairs,
         op8_boosted_pii, op9_kd_top_k, op10_fuzzy_lines,
     )
 }

@@ -22,6 +22,8 @@ BANDS, BAND_ROWS = 10, 4
 LEAST_CHARS = 10
 # Tables of ids up to so many rows (about 32 MB) are sent to every task, larger ones joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+# Lines with fewer shingles get independent hash functions.
+SHORT_SHINGLES = 160
 # Characters whose signatures are computed at once.
 CHUNK_CHARS = 1_000_000
 
@@ -31,13 +33,14 @@ SEED = 42
 _P = np.uint64(0x100000001B3)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BINS = BANDS * BAND_ROWS
+_FACTORS, _TERMS = np.random.default_rng(SEED).integers(1 << 62, 1 << 63, (2, _BINS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def band_hashes(lines: list[str]) -> np.ndarray:
-    """``BANDS`` signed 64-bit hashes per line from a one-permutation MinHash of its shingles.
+    """``BANDS`` signed 64-bit hashes per line from a MinHash of its shingles; lines must have ``SHINGLE`` characters or more.
 
-    Every shingle's hash falls into one bin and the least in a bin counts; empty bins take over others by a fixed walk. Lines
-    must have ``SHINGLE`` characters or more.
+    Short lines get independent hash functions, long ones a single permutation: with few shingles, bins would repeat each other
+    and bands would meet in one shared shingle.
     """
     chars = np.frombuffer("".join(lines).encode("utf-32-le"), "<u4").astype(np.uint64)
     sizes = np.array([len(line) for line in lines])
@@ -55,11 +58,32 @@ def band_hashes(lines: list[str]) -> np.ndarray:
     at = np.arange(count.sum()) + np.repeat(ends - sizes - (np.cumsum(count) - count), count)
     h = h[at]
     line = np.repeat(np.arange(len(lines)), count)
+    signature = np.empty((len(lines), _BINS), np.uint64)
+    short = count < SHORT_SHINGLES
+    if short.any():
+        own = h[short[line]]
+        starts = np.cumsum(count[short]) - count[short]
+        for j in range(_BINS):
+            signature[short, j] = np.minimum.reduceat(own * _FACTORS[j] + _TERMS[j], starts)
+    if not short.all():
+        signature[~short] = _one_permutation(h, line, len(lines))[~short]
+    bands = np.zeros((len(lines), BANDS), np.uint64)
+    for k in range(BANDS):
+        mixed = np.full(len(lines), k + 1, np.uint64)
+        for j in range(BAND_ROWS):
+            mixed = (mixed ^ signature[:, k * BAND_ROWS + j]) * _ODD
+            mixed ^= mixed >> np.uint64(32)
+        bands[:, k] = mixed
+    return bands.view(np.int64)
+
+
+def _one_permutation(h: np.ndarray, line: np.ndarray, lines: int) -> np.ndarray:
+    """Every shingle's hash falls into one bin, and the least in a bin counts; empty bins take over others by a fixed walk."""
     bins = ((h >> np.uint64(32)) * np.uint64(_BINS) >> np.uint64(32)).astype(np.int64)
     empty = np.uint64(0xFFFFFFFFFFFFFFFF)
-    least = np.full(len(lines) * _BINS, empty, np.uint64)
+    least = np.full(lines * _BINS, empty, np.uint64)
     np.minimum.at(least, line * _BINS + bins, h)
-    least = least.reshape(len(lines), _BINS)
+    least = least.reshape(lines, _BINS)
     filled = least != empty
     signature = least.copy()
     column = np.arange(_BINS, dtype=np.uint64)
@@ -71,14 +95,7 @@ def band_hashes(lines: list[str]) -> np.ndarray:
         source = source.astype(np.int64)
         take = (signature == empty) & filled[:, source]
         signature[take] = (least[:, source] + np.uint64(attempt))[take]
-    bands = np.zeros((len(lines), BANDS), np.uint64)
-    for k in range(BANDS):
-        mixed = np.full(len(lines), k + 1, np.uint64)
-        for j in range(BAND_ROWS):
-            mixed = (mixed ^ signature[:, k * BAND_ROWS + j]) * _ODD
-            mixed ^= mixed >> np.uint64(32)
-        bands[:, k] = mixed
-    return bands.view(np.int64)
+    return signature
 
 
 def line_marks(docs: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tallyshelf.sources.scratch import stored
 
 # N-grams up to this length; those up to SHARED_ORDER are counted over both classes.
-ORDER, SHARED_ORDER = 6, 2
+ORDER, SHARED_ORDER = 5, 2
 SLOT_BITS = 19
 DISCOUNT = 0.75
 # The model is fitted on at most so many labelled documents of each class, chosen by hash; a quarter of them calibrate the score.
@@ -54,11 +54,11 @@ def _slots(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return slots, depth, word
 
 
-def count_ngrams(texts: DataFrame) -> pd.DataFrame:
-    """``order, slot, prefix, suffix, toxic, plain``: the n-grams of ``texts (text, toxic)`` with their counts by class.
+def count_ngrams(texts: DataFrame) -> dict[int, dict[str, np.ndarray]]:
+    """By order: ``slot, prefix, suffix, toxic, plain`` of the n-grams of ``texts (text, toxic)``, with counts by class.
 
     ``prefix`` is the slot of the n-gram without its last, ``suffix`` without its first character. There are at most
-    ``ORDER * 2 ** SLOT_BITS`` rows.
+    ``2 ** SLOT_BITS`` n-grams per order.
     """
 
     def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,12 +81,17 @@ def count_ngrams(texts: DataFrame) -> pd.DataFrame:
             slot = np.flatnonzero(counts[:, k].any(axis=0))
             columns = [np.full(len(slot), k + 1), slot, parts[0, k, slot], parts[1, k, slot], counts[1, k, slot], counts[0, k, slot]]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c.astype(np.int64)) for c in columns], ["order", "slot", "prefix", "suffix", "toxic", "plain"])
+                [pa.array(c.astype(np.int32)) for c in columns], ["order", "slot", "prefix", "suffix", "toxic", "plain"])
 
-    fields = "order long, slot long, prefix long, suffix long, toxic long, plain long"
+    fields = "order int, slot int, prefix int, suffix int, toxic int, plain int"
     counted = texts.select("text", "toxic").mapInArrow(per_task, fields).groupBy("order", "slot")
-    sums = counted.agg(*(F.min(c).alias(c) for c in ("prefix", "suffix")), *(F.sum(c).alias(c) for c in ("toxic", "plain")))
-    return sums.toPandas()
+    sums = counted.agg(*(F.min(c).alias(c) for c in ("prefix", "suffix")), *(F.sum(c).cast("int").alias(c) for c in ("toxic", "plain")))
+    sums = stored(sums, "ngrams")
+    found = {}
+    for k in range(1, ORDER + 1):
+        table = sums.where(F.col("order") == k).drop("order").toArrow()
+        found[k] = {name: table.column(name).to_numpy() for name in table.column_names}
+    return found
 
 
 @dataclass
@@ -97,29 +102,29 @@ class KneserNey:
     backoff: np.ndarray  # [class, order, slot of the context]
 
     @staticmethod
-    def fit(grams: pd.DataFrame) -> KneserNey:
+    def fit(grams: dict[int, dict[str, np.ndarray]]) -> KneserNey:
         size = 1 << SLOT_BITS
         direct = np.zeros((2, ORDER, size), np.float32)
         backoff = np.ones((2, ORDER, size), np.float32)
-        by_order = {k: g for k, g in grams.groupby("order")}
+        by_order = {k: g for k, g in grams.items() if len(g["slot"])}
         for c, own in enumerate(("plain", "toxic")):
             for k in range(1, ORDER + 1):
                 if k not in by_order:
                     continue
                 rows = by_order[k]
                 both = k <= SHARED_ORDER
-                seen = (rows["toxic"] + rows["plain"] if both else rows[own]).to_numpy()
+                seen = rows["toxic"] + rows["plain"] if both else rows[own]
                 value = seen.astype(float)
                 if k < ORDER and k + 1 in by_order:
                     longer = by_order[k + 1]
-                    there = (longer["toxic"] + longer["plain"] if both else longer[own]).to_numpy() > 0
-                    ways = np.bincount(longer["suffix"].to_numpy()[there], minlength=size)[rows["slot"].to_numpy()]
+                    there = (longer["toxic"] + longer["plain"] if both else longer[own]) > 0
+                    ways = np.bincount(longer["suffix"][there], minlength=size)[rows["slot"]]
                     value = np.where((ways > 0) & (seen > 0), ways, value)  # what starts a word has no continuation
-                context = rows["prefix"].to_numpy() if k > 1 else np.zeros(len(rows), np.int64)
+                context = rows["prefix"] if k > 1 else np.zeros(len(seen), np.int64)
                 total = np.bincount(context, value, minlength=size)
                 kinds = np.bincount(context, value > 0, minlength=size)
                 with np.errstate(divide="ignore", invalid="ignore"):
-                    direct[c, k - 1, rows["slot"].to_numpy()] = np.nan_to_num(np.maximum(value - DISCOUNT, 0) / total[context])
+                    direct[c, k - 1, rows["slot"]] = np.nan_to_num(np.maximum(value - DISCOUNT, 0) / total[context])
                     backoff[c, k - 1] = np.where(total > 0, DISCOUNT * kinds / total, 1)
         return KneserNey(direct, backoff)
 

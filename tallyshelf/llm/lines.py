@@ -22,6 +22,8 @@ BANDS, BAND_ROWS = 10, 4
 LEAST_CHARS = 10
 # Tables of ids up to so many rows (about 32 MB) are sent to every task, larger ones joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+# The same for texts of compared lines, in bytes.
+BROADCAST_BYTES = 16_000_000
 # Lines with fewer shingles get independent hash functions.
 SHORT_SHINGLES = 160
 # Characters whose signatures are computed at once.
@@ -154,6 +156,9 @@ def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     left = texts.select(F.col("line").alias("a"), F.col("text").alias("left"))
     right = texts.select(F.col("line").alias("b"), F.col("text").alias("right"))
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
+    if size <= BROADCAST_BYTES:
+        left, right = F.broadcast(left), F.broadcast(right)
     return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(verify, "a long, b long")
 
 
@@ -165,7 +170,8 @@ def _sized(table: DataFrame) -> DataFrame:
 def line_links(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """``a, b``: links that join similar ``lines (line, bands)`` of ``docs`` into the components of all similar pairs in shared bands.
 
-    In a band with more than two lines each is compared with the smallest; those that differ from it are compared with all others.
+    In a band with more than two lines each is compared with the smallest; those that are not linked to it then, in whatever band, are
+    compared with all lines of the band that they are not linked to.
     """
     banded = lines.select("line", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.min("line").alias("a"), F.max("line").alias("b"), F.count("*").alias("n"))
@@ -179,11 +185,16 @@ def line_links(docs: DataFrame, lines: DataFrame) -> DataFrame:
     pieces = pieces.where(F.length("text") >= LEAST_CHARS).withColumn("line", F.xxhash64("text"))
     texts = stored(pieces.join(_sized(ids), "line").groupBy("line").agg(F.min("text").alias("text")), "texts")
     good = stored(_similar(first, texts), "similar")
-    bad = first.join(good, ["a", "b"], "left_anti")
-    odd = stored(members.join(bad.withColumnRenamed("b", "line"), ["a", "line"], "left_semi").select("band", F.col("line").alias("x")), "odd")
+    roots = component_roots(good)
+    of_line = roots.select(F.col("node").alias("line"), F.col("root").alias("root"))
+    of_first = roots.select(F.col("node").alias("a"), F.col("root").alias("first_root"))
+    rooted = members.join(of_line, "line", "left").join(of_first, "a", "left")
+    rooted = rooted.select("band", "line", F.coalesce("root", "line").alias("root"), F.coalesce("first_root", "a").alias("first_root"))
+    rooted = stored(rooted, "rooted")
+    odd = stored(rooted.where("root <> first_root").select("band", F.col("line").alias("x"), F.col("root").alias("own")), "odd")
     if odd.isEmpty():
         return good
-    others = members.join(_sized(odd), "band").where("line <> x")
+    others = rooted.join(_sized(odd), "band").where("root <> own")
     others = others.select(F.least("line", "x").alias("a"), F.greatest("line", "x").alias("b")).distinct()
     return good.union(_similar(others, texts))
 

@@ -27,9 +27,14 @@ def then_by_rest(df: DataFrame, used: Iterable[str]) -> list[Column]:
 
 
 def take(df: DataFrame, keys: list[Column], n: int | None) -> DataFrame:
-    """Sort, and keep the first ``n`` when given (planned as one TakeOrderedAndProject)."""
+    """Sort, and keep the first ``n`` when given (planned as one TakeOrderedAndProject).
+
+    A limit that Spark cannot count raises ``ValueError``; it is never left out.
+    """
+    if n is not None and n > _LARGEST_LIMIT:
+        raise ValueError(f"a limit is at most {_LARGEST_LIMIT}, not {n}")
     ordered = df.orderBy(*keys)
-    return ordered if n is None or n > _LARGEST_LIMIT else ordered.limit(n)
+    return ordered if n is None else ordered.limit(n)
 
 
 def sort_copies(df: DataFrame, keys: list[Column]) -> DataFrame:

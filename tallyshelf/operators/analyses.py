@@ -75,6 +75,7 @@ def _spend_cuts(spend: DataFrame, segments: int, accuracy: int) -> DataFrame:
                  .otherwise(F.col("spend")).alias("value"))
         .agg(F.count("*").alias("users"), F.any_value("sketch.n").alias("n"))
     )
+    missed = (F.size("cuts") > 0) & ((F.size("cuts") != len(numbers)) | F.array_contains("cuts", below))
     reached = F.sum("users").over(Window.partitionBy("cut").orderBy("value"))
     rank = F.ceil((F.col("cut") + 1) * F.col("n") / segments)
     return (
@@ -83,6 +84,7 @@ def _spend_cuts(spend: DataFrame, segments: int, accuracy: int) -> DataFrame:
         .groupBy("cut").agg(F.min("value").alias("value"))
         .agg(F.array_sort(F.collect_list(F.struct("cut", "value"))).alias("cuts"))
         .select(F.col("cuts.value").alias("cuts"))
+        .select(F.when(missed, F.raise_error(F.lit("a quantile bracket missed its cut"))).otherwise(F.col("cuts")).alias("cuts"))
     )
 
 
@@ -129,12 +131,10 @@ def retention(orders: DataFrame) -> DataFrame:
     """Users by month of first purchase, and how many of them bought again n months later."""
     active = (
         orders.where(F.col("user_id").isNotNull() & F.col("created_at").isNotNull())
-        .select("user_id", month_start(F.col("created_at")).alias("month"))
-        .distinct()
+        .groupBy("user_id").agg(F.collect_set(month_start(F.col("created_at"))).alias("months"))
     )
-    # At most one row per month in a user's window.
-    first = F.min("month").over(Window.partitionBy("user_id"))
-    cohorts = active.withColumn("cohort", first)
+    # At most one entry per month in a user's set.
+    cohorts = active.select("user_id", F.array_min("months").alias("cohort"), F.explode("months").alias("month"))
     offset = month_number(F.col("month")) - month_number(F.col("cohort"))
     return (
         cohorts.groupBy("cohort", offset.cast("bigint").alias("months_later"))

@@ -119,13 +119,13 @@ def levenshtein_ratio(candidate: Column, word: Column) -> Column:
 
 
 def suggest_columns(
-    missing: DataFrame, samples: DataFrame | None = None, similarity: str = "gestalt"
+    missing: DataFrame, samples: DataFrame | None = None, similarity: str = "levenshtein"
 ) -> DataFrame:
     """At most five columns that each missing ``table_name, column_name`` may have meant.
 
     Synonyms first, then names containing one another, then similar names (ratio of at least
-    0.6, the five best), without repeats. ``similarity`` is ``gestalt`` (an Arrow UDF) or
-    ``levenshtein`` (built in). ``samples`` adds an example value per suggested column.
+    0.6, the five best), without repeats. ``similarity`` is ``levenshtein`` (built in)
+    or ``gestalt`` (an Arrow UDF). ``samples`` adds an example value per suggested column.
 
     Only distinct names are compared, each with the at most 25 columns of its table.
     """

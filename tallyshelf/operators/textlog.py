@@ -37,7 +37,8 @@ REPLY_DECORATIONS = [
 ]
 
 # From where a query starts to the end; prose may say "with", a WITH clause names a query.
-_QUERY = r"(?is)(?:\bselect\b|\bwith\s+(?:recursive\s+)?\w+\s+as\s*\().*"
+_NAMED = r"""with\s+(?:recursive\s+)?(?:\w+|"[^"]+"|`[^`]+`)\s*(?:\([^()]*\)\s*)?as\s*(?:(?:not\s+)?materialized\s*)?\("""
+_QUERY = rf"(?is)(?:\bselect\b|\b{_NAMED}).*"
 _WHITESPACE = " \t\n\r\f\v"
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+from pyspark.errors import ParseException
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyshelf.session import tune
@@ -20,8 +23,15 @@ def isolated_session(spark: SparkSession) -> SparkSession:
 
 
 def free_select(spark: SparkSession, sql: str) -> DataFrame:
-    """The result of one query over the registered tables; errors are raised, never replaced."""
+    """The result of one query over the registered tables; errors are raised, never replaced.
+
+    Only what can stand as a subquery is run: commands and inserts, also after WITH, are refused before anything runs.
+    """
     statement = sql.strip().rstrip(";").strip()
-    if statement.split(None, 1)[0].lower() not in ("select", "with"):
+    if not re.match(r"(?i)(select|with)\b", statement):
         raise ValueError("only a SELECT or a WITH query is accepted")
+    try:
+        spark.sql(f"SELECT * FROM (\n{statement}\n)")
+    except ParseException as error:
+        raise ValueError("only one query that reads is accepted") from error
     return spark.sql(statement)

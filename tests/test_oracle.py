@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
@@ -22,7 +24,8 @@ def test_equals_sql(spark, folder, duck, name):
 
 def test_every_sql_belongs_to_a_query():
     assert set(oracle_sql()) <= set(queries())
-    assert set(queries()) - set(oracle_sql()) == {"suggest_columns_gestalt"}
+    without = {name for name in set(queries()) - set(oracle_sql()) if not re.match(r"op\d+_|pipeline$", name)}
+    assert not without
 
 
 def test_entry(spark):

@@ -15,7 +15,7 @@ from tallyshelf.sources import warehouse
 from tests.tables import dicts
 
 WRITES_FILES = {name for name in queries() if name.startswith("load_")}
-USES_PYTHON = {"suggest_columns_gestalt"}
+USES_PYTHON: set[str] = set()
 NARROW = {"enforce_schema", "coerce_types", "nan_to_null"}
 TEXT_JOBS = {"route_questions", "clean_sql_log", "audit_columns"}
 

@@ -3,8 +3,12 @@ from __future__ import annotations
 from difflib import get_close_matches
 
 import pytest
+from pyspark.sql import functions as F
 
+from tallyshelf.functions.ordering import take
 from tallyshelf.operators import columns, textlog
+from tallyshelf.operators.textlog import clean_sql
+from tallyshelf.plans.free_select import free_select
 from tallyshelf.schemas import TABLES
 from tests.tables import dicts
 
@@ -99,7 +103,7 @@ def test_suggestions_equal_the_rule(spark):
     pairs = [(t, w) for t, ws in words.items() for w in ws]
     missing = spark.createDataFrame(pairs * 3, "table_name string, column_name string")
     got: dict = {}
-    for r in sorted(dicts(columns.suggest_columns(missing)), key=lambda r: r["rank"]):
+    for r in sorted(dicts(columns.suggest_columns(missing, similarity="gestalt")), key=lambda r: r["rank"]):
         got.setdefault((r["table_name"], r["column_name"]), []).append(r["suggestion"])
     for table, word in pairs:
         assert got.get((table, word), []) == expected_suggestions(table, word), (table, word)
@@ -113,3 +117,24 @@ def test_suggestion_sample(spark):
     assert (row["suggestion"], row["sample"], row["rank"]) == ("sale_price", "12.5", 1)
     with pytest.raises(ValueError, match="unknown similarity"):
         columns.suggest_columns(missing, similarity="other")
+
+
+def test_named_queries_keep_their_start(spark):
+    replies = ["Sure: WITH t(a) AS (SELECT 1) SELECT a FROM t", 'WITH "t" AS (SELECT 1 AS a) SELECT a FROM "t"',
+               "WITH t AS MATERIALIZED (SELECT 1 AS a) SELECT a FROM t"]
+    rows = spark.createDataFrame([(r,) for r in replies], "reply string").select(clean_sql(F.col("reply")).alias("sql")).collect()
+    assert all(r.sql.upper().startswith("WITH") for r in rows)
+
+
+def test_free_select_only_reads(spark, tmp_path):
+    target = tmp_path / "out"
+    for text in ("", "  ;", "DROP TABLE t", f"WITH t AS (SELECT 1 AS a) INSERT OVERWRITE DIRECTORY '{target}' USING parquet SELECT * FROM t"):
+        with pytest.raises(ValueError):
+            free_select(spark, text)
+    assert not target.exists()
+    assert free_select(spark, "WITH t AS (SELECT 1 AS a, 2 AS a) SELECT * FROM t ORDER BY 1;").count() == 1
+
+
+def test_limit_is_never_left_out(spark):
+    with pytest.raises(ValueError):
+        take(spark.range(3), [F.col("id")], 2**31)

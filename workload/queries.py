@@ -238,7 +238,6 @@ QUERIES: dict[str, Query] = {
     "clean_sql_log": _clean_sql_log,
     "audit_columns": _audit_columns,
     "suggest_columns": _suggest("levenshtein"),
-    "suggest_columns_gestalt": _suggest("gestalt"),
     # analyses
     "monthly_trend": _orders(analyses.monthly_trend),
     "user_segments": _orders(analyses.user_segments),

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyshelf.llm.components import component_roots
@@ -26,8 +26,10 @@ BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 16_000_000
 # Lines with fewer shingles get independent hash functions.
 SHORT_SHINGLES = 160
-# Characters whose signatures are computed at once.
-CHUNK_CHARS = 1_000_000
+# Characters whose signatures are computed at once, and lines whose sketches are.
+CHUNK_CHARS, CHUNK_LINES = 1_000_000, 4096
+# A sketch has a bit per hash value of a shingle, in so many 64-bit words.
+SKETCH_WORDS = 32
 
 SPACE = " \t\r\x0b\x0c"
 SEED = 42
@@ -38,12 +40,8 @@ _BINS = BANDS * BAND_ROWS
 _FACTORS, _TERMS = np.random.default_rng(SEED).integers(1 << 62, 1 << 63, (2, _BINS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def band_hashes(lines: list[str]) -> np.ndarray:
-    """``BANDS`` signed 64-bit hashes per line from a MinHash of its shingles; lines must have ``SHINGLE`` characters or more.
-
-    Short lines get independent hash functions, long ones a single permutation: with few shingles, bins would repeat each other
-    and bands would meet in one shared shingle.
-    """
+def _shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of every shingle of all lines, in order, and how many each line has."""
     chars = np.frombuffer("".join(lines).encode("utf-32-le"), "<u4").astype(np.uint64)
     sizes = np.array([len(line) for line in lines])
     h, width = chars, 1
@@ -58,7 +56,27 @@ def band_hashes(lines: list[str]) -> np.ndarray:
     ends = np.cumsum(sizes)
     count = sizes - SHINGLE + 1
     at = np.arange(count.sum()) + np.repeat(ends - sizes - (np.cumsum(count) - count), count)
-    h = h[at]
+    return h[at], count
+
+
+def sketches(lines: list[str]) -> np.ndarray:
+    """``SKETCH_WORDS`` signed words per line with the bits of its shingles' hashes set.
+
+    Two lines' sketches differ in at most as many bits as their shingle sets differ in shingles.
+    """
+    h, count = _shingle_hashes(lines)
+    bits = np.zeros((len(lines), SKETCH_WORDS * 64), bool)
+    bits[np.repeat(np.arange(len(lines)), count), (h >> np.uint64(32)) * np.uint64(SKETCH_WORDS * 64) >> np.uint64(32)] = True
+    return np.packbits(bits, axis=1).view(np.int64)
+
+
+def band_hashes(lines: list[str]) -> np.ndarray:
+    """``BANDS`` signed 64-bit hashes per line from a MinHash of its shingles; lines must have ``SHINGLE`` characters or more.
+
+    Short lines get independent hash functions, long ones a single permutation: with few shingles, bins would repeat each other
+    and bands would meet in one shared shingle.
+    """
+    h, count = _shingle_hashes(lines)
     line = np.repeat(np.arange(len(lines)), count)
     signature = np.empty((len(lines), _BINS), np.uint64)
     short = count < SHORT_SHINGLES
@@ -162,6 +180,33 @@ def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(verify, "a long, b long")
 
 
+def _sketched(texts: DataFrame) -> DataFrame:
+    """``line, shingles, w0, w1, ...``: the size of each line's shingle set, and the words of its sketch."""
+    words = [f"w{k}" for k in range(SKETCH_WORDS)]
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = own = 0
+            for number, text in enumerate(batch.column(1)):
+                size += len(text.as_py())
+                if size > CHUNK_CHARS or number - own + 1 == CHUNK_LINES or number + 1 == len(batch):
+                    part = batch.slice(own, number + 1 - own)
+                    lines = part.column(1).to_pylist()
+                    counts = pa.array([len(_shingles(line)) for line in lines], pa.int32())
+                    columns = [pa.array(column) for column in np.ascontiguousarray(sketches(lines).T)]
+                    yield pa.RecordBatch.from_arrays([part.column(0), counts, *columns], ["line", "shingles", *words])
+                    size, own = 0, number + 1
+
+    schema = ", ".join(["line long", "shingles int", *[f"{w} long" for w in words]])
+    return texts.select("line", "text").mapInArrow(sketch, schema)
+
+
+def _close(sizes: Column, left: str, right: str) -> Column:
+    """Whether two sketches may belong to similar lines: sets of that similarity differ in few shingles, so in few bits."""
+    bits = [F.bit_count(F.col(f"{left}.w{k}").bitwiseXOR(F.col(f"{right}.w{k}"))) for k in range(SKETCH_WORDS)]
+    return reduce(Column.__add__, bits) * (1 + SIMILARITY) <= sizes * (1 - SIMILARITY) + 1e-6
+
+
 def _sized(table: DataFrame) -> DataFrame:
     """A stored table of ids, to be sent to every task if it is small."""
     return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
@@ -171,7 +216,8 @@ def line_links(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """``a, b``: links that join similar ``lines (line, bands)`` of ``docs`` into the components of all similar pairs in shared bands.
 
     In a band with more than two lines each is compared with the smallest; those that are not linked to it then, in whatever band, are
-    compared with all lines of the band that they are not linked to.
+    compared with all lines of the band that they are not linked to: in the join by their sketches, which rule out most pairs that
+    are not similar and no other, then by their shingles.
     """
     banded = lines.select("line", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.min("line").alias("a"), F.max("line").alias("b"), F.count("*").alias("n"))
@@ -191,11 +237,17 @@ def line_links(docs: DataFrame, lines: DataFrame) -> DataFrame:
     rooted = members.join(of_line, "line", "left").join(of_first, "a", "left")
     rooted = rooted.select("band", "line", F.coalesce("root", "line").alias("root"), F.coalesce("first_root", "a").alias("first_root"))
     rooted = stored(rooted, "rooted")
-    odd = stored(rooted.where("root <> first_root").select("band", F.col("line").alias("x"), F.col("root").alias("own")), "odd")
-    if odd.isEmpty():
+    mixed = rooted.where("root <> first_root").select("band").distinct()
+    mixed = stored(rooted.join(_sized(stored(mixed, "mixed")), "band"), "unlinked")
+    if mixed.isEmpty():
         return good
-    others = rooted.join(_sized(odd), "band").where("root <> own")
-    others = others.select(F.least("line", "x").alias("a"), F.greatest("line", "x").alias("b")).distinct()
+    lines_of = _sized(stored(mixed.select("line").distinct(), "apart"))
+    sketched = stored(_sketched(texts.join(lines_of, "line")), "sketches")
+    mixed = stored(mixed.join(sketched, "line"), "sketched")
+    odd, other = mixed.where("root <> first_root").alias("x"), mixed.alias("y")
+    apart = (F.col("x.band") == F.col("y.band")) & (F.col("x.root") != F.col("y.root"))
+    others = odd.join(other, apart & _close(F.col("x.shingles") + F.col("y.shingles"), "x", "y"))
+    others = others.select(F.least("x.line", "y.line").alias("a"), F.greatest("x.line", "y.line").alias("b")).distinct()
     return good.union(_similar(others, texts))
 
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import random
+
 import corpus_pipeline
+import numpy as np
 from tallyshelf.llm import lines
 from tests.llm import brute
 from tests.llm.test_operators import ODD, documents
@@ -43,6 +46,34 @@ def test_given_table(spark):
     assert all(r.n_chars == len(r.text) for r in rows)
 
 
+def near_copies(count, seed=5):
+    """Lines around the threshold to one base line and to each other, of several lengths."""
+    pick = random.Random(seed)
+    bases = ["".join(pick.choices("abcdefgh ", k=size)).strip() for size in (60, 300, 900)]
+    made = []
+    for _ in range(count):
+        line = list(pick.choice(bases))
+        for _ in range(pick.randrange(1, max(2, len(line) // 50))):
+            line[pick.randrange(len(line))] = pick.choice("xyz")
+        made.append("".join(line))
+    return made
+
+
+def test_sketches_never_exceed_the_difference():
+    own = near_copies(60)
+    bits = np.unpackbits(lines.sketches(own).view(np.uint8), axis=1)
+    sets = [{x[k : k + 9] for k in range(len(x) - 8)} for x in own]
+    for i in range(len(own)):
+        for j in range(i):
+            assert (bits[i] != bits[j]).sum() <= len(sets[i] ^ sets[j])
+
+
+def test_groups_around_the_threshold(spark):
+    texts = near_copies(240)
+    found = {r.doc_id: r.text for r in lines.dedup_lines(documents(spark, texts)).collect()}
+    assert found == expected(dict(enumerate(texts)))
+
+
 def test_odd_rows(spark):
     line = "this line of some length is repeated"
     texts = [*ODD, line, f"{line}\nshort\n\n{line}s", "short", f"  {line}\t"]

@@ -243,11 +243,15 @@ def line_links(docs: DataFrame, lines: DataFrame) -> DataFrame:
         return good
     lines_of = _sized(stored(mixed.select("line").distinct(), "apart"))
     sketched = stored(_sketched(texts.join(lines_of, "line")), "sketches")
-    mixed = stored(mixed.join(sketched, "line"), "sketched")
-    odd, other = mixed.where("root <> first_root").alias("x"), mixed.alias("y")
+    mixed = mixed.withColumn("odd", F.col("root") != F.col("first_root")).drop("first_root")
+    mixed = stored(mixed.join(sketched.join(lines, "line"), "line"), "sketched")
+    x, y = mixed.where("odd").alias("x"), mixed.alias("y")
+    # A pair is met once: in the first band it shares, and from its smaller line if both are odd.
+    common = [F.when(F.col("x.bands")[k] == F.col("y.bands")[k], F.col("x.bands")[k]) for k in range(BANDS)]
     apart = (F.col("x.band") == F.col("y.band")) & (F.col("x.root") != F.col("y.root"))
-    others = odd.join(other, apart & _close(F.col("x.shingles") + F.col("y.shingles"), "x", "y"))
-    others = others.select(F.least("x.line", "y.line").alias("a"), F.greatest("x.line", "y.line").alias("b")).distinct()
+    apart &= (~F.col("y.odd") | (F.col("x.line") < F.col("y.line"))) & (F.coalesce(*common) == F.col("x.band"))
+    others = x.join(y, apart & _close(F.col("x.shingles") + F.col("y.shingles"), "x", "y"))
+    others = others.select(F.least("x.line", "y.line").alias("a"), F.greatest("x.line", "y.line").alias("b"))
     return good.union(_similar(others, texts))
 
 

@@ -1,8 +1,7 @@
 """CSV exports of unknown encoding, with rows of the wrong width, into declared tables.
 
 A pre-scan decides per file how it must be read; the files are then read in a few groups. A file
-without quoted line breaks is split as usual. A file with some is read whole by one task when it is
-small, and put together from its lines by many tasks when it is large.
+without quoted line breaks is split as usual, the records of a file with some are put together from its lines.
 """
 
 from __future__ import annotations
@@ -19,11 +18,10 @@ from pyspark.sql import types as T
 
 from tallyshelf.schemas import TableSpec
 from tallyshelf.sources import conform
-from tallyshelf.sources.csv_records import read_records
+from tallyshelf.sources.csv_records import FIELD, OPENS, read_records
 
 UTF8 = "UTF-8"
 LATIN1 = "ISO-8859-1"
-WHOLE_FILE_BYTES = 256 * 2**20
 _RAW = "_raw_record"
 
 
@@ -34,7 +32,6 @@ class ReadPlan:
     encoding: str
     multiline: bool
     paths: tuple[str, ...]
-    large: bool = False
 
 
 @dataclass(frozen=True)
@@ -90,38 +87,32 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return True
 
 
-def plan_reads(
-    spark: SparkSession, paths: Sequence[str], whole_file_bytes: int = WHOLE_FILE_BYTES
-) -> list[ReadPlan]:
+def plan_reads(spark: SparkSession, paths: Sequence[str]) -> list[ReadPlan]:
     """Encoding and line-break handling per file, as groups of files.
 
     One pass over the lines with a map-side aggregate, one row per file. A file whose bytes are
-    not UTF-8 is ISO-8859-1. A line with an odd number of quotes may begin a value that goes on
-    in the next line.
+    not UTF-8 is ISO-8859-1. The first line that would end inside a quoted field starts outside of one,
+    so it begins a value that goes on in the next line.
     """
     lines = spark.read.text(list(paths)).select(
         "value",
         F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_size").alias("bytes"),
     )
-    # In bytes: lines that are not UTF-8 cannot be counted in characters.
-    quotes = F.octet_length("value") - F.octet_length(F.replace("value", F.lit('"'), F.lit("")))
-    per_file = lines.groupBy("file", "bytes").agg(
+    per_file = lines.groupBy("file").agg(
         F.bool_and(F.is_valid_utf8("value")).alias("utf8"),
-        F.bool_or(quotes % 2 == 1).alias("multiline"),
+        F.bool_or(F.col("value").rlike(OPENS)).alias("multiline"),
     )
     # One small row per input file: Spark's own file index on the driver is larger than this.
-    groups: dict[tuple[str, bool, bool], list[str]] = {}
+    groups: dict[tuple[str, bool], list[str]] = {}
     for row in per_file.collect():
-        large = row.multiline and row.bytes > whole_file_bytes
-        key = (UTF8 if row.utf8 else LATIN1, row.multiline, large)
+        key = (UTF8 if row.utf8 else LATIN1, row.multiline)
         groups.setdefault(key, []).append(unquote(row.file))
     if len(groups) == 1:
-        (encoding, multiline, large), = groups
-        return [ReadPlan(encoding, multiline, tuple(paths), large)]
+        (encoding, multiline), = groups
+        return [ReadPlan(encoding, multiline, tuple(paths))]
     return [
-        ReadPlan(encoding, multiline, tuple(sorted(files)), large)
-        for (encoding, multiline, large), files in sorted(groups.items())
+        ReadPlan(encoding, multiline, tuple(sorted(files)))
+        for (encoding, multiline), files in sorted(groups.items())
     ]
 
 
@@ -161,11 +152,9 @@ def shape_rows(rows: DataFrame, headers: Sequence[str | None], spec: TableSpec)
     Rows with fewer fields than the header keep nulls for the rest; blank lines are dropped.
     """
     names = conform.normal_headers(headers, spec)
-    # Spark keeps the raw record of rows of another width only; wide ones have more separators
-    # outside quotes than the header has.
-    unquoted = F.regexp_replace(_RAW, r'"[^"]*"', "")
-    separators = F.length(unquoted) - F.length(F.replace(unquoted, F.lit(","), F.lit("")))
-    too_wide = F.coalesce(separators >= len(names), F.lit(False))
+    # Spark keeps the raw record of rows of another width only; wide ones have a comma after as many
+    # fields as the header has.
+    too_wide = F.coalesce(F.col(_RAW).rlike(f"^{FIELD}{{{len(names)}}}"), F.lit(False))
     not_blank = F.trim(F.concat_ws("", F.col(f"`{names[0]}`"), F.col(_RAW))) != ""
     return (
         rows.toDF(*names, _RAW)
@@ -179,7 +168,7 @@ def read_raw(spark: SparkSession, plan: ReadPlan, spec: TableSpec) -> DataFrame:
     headers = _header(spark, plan)
     schema, plain = text_schema(headers)
     options = reader_options(plan.encoding, plan.multiline, plain)
-    if plan.large:
+    if plan.multiline:
         rows = _parse_records(read_records(spark, plan.paths, plan.encoding), headers, schema)
     else:
         rows = spark.read.schema(schema).options(**options).csv(list(plan.paths))
@@ -211,12 +200,10 @@ def load_table(
     formats: Sequence[str] = (),
     encoding: str | None = None,
     multiline: bool | None = None,
-    whole_file_bytes: int = WHOLE_FILE_BYTES,
 ) -> LoadedTable:
     """The first existing candidate path as a declared table; an empty table when none exists.
 
-    Giving both ``encoding`` and ``multiline`` skips the pre-scan. Files with quoted line breaks
-    above ``whole_file_bytes`` are put together from lines instead of being read by one task each.
+    Giving both ``encoding`` and ``multiline`` skips the pre-scan.
     """
     paths = [candidates] if isinstance(candidates, str) else list(candidates)
     tried: list[str] = []
@@ -232,9 +219,9 @@ def load_table(
         plans = [ReadPlan(encoding, multiline, (path,))]
     else:
         plans = []
-        for p in plan_reads(spark, [path], whole_file_bytes):
+        for p in plan_reads(spark, [path]):
             breaks = p.multiline if multiline is None else multiline
-            plans.append(ReadPlan(encoding or p.encoding, breaks, p.paths, p.large and breaks))
+            plans.append(ReadPlan(encoding or p.encoding, breaks, p.paths))
     if not plans:  # no line in any file
         empty = spark.createDataFrame([], spec.schema)
         return LoadedTable(spec, empty, None, (), path, tuple(tried), 0)

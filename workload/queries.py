@@ -224,7 +224,7 @@ QUERIES: dict[str, Query] = {
     "load_orders": _load_orders,
     "load_inventory": _load_inventory,
     "load_latin1": _load_documents(),
-    "load_split_records": _load_documents(whole_file_bytes=0),
+    "load_split_records": _load_documents(multiline=True),
     "load_skip_bad": _load_skip_bad,
     "load_mg_missing": _load_mg_missing,
     "load_aliases": _load_aliases,

@@ -6,9 +6,12 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
+_PLACES: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder; only a local session that names none (a test) gets a temporary one.
@@ -43,4 +46,18 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PLACES[table] = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes the files of ``stored`` tables that nothing reads any more, so that a long job's tables don't add up.
+
+    Every table made from them must be stored itself by then. Other DataFrames are left alone.
+    """
+    for table in tables:
+        if path := _PLACES.pop(table, None):
+            spark = table.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

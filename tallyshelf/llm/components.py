@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyshelf.sources.scratch import stored
+from tallyshelf.sources.scratch import discard, stored
 
 
 def merge_labels(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -54,8 +54,10 @@ def component_roots(edges: DataFrame) -> DataFrame:
         moves.append(moved)
         first = moved.select("a", F.col("to").alias("p"))
         second = moved.select(F.col("a").alias("b"), F.col("to").alias("q"))
-        edges = edges.join(first, "a").join(second, "b").where("p <> q")
-        edges = stored(edges.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct(), "links")
+        apart = edges.join(first, "a").join(second, "b").where("p <> q")
+        left = stored(apart.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct(), "links")
+        discard(edges)
+        edges = left
     if not moves:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     roots = moves[-1].select(F.col("a").alias("node"), F.col("to").alias("root"))

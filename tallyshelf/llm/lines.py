@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyshelf.llm.components import component_roots
-from tallyshelf.sources.scratch import stored
+from tallyshelf.sources.scratch import discard, stored
 
 SHINGLE = 9
 SIMILARITY = 0.8
@@ -27,7 +27,7 @@ BROADCAST_BYTES = 16_000_000
 # Lines with fewer shingles get independent hash functions.
 SHORT_SHINGLES = 160
 # Characters whose signatures are computed at once, and lines whose sketches are.
-CHUNK_CHARS, CHUNK_LINES = 1_000_000, 4096
+CHUNK_CHARS, CHUNK_LINES = 120_000, 4096
 # A sketch has a bit per hash value of a shingle, in so many 64-bit words.
 SKETCH_WORDS = 32
 
@@ -226,25 +226,33 @@ def line_links(docs: DataFrame, lines: DataFrame) -> DataFrame:
     members = stored(banded.join(_sized(crowded), "band").where("line <> a"), "members")
     first = shared.where("n = 2").select("a", "b").union(members.select("a", F.col("line").alias("b")))
     first = stored(first.distinct(), "pairs")
+    discard(shared, crowded)
     ids = stored(first.select(F.explode(F.array("a", "b")).alias("line")).distinct(), "compared")
     pieces = docs.select(F.explode(F.split("text", "\n", -1)).alias("piece")).select(F.btrim("piece", F.lit(SPACE)).alias("text"))
     pieces = pieces.where(F.length("text") >= LEAST_CHARS).withColumn("line", F.xxhash64("text"))
     texts = stored(pieces.join(_sized(ids), "line").groupBy("line").agg(F.min("text").alias("text")), "texts")
+    discard(ids)
     good = stored(_similar(first, texts), "similar")
+    discard(first)
     roots = component_roots(good)
     of_line = roots.select(F.col("node").alias("line"), F.col("root").alias("root"))
     of_first = roots.select(F.col("node").alias("a"), F.col("root").alias("first_root"))
     rooted = members.join(of_line, "line", "left").join(of_first, "a", "left")
     rooted = rooted.select("band", "line", F.coalesce("root", "line").alias("root"), F.coalesce("first_root", "a").alias("first_root"))
     rooted = stored(rooted, "rooted")
+    discard(members)
     mixed = rooted.where("root <> first_root").select("band").distinct()
     mixed = stored(rooted.join(_sized(stored(mixed, "mixed")), "band"), "unlinked")
+    discard(rooted)
     if mixed.isEmpty():
+        discard(texts)
         return good
     lines_of = _sized(stored(mixed.select("line").distinct(), "apart"))
     sketched = stored(_sketched(texts.join(lines_of, "line")), "sketches")
-    mixed = mixed.withColumn("odd", F.col("root") != F.col("first_root")).drop("first_root")
-    mixed = stored(mixed.join(sketched.join(lines, "line"), "line"), "sketched")
+    odd = mixed.withColumn("odd", F.col("root") != F.col("first_root")).drop("first_root")
+    compared = stored(odd.join(sketched.join(lines, "line"), "line"), "sketched")
+    discard(mixed, sketched)
+    mixed = compared
     x, y = mixed.where("odd").alias("x"), mixed.alias("y")
     # A pair is met once: in the first band it shares, and from its smaller line if both are odd.
     common = [F.when(F.col("x.bands")[k] == F.col("y.bands")[k], F.col("x.bands")[k]) for k in range(BANDS)]
@@ -252,7 +260,9 @@ def line_links(docs: DataFrame, lines: DataFrame) -> DataFrame:
     apart &= (~F.col("y.odd") | (F.col("x.line") < F.col("y.line"))) & (F.coalesce(*common) == F.col("x.band"))
     others = x.join(y, apart & _close(F.col("x.shingles") + F.col("y.shingles"), "x", "y"))
     others = others.select(F.least("x.line", "y.line").alias("a"), F.greatest("x.line", "y.line").alias("b"))
-    return good.union(_similar(others, texts))
+    linked = stored(good.union(_similar(others, texts)), "linked")
+    discard(good, texts, mixed)
+    return linked
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -268,14 +278,17 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     place = F.struct("doc_id", "row", "pos")
     lines = marks.groupBy("line").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.first("bands").alias("bands"))
     lines = stored(lines, "lines")
-    roots = component_roots(line_links(docs, lines.select("line", "bands"))).withColumnRenamed("node", "line")
+    links = line_links(docs, lines.select("line", "bands"))
+    roots = component_roots(links).withColumnRenamed("node", "line")
     several = lines.select("line", "first", "n").join(roots, "line", "left").where("n > 1 OR root IS NOT NULL")
     several = stored(several.select("line", "first", F.coalesce("root", "line").alias("root")), "several")
+    discard(links, lines)
     kept = several.groupBy("root").agg(F.min("first").alias("first"))
     keepers = stored(several.select("line", "root").join(kept, "root").select("line", "first"), "keepers")
     dropped = marks.select("line", "row", "pos", place.alias("place")).join(_sized(keepers), "line")
     dropped = dropped.where(~F.col("place").eqNullSafe(F.col("first"))).select("row", "pos").distinct()
     dropped = stored(dropped.groupBy("row").agg(F.collect_list("pos").alias("gone")), "dropped")
+    discard(marks, several, keepers)
     gone = _sized(dropped.select(F.col("row").alias("__row"), F.col("gone").alias("__gone")))
     rows = docs.join(gone, F.xxhash64(docs["doc_id"], docs["text"]) == F.col("__row"), "left")
     stay = F.filter(F.split("text", "\n", -1), lambda line, at: ~F.array_contains("__gone", at))

@@ -31,6 +31,10 @@ CHUNK_CHARS, CHUNK_LINES = 120_000, 4096
 # A sketch has a bit per hash value of a shingle, in so many 64-bit words.
 SKETCH_WORDS = 32
 
+# Texts or pairs of lines that Python gets at once: with very long ones a usual batch would hold gigabytes.
+BATCH_ROWS = 500
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 SPACE = " \t\r\x0b\x0c"
 SEED = 42
 
@@ -118,6 +122,17 @@ def _one_permutation(h: np.ndarray, line: np.ndarray, lines: int) -> np.ndarray:
     return signature
 
 
+def _stored_by_batches(df: DataFrame, label: str) -> DataFrame:
+    """``stored`` for a table that Python makes from texts, with ``BATCH_ROWS`` rows in a batch."""
+    conf = df.sparkSession.conf
+    usual = conf.get(BATCH_SETTING)
+    conf.set(BATCH_SETTING, BATCH_ROWS)
+    try:
+        return stored(df, label)
+    finally:
+        conf.set(BATCH_SETTING, usual)
+
+
 def line_marks(docs: DataFrame) -> DataFrame:
     """``doc_id, row, pos, line, bands`` of every line that takes part; ``row`` is a hash of doc_id and text, ``line`` of the line."""
 
@@ -232,7 +247,7 @@ def line_links(docs: DataFrame, lines: DataFrame) -> DataFrame:
     pieces = pieces.where(F.length("text") >= LEAST_CHARS).withColumn("line", F.xxhash64("text"))
     texts = stored(pieces.join(_sized(ids), "line").groupBy("line").agg(F.min("text").alias("text")), "texts")
     discard(ids)
-    good = stored(_similar(first, texts), "similar")
+    good = _stored_by_batches(_similar(first, texts), "similar")
     discard(first)
     roots = component_roots(good)
     of_line = roots.select(F.col("node").alias("line"), F.col("root").alias("root"))
@@ -248,7 +263,7 @@ def line_links(docs: DataFrame, lines: DataFrame) -> DataFrame:
         discard(texts)
         return good
     lines_of = _sized(stored(mixed.select("line").distinct(), "apart"))
-    sketched = stored(_sketched(texts.join(lines_of, "line")), "sketches")
+    sketched = _stored_by_batches(_sketched(texts.join(lines_of, "line")), "sketches")
     odd = mixed.withColumn("odd", F.col("root") != F.col("first_root")).drop("first_root")
     compared = stored(odd.join(sketched.join(lines, "line"), "line"), "sketched")
     discard(mixed, sketched)
@@ -260,7 +275,7 @@ def line_links(docs: DataFrame, lines: DataFrame) -> DataFrame:
     apart &= (~F.col("y.odd") | (F.col("x.line") < F.col("y.line"))) & (F.coalesce(*common) == F.col("x.band"))
     others = x.join(y, apart & _close(F.col("x.shingles") + F.col("y.shingles"), "x", "y"))
     others = others.select(F.least("x.line", "y.line").alias("a"), F.greatest("x.line", "y.line").alias("b"))
-    linked = stored(good.union(_similar(others, texts)), "linked")
+    linked = _stored_by_batches(good.union(_similar(others, texts)), "linked")
     discard(good, texts, mixed)
     return linked
 
@@ -274,7 +289,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     they are. Rows that repeat both doc_id and text are one document and are treated alike; a missing doc_id comes
     first. Lines are told apart by 64-bit hashes.
     """
-    marks = stored(line_marks(docs), "marks")
+    marks = _stored_by_batches(line_marks(docs), "marks")
     place = F.struct("doc_id", "row", "pos")
     lines = marks.groupBy("line").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.first("bands").alias("bands"))
     lines = stored(lines, "lines")

@@ -27,8 +27,8 @@ BROADCAST_BYTES = 16_000_000
 # Lines with fewer shingles get independent hash functions.
 SHORT_SHINGLES = 160
 # Characters whose signatures are computed at once, and lines whose sketches are.
-CHUNK_CHARS, CHUNK_LINES = 120_000, 4096
-# A sketch has a bit per hash value of a shingle, in so many 64-bit words.
+CHUNK_CHARS, CHUNK_LINES = 120_000, 1024
+# A sketch has two bits per hash value of a shingle, in so many 64-bit words: at least one shingle has it, at least two have it.
 SKETCH_WORDS = 32
 
 # Texts or pairs of lines that Python gets at once: with very long ones a usual batch would hold gigabytes.
@@ -64,14 +64,20 @@ def _shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketches(lines: list[str]) -> np.ndarray:
-    """``SKETCH_WORDS`` signed words per line with the bits of its shingles' hashes set.
+    """``SKETCH_WORDS`` signed words per line: where one and where two or more of its distinct shingles' hashes fall.
 
     Two lines' sketches differ in at most as many bits as their shingle sets differ in shingles.
     """
     h, count = _shingle_hashes(lines)
-    bits = np.zeros((len(lines), SKETCH_WORDS * 64), bool)
-    bits[np.repeat(np.arange(len(lines)), count), (h >> np.uint64(32)) * np.uint64(SKETCH_WORDS * 64) >> np.uint64(32)] = True
-    return np.packbits(bits, axis=1).view(np.int64)
+    line = np.repeat(np.arange(len(lines)), count)
+    order = np.lexsort((h, line))
+    h, line = h[order], line[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
+    places = SKETCH_WORDS * 32
+    place = ((h[new] >> np.uint64(32)) * np.uint64(places) >> np.uint64(32)).astype(np.int64)
+    met = np.bincount(line[new] * places + place, minlength=len(lines) * places).reshape(len(lines), places)
+    return np.packbits(np.concatenate([met >= 1, met >= 2], axis=1), axis=1).view(np.int64)
 
 
 def band_hashes(lines: list[str]) -> np.ndarray:

@@ -24,8 +24,6 @@ LEAST_CHARS = 10
 BROADCAST_ROWS = 1_000_000
 # The same for texts of compared lines, in bytes.
 BROADCAST_BYTES = 16_000_000
-# Lines with fewer shingles get independent hash functions.
-SHORT_SHINGLES = 160
 # Characters whose signatures are computed at once, and lines whose sketches are.
 CHUNK_CHARS, CHUNK_LINES = 120_000, 1024
 # A sketch has two bits per hash value of a shingle, in so many 64-bit words: at least one shingle has it, at least two have it.
@@ -83,20 +81,16 @@ def sketches(lines: list[str]) -> np.ndarray:
 def band_hashes(lines: list[str]) -> np.ndarray:
     """``BANDS`` signed 64-bit hashes per line from a MinHash of its shingles; lines must have ``SHINGLE`` characters or more.
 
-    Short lines get independent hash functions, long ones a single permutation: with few shingles, bins would repeat each other
-    and bands would meet in one shared shingle.
+    Lines of every length get the same independent hash functions, so similar ones of different lengths can meet.
     """
     h, count = _shingle_hashes(lines)
-    line = np.repeat(np.arange(len(lines)), count)
     signature = np.empty((len(lines), _BINS), np.uint64)
-    short = count < SHORT_SHINGLES
-    if short.any():
-        own = h[short[line]]
-        starts = np.cumsum(count[short]) - count[short]
-        for j in range(_BINS):
-            signature[short, j] = np.minimum.reduceat(own * _FACTORS[j] + _TERMS[j], starts)
-    if not short.all():
-        signature[~short] = _one_permutation(h, line, len(lines))[~short]
+    starts = np.cumsum(count) - count
+    value = np.empty_like(h)
+    for j in range(_BINS):
+        np.multiply(h, _FACTORS[j], out=value)
+        value += _TERMS[j]
+        signature[:, j] = np.minimum.reduceat(value, starts)
     bands = np.zeros((len(lines), BANDS), np.uint64)
     for k in range(BANDS):
         mixed = np.full(len(lines), k + 1, np.uint64)
@@ -107,27 +101,6 @@ def band_hashes(lines: list[str]) -> np.ndarray:
     return bands.view(np.int64)
 
 
-def _one_permutation(h: np.ndarray, line: np.ndarray, lines: int) -> np.ndarray:
-    """Every shingle's hash falls into one bin, and the least in a bin counts; empty bins take over others by a fixed walk."""
-    bins = ((h >> np.uint64(32)) * np.uint64(_BINS) >> np.uint64(32)).astype(np.int64)
-    empty = np.uint64(0xFFFFFFFFFFFFFFFF)
-    least = np.full(lines * _BINS, empty, np.uint64)
-    np.minimum.at(least, line * _BINS + bins, h)
-    least = least.reshape(lines, _BINS)
-    filled = least != empty
-    signature = least.copy()
-    column = np.arange(_BINS, dtype=np.uint64)
-    attempt = 0
-    while (signature == empty).any():
-        attempt += 1
-        walk = (column + np.uint64(1)) * _ODD + np.uint64(attempt * 0xC2B2AE3D27D4EB4F & 0xFFFFFFFFFFFFFFFF)
-        source = ((walk ^ (walk >> np.uint64(33))) * _ODD >> np.uint64(40)) % np.uint64(_BINS)
-        source = source.astype(np.int64)
-        take = (signature == empty) & filled[:, source]
-        signature[take] = (least[:, source] + np.uint64(attempt))[take]
-    return signature
-
-
 def _stored_by_batches(df: DataFrame, label: str) -> DataFrame:
     """``stored`` for a table that Python makes from texts, with ``BATCH_ROWS`` rows in a batch."""
     conf = df.sparkSession.conf

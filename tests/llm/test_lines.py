@@ -68,6 +68,29 @@ def test_sketches_never_exceed_the_difference():
             assert (bits[i] != bits[j]).sum() <= len(sets[i] ^ sets[j])
 
 
+def around_168(seed=11):
+    """Lines of 165 characters, each with its copies that one and two inserted words make longer than 168."""
+    pick = random.Random(seed)
+    groups = []
+    for _ in range(60):
+        base = "".join(pick.choices("abcdefghijklmnopqrst", k=165))
+        at = pick.randrange(1, 164)
+        groups.append([base, f"{base} word", f"{base[:at]} more {base[at:]}"])
+    return groups
+
+
+def test_similar_lines_of_every_length_share_a_band():
+    groups = around_168()
+    bands = lines.band_hashes([line for group in groups for line in group]).reshape(len(groups), 3, lines.BANDS)
+    assert (bands[:, 0] == bands[:, 1]).any(axis=1).all() and (bands[:, 0] == bands[:, 2]).any(axis=1).all()
+
+
+def test_groups_around_168_characters(spark):
+    texts = [line for group in around_168() for line in group]
+    found = {r.doc_id: r.text for r in lines.dedup_lines(documents(spark, texts)).collect()}
+    assert found == expected(dict(enumerate(texts)))
+
+
 def test_groups_around_the_threshold(spark):
     texts = near_copies(240)
     found = {r.doc_id: r.text for r in lines.dedup_lines(documents(spark, texts)).collect()}

@@ -1,32 +1,36 @@
 """Scoring by a weighted backoff automaton: smoothed n-grams are states with failure arcs, one pass per text adds up log-probabilities.
 
-Counts of all words are exact and distributed: texts are read in blocks, each block's distinct words meet the corpus counts in one join and
-come back to the block. The automaton holds n-grams whose words are frequent relative to the corpus, so its size has a bound that does
-not depend on the corpus.
+Counts of words, pairs and triples are exact and distributed, and grow with the corpus: texts are read in blocks, each block's distinct
+words and n-grams meet the corpus counts and the contexts' backoff weights in joins and come back to the block, which builds its automaton
+from them.
 """
 
 from __future__ import annotations
 
 import math
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyshelf.sources.scratch import stored
 
-# Words of at least this share of all tokens make up n-grams (10,000 at most); n-grams of at least that share are arcs (a million at most
-# per order).
-WORD_SHARE, ARC_SHARE = 1e-4, 1e-6
+# Pairs and triples of words that occur so often are arcs, whatever the size of the corpus.
+LEAST_COUNT = 2
 DISCOUNT = 0.75
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 1024
+# Tokens whose n-grams are made distinct at once.
+CHUNK_TOKENS = 1_000_000
 END = b"\n"  # no word holds white space
-_BITS = 14
+_BITS = 32
+SEED = 42
+
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -69,34 +73,93 @@ def block_words(rows: DataFrame) -> DataFrame:
     return rows.select("block", "held_out", "text").mapInArrow(per_batch, "word string, block long, n long")
 
 
-def ngram_counts(rows: DataFrame, ids: dict[bytes, int]) -> DataFrame:
-    """``gram, n``: pairs and triples of words with ids in the documents to learn from, as ids of ``_BITS`` bits (plus one)."""
+def word_hash(word: bytes) -> int:
+    """Spark's ``xxhash64`` of the word, unsigned."""
+    return xxhash.xxh64_intdigest(word, SEED)
+
+
+def _mixed(left: np.ndarray, right: np.ndarray, order: int) -> np.ndarray:
+    h = (left ^ (left >> np.uint64(31)) ^ np.uint64(order)) * _ODD + right
+    h = (h ^ (h >> np.uint64(32))) * _ODD
+    return h ^ (h >> np.uint64(29))
+
+
+def gram_keys(h: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit keys of the pairs and triples of words with hashes ``h`` in texts ``own``, and where each begins."""
+    pair = _mixed(h[:-1], h[1:], 2)
+    triple = _mixed(pair[:-1], h[2:], 3)
+    at_pair, at_triple = np.flatnonzero(own[:-1] == own[1:]), np.flatnonzero(own[:-2] == own[2:])
+    return pair, triple, at_pair, at_triple
+
+
+def ngram_rows(rows: DataFrame, learn: bool) -> DataFrame:
+    """``key, context, tail, triple, n``: counts of pairs and triples in the documents to learn from, by chunks; ``context`` is the key of
+    the n-gram without its last, ``tail`` without its first word. Without ``learn`` ``block, key``: those of all documents, by blocks.
+    """
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = []
+        hashes: dict[bytes, int] = {}
+        now, kept, sizes = None, [], []
 
         def flush() -> pa.RecordBatch:
-            grams, n = np.unique(np.concatenate(kept), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(grams), pa.array(n.astype(np.int64))], ["gram", "n"])
+            h = np.array(kept, np.uint64)
+            pair, triple, at_pair, at_triple = gram_keys(h, np.repeat(np.arange(len(sizes)), sizes))
+            keys, first, n = np.unique(np.concatenate([pair[at_pair], triple[at_triple]]), return_index=True, return_counts=True)
+            if not learn:
+                return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), now)), pa.array(keys.view(np.int64))], ["block", "key"])
+            context = np.concatenate([h[at_pair], pair[at_triple]])[first]
+            tail = np.concatenate([h[at_pair + 1], pair[at_triple + 1]])[first]
+            columns = [pa.array(x.view(np.int64)) for x in (keys, context, tail)]
+            columns += [pa.array(first >= len(at_pair)), pa.array(n.astype(np.int64))]
+            return pa.RecordBatch.from_arrays(columns, ["key", "context", "tail", "triple", "n"])
 
-        size = 0
         for batch in batches:
-            for held, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if held:
+            for block, held, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if learn and held:
                     continue
-                w = np.array([ids.get(x, 0) for x in words_of(text.as_py())], np.int64)
-                pair = np.where((w[:-1] > 0) & (w[1:] > 0), w[:-1] << _BITS | w[1:], 0)
-                triple = np.where((pair[:-1] > 0) & (w[2:] > 0), pair[:-1] << _BITS | w[2:], 0)
-                kept += [pair[pair > 0], triple[triple > 0]]
-                size += len(kept[-1]) + len(kept[-2])
-                if size > 2_000_000:
-                    yield flush()
-                    kept, size = [], 0
-        if size:
+                if len(kept) > CHUNK_TOKENS or (not learn and block != now):
+                    if len(kept) > 1:
+                        yield flush()
+                    kept, sizes = [], []
+                now = block
+                words = words_of(text.as_py())
+                if len(hashes) > CHUNK_TOKENS:
+                    hashes.clear()
+                for word in words:
+                    if word not in hashes:
+                        hashes[word] = word_hash(word)
+                    kept.append(hashes[word])
+                sizes.append(len(words))
+        if len(kept) > 1:
             yield flush()
 
-    counted = rows.select("held_out", "text").mapInArrow(per_batch, "gram long, n long")
-    return counted.groupBy("gram").agg(F.sum("n").alias("n"))
+    fields = "key long, context long, tail long, triple boolean, n long" if learn else "block long, key long"
+    return rows.select("block", "held_out", "text").mapInArrow(per_batch, fields)
+
+
+def _weights(grams: DataFrame, totals: DataFrame) -> DataFrame:
+    """``context, weight`` from ``context, n, lower`` of all arcs (``lower``: the shorter context's probability) and ``context, total``."""
+    sums = grams.groupBy("context").agg(F.sum(F.col("n") - DISCOUNT).alias("given"), F.sum("lower").alias("taken"))
+    left = F.greatest(1 - F.col("given") / F.col("total"), F.lit(1e-12)) / F.greatest(1 - F.col("taken"), F.lit(1e-12))
+    return sums.join(totals, "context").select("context", F.log10(left).alias("weight"))
+
+
+def model(rows: DataFrame, counts: DataFrame, every: int) -> tuple[DataFrame, DataFrame]:
+    """``key, n, weight`` of all pairs and triples that are arcs (a weight if it is a context), and ``word, c, weight`` of all words."""
+    counted = ngram_rows(rows, True).groupBy("key").agg(
+        F.sum("n").alias("n"), *(F.first(c).alias(c) for c in ("context", "tail", "triple"))).where(F.col("n") >= LEAST_COUNT)
+    counted = stored(counted, "grams")
+    words = counts.withColumn("hash", F.xxhash64("word"))
+    pairs, triples = counted.where("NOT triple"), counted.where("triple")
+    # Every pair within a triple is as frequent as that, so it is there.
+    base = words.select(F.col("hash").alias("tail"), ((F.col("c") + 1) / every).alias("lower"))
+    of_words = stored(_weights(pairs.join(base, "tail"), words.select(F.col("hash").alias("context"), F.col("c").alias("total"))), "weights")
+    totals = words.select(F.col("hash").alias("context"), F.col("c").alias("total"))
+    lower = pairs.join(totals, "context").select(F.col("key").alias("tail"), ((F.col("n") - DISCOUNT) / F.col("total")).alias("lower"))
+    of_pairs = _weights(triples.join(lower, "tail"), pairs.select(F.col("key").alias("context"), F.col("n").alias("total")))
+    grams = counted.select("key", "n").join(of_pairs.withColumnRenamed("context", "key"), "key", "left")
+    words = words.join(of_words.withColumnRenamed("context", "hash"), "hash", "left").select("word", "c", "weight")
+    return grams, words
 
 
 @dataclass
@@ -113,11 +176,13 @@ class Automaton:
     entry: list[int]
 
     @staticmethod
-    def build(words: dict[int, int], grams: dict[int, int], tokens: int, kinds: int) -> Automaton:
+    def build(
+        words: dict[int, int], grams: dict[int, int], tokens: int, kinds: int, weights: dict[int, float] | None = None,
+    ) -> Automaton:
         """From counts of words by id (from 1) and of pairs and triples by packed ids; probabilities sum to one in every state.
 
         An n-gram of count n after a context of count m gets (n - DISCOUNT) / m; what this leaves of the context goes to the
-        shorter context's probabilities of all other words.
+        shorter context's probabilities of all other words. With ``weights`` of contexts ``grams`` may hold some of their arcs only.
         """
         mask = (1 << _BITS) - 1
         base = {w: (c + 1) / (tokens + kinds + 1) for w, c in words.items()}
@@ -126,7 +191,7 @@ class Automaton:
             context = gram >> _BITS
             if context <= mask or context in grams:
                 by_context.setdefault(context, []).append((gram & mask, n))
-        order = sorted(by_context)  # words before pairs
+        order = sorted(by_context if weights is None else weights)  # words before pairs
         state_of = {context: k for k, context in enumerate(order, 1)}
         fail, weight = [0], [0.0]
         arcs: dict[int, tuple[float, int]] = {}
@@ -147,16 +212,17 @@ class Automaton:
             back = state_of.get(context & mask, 0) if context > mask else 0
             total = grams[context] if context > mask else words[context]
             given = taken = 0.0
-            for word, n in by_context[context]:
+            for word, n in by_context.get(context, ()):
                 p = (n - DISCOUNT) / total
                 chance[state << _BITS | word] = p
                 given += p
-                taken += lower(back, word)
+                if weights is None:
+                    taken += lower(back, word)
             fail.append(back)
-            weight.append(math.log10(max(1 - given, 1e-12) / max(1 - taken, 1e-12)))
+            weight.append(math.log10(max(1 - given, 1e-12) / max(1 - taken, 1e-12)) if weights is None else weights[context])
         after = lambda context, word: state_of.get((context & mask) << _BITS | word, state_of.get(word, 0))
         for context in order:
-            for word, _ in by_context[context]:
+            for word, _ in by_context.get(context, ()):
                 key = state_of[context] << _BITS | word
                 arcs[key] = (math.log10(chance[key]), after(context, word))
         entry = [state_of.get(w, 0) for w in range(max(words, default=0) + 1)]
@@ -181,47 +247,62 @@ class Automaton:
         return total
 
 
-_built: dict[str, Automaton] = {}
-
-
 def score(docs: DataFrame) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row of ``docs (doc_id, text)``.
 
     The base score is that of add-one word frequencies, the score that of the automaton; both are log10 probabilities of the words and
     an end mark. Null and empty texts are the end mark alone. Repeated rows count and are scored each; a missing doc_id counts as the empty
     text in the split; an empty table gives an empty one; other columns are not read. ``docs`` must be read from files: it is read
-    three times, and fails if a block's words are not the same each time.
+    four times, and fails if a block's words are not the same each time. N-grams are told apart by 64-bit hashes.
     """
     rows = blocked(docs)
     found = stored(block_words(rows), "words")
     counts = stored(found.groupBy("word").agg(F.sum("n").alias("c")), "counts")
     tokens, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
-    often = max(1, WORD_SHARE * tokens)
-    frequent = counts.where(F.col("c") >= often).orderBy(F.desc("c"), "word").collect()  # at most 1 / WORD_SHARE
-    ids = {r["word"].encode(): k for k, r in enumerate(frequent, 1)}
-    words = {k: r["c"] for k, r in enumerate(frequent, 1)}
-    grams = ngram_counts(rows, ids).where(F.col("n") >= max(2, ARC_SHARE * tokens)).toPandas()  # at most 2 / ARC_SHARE
-    grams = dict(zip(grams["gram"].tolist(), grams["n"].tolist(), strict=True))
-    rare = found.select("word", "block").join(counts.where(F.col("c") < often), "word").select(
-        F.col("block").alias("at"), "word", "c")
-
-    name = uuid.uuid4().hex
-
-    def per_block(texts: pa.Table, vocabulary: pa.Table) -> pa.Table:
-        if name not in _built:  # once per worker
-            _built.clear()
-            _built[name] = Automaton.build(words, grams, tokens, kinds)
-        automaton = _built[name]
-        every = tokens + kinds + 1
-        known = {w.encode(): (0, math.log10((c + 1) / every), c > 0) for w, c in zip(
-            vocabulary.column("word").to_pylist(), vocabulary.column("c").to_pylist(), strict=True)}
-        known |= {w: (k, math.log10((words[k] + 1) / every), True) for w, k in ids.items()}
+    every = tokens + kinds + 1
+    grams, words = model(rows, counts, every)
+    own_words = found.select("word", "block").join(words, "word").select(
+        F.col("block").alias("at"), "word", F.lit(None).cast("long").alias("key"), F.col("c").alias("n"), "weight")
+    own_grams = ngram_rows(rows, False).join(grams, "key").select(
+        F.col("block").alias("at"), F.lit(None).cast("string").alias("word"), "key", "n", "weight")
+    known = own_words.union(own_grams)
+
+    def per_block(texts: pa.Table, known: pa.Table) -> pa.Table:
+        vocabulary = known.filter(known.column("word").is_valid())
+        arcs = known.filter(known.column("key").is_valid())
+        names = [w.encode() for w in vocabulary.column("word").to_pylist()]
+        ids = {w: k for k, w in enumerate(names, 1)}
+        c = vocabulary.column("n").to_pylist()
+        logs_of = [0.0, *(math.log10((n + 1) / every) for n in c)]
+        weights = {k: x for k, x in enumerate(vocabulary.column("weight").to_pylist(), 1) if x is not None}
+        hashes = np.array([0, *map(word_hash, names)], np.uint64)
+        texts_ids = [[ids[w] for w in words_of(text.as_py())] for text in texts.column("text")]
+        w = np.concatenate([np.array(x, np.int64) for x in texts_ids]) if texts_ids else np.zeros(0, np.int64)
+        local: dict[int, int] = {}
+        if len(w) > 1 and len(arcs):
+            keys = arcs.column("key").to_numpy().view(np.uint64)
+            n, weight = arcs.column("n").to_numpy(), arcs.column("weight").to_numpy()
+            order = np.argsort(keys)
+            keys, n, weight = keys[order], n[order], weight[order]
+            own = np.repeat(np.arange(len(texts_ids)), [len(x) for x in texts_ids])
+            pair, triple, at_pair, at_triple = gram_keys(hashes[w], own)
+            for all_keys, at, size in ((pair, at_pair, 2), (triple, at_triple, 3)):
+                some, first = np.unique(all_keys[at], return_index=True)
+                place = np.minimum(np.searchsorted(keys, some), len(keys) - 1)
+                met = keys[place] == some
+                place, first = place[met], at[first[met]]
+                columns = [w[first + k].tolist() for k in range(size)]
+                for *context, word, count, x in zip(*columns, n[place].tolist(), weight[place].tolist(), strict=True):
+                    gram = (context[0] if size == 2 else context[0] << _BITS | context[1]) << _BITS | word
+                    local[gram] = count
+                    if size == 2 and x is not None and x == x:
+                        weights[gram] = x
+        automaton = Automaton.build(dict(enumerate(c, 1)), local, tokens, kinds, weights)
         n_tokens, n_known, base, full = [], [], [], []
-        for text in texts.column("text"):
-            got = list(map(known.__getitem__, words_of(text.as_py())))
-            numbers, logs, seen = zip(*got, strict=True)
-            n_tokens.append(len(got))
-            n_known.append(sum(seen))
+        for numbers in texts_ids:
+            logs = [logs_of[k] for k in numbers]
+            n_tokens.append(len(numbers))
+            n_known.append(sum(c[k - 1] > 0 for k in numbers))
             base.append(math.fsum(logs))
             full.append(automaton.score(numbers, logs))
         size = len(n_tokens)
@@ -232,4 +313,4 @@ def score(docs: DataFrame) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     fields = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return rows.groupBy("block").cogroup(rare.groupBy("at")).applyInArrow(per_block, fields)
+    return rows.groupBy("block").cogroup(known.groupBy("at")).applyInArrow(per_block, fields)

@@ -33,6 +33,26 @@ def test_base_score_and_gain(spark, folder):
     assert sum(r.score for r in rows if r.held_out) > sum(r.base_score for r in rows if r.held_out)
 
 
+def test_every_repeated_gram_counts(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    texts = {r.doc_id: tokens(r.text) for r in docs.collect()}
+    learned = [t for i, t in texts.items() if zlib.crc32(str(i).encode()) % 7 != 2]
+    counts = Counter(w for t in learned for w in t)
+    ids = {w: k for k, w in enumerate(counts, 1)}
+    grams: Counter[int] = Counter()
+    for t in learned:
+        n = [ids[w] for w in t]
+        grams.update(a << lm._BITS | b for a, b in zip(n, n[1:], strict=False))
+        grams.update((a << lm._BITS | b) << lm._BITS | c for a, b, c in zip(n, n[1:], n[2:], strict=False))
+    total, kinds = sum(counts.values()), len(counts)
+    grams = {g: n for g, n in grams.items() if n >= 2}
+    automaton = lm.Automaton.build({ids[w]: n for w, n in counts.items()}, grams, total, kinds)
+    for r in lm.score(docs).collect():
+        own = texts[r.doc_id]
+        logs = [math.log10((counts[w] + 1) / (total + kinds + 1)) for w in own]
+        assert r.score == pytest.approx(automaton.score([ids.get(w, 0) for w in own], logs), rel=1e-9)
+
+
 def test_probabilities_sum_to_one():
     b = lm._BITS
     words = {1: 50, 2: 30, 3: 15, 4: 5}

@@ -2,8 +2,9 @@
 
 Within a label, vectors go to the shards of their nearest centroids (a hash sample of about one in ``SHARD_ROWS``), overlapping ones. Each
 shard builds a pruned neighbour graph; a vector's lists from all its shards are united. Queries then walk the united graph of every shard
-whose cell can hold a near vector: greedily from the medoid, and on through everything in range. Each task audits its recall against
-brute force on a sample of its queries and searches wider where it is short. Only verified pairs count.
+whose cell can hold a near vector: greedily from the medoid and a row of every other connected part, and on through everything in range.
+Each task audits its recall against brute force on a sample of its queries, searches wider where it is short, and compares all rows where
+the widest search is still short. Only verified pairs count.
 """
 
 from __future__ import annotations
@@ -22,9 +23,8 @@ COSINE = 0.98
 # Vectors per centroid, vectors per assignment task, and the size from which a shard is split (its queries visit all parts).
 SHARD_ROWS, BLOCK_ROWS, PART_ROWS = 400, 8192, 3000
 OVERLAP = 2
-# A vector within 0.2 (the chord of the threshold) of another lies across a cell border only if this margin reaches it: in many dimensions
-# a difference of 0.2 has a component above 0.1 in a given direction with negligible frequency.
-MARGIN = 0.1
+# A vector within 0.2 (the chord of the threshold) of another lies across a cell border only if this margin reaches it.
+MARGIN = 0.2 + 1e-9
 DEGREE, CANDIDATES, FAR_CANDIDATES, ALPHA = 16, 48, 16, 1.2
 BEAM, SLACK, QUERIES_AT_ONCE = 24, 0.03, 256
 AUDITED, RECALL = 32, 0.99
@@ -109,16 +109,16 @@ def robust_prune(v: np.ndarray, seed: int = 0) -> list[np.ndarray]:
     return [np.fromiter(s, np.int64, len(s)) for s in links]
 
 
-def range_search(v: np.ndarray, table: np.ndarray, queries: np.ndarray, medoid: int, beam: int) -> tuple[np.ndarray, np.ndarray]:
+def range_search(v: np.ndarray, table: np.ndarray, queries: np.ndarray, starts: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (query, row) with a cosine of ``COSINE`` or more that a walk over the neighbour ``table`` (filled with -1) meets.
 
     A walk expands its best unexpanded row while that is among the ``beam`` best or within ``SLACK`` of the range.
     """
     width, n = len(queries), len(v)
     score = np.full((width, n), -np.inf)
-    score[:, medoid] = queries @ v[medoid]
+    score[:, starts] = queries @ v[starts].T
     waiting = np.zeros((width, n), bool)
-    waiting[:, medoid] = True
+    waiting[:, starts] = True
     active = np.arange(width)
     while len(active):
         open_score = np.where(waiting[active], score[active], -np.inf)
@@ -145,23 +145,39 @@ def range_search(v: np.ndarray, table: np.ndarray, queries: np.ndarray, medoid:
     return np.nonzero(score >= COSINE)
 
 
-def _walk(v: np.ndarray, lists: list[np.ndarray], queries: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Found pairs (query, row), a block of queries at a time, with a beam wide enough for the audited recall."""
+def _starts(lists: list[np.ndarray], medoid: int) -> np.ndarray:
+    """The medoid, and the first row of every part of the graph that no link joins to the medoid's."""
+    part = merge_labels(
+        np.arange(len(lists)), np.repeat(np.arange(len(lists)), [len(own) for own in lists]), np.concatenate([*lists, np.zeros(0, np.int64)]).astype(np.int64))
+    _, first = np.unique(part, return_index=True)
+    return np.append(medoid, first[part[first] != part[medoid]])
+
+
+def _walk(
+    v: np.ndarray, lists: list[np.ndarray], queries: np.ndarray, ids: np.ndarray, asked: np.ndarray,
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Found pairs (query, row), a block of queries at a time, with a beam wide enough for the audited recall; ``ids`` are the rows'
+    nodes, ``asked`` the queries'. A query's own row does not count in the audit.
+    """
     degree = max(1, max(map(len, lists)))
     table = np.full((len(v), degree), -1)
     for row, own in enumerate(lists):
         table[row, : len(own)] = own
     medoid = int((v @ v.mean(axis=0)).argmax())
-    checked = queries[:: max(1, len(queries) // AUDITED)][:AUDITED]
-    real = checked @ v.T >= COSINE
-    beam = BEAM
-    while beam < len(v):
-        i, j = range_search(v, table, checked, medoid, beam)
-        if real[i, j].sum() >= RECALL * real.sum():
+    starts = _starts(lists, medoid)
+    some = np.arange(0, len(queries), max(1, len(queries) // AUDITED))[:AUDITED]
+    checked = queries[some]
+    real = (checked @ v.T >= COSINE) & (asked[some][:, None] != ids)
+    beam, short = BEAM, True
+    while short:
+        i, j = range_search(v, table, checked, starts, beam)
+        short = real[i, j].sum() < RECALL * real.sum()
+        if not short or beam >= len(v):
             break
         beam *= 2
     for lo in range(0, len(queries), QUERIES_AT_ONCE):
-        i, j = range_search(v, table, queries[lo : lo + QUERIES_AT_ONCE], medoid, beam)
+        block = queries[lo : lo + QUERIES_AT_ONCE]
+        i, j = np.nonzero(block @ v.T >= COSINE) if short else range_search(v, table, block, starts, beam)
         yield i + lo, j
 
 
@@ -210,7 +226,7 @@ def near_duplicates(table: DataFrame) -> DataFrame:
         names, place = np.unique(every, return_inverse=True)
         label = np.arange(len(names))
         links = np.zeros(len(asked_ids), np.int64)
-        for i, j in _walk(v, lists, np.stack(queries["at"])):
+        for i, j in _walk(v, lists, np.stack(queries["at"]), ids, asked_ids):
             good = own[j] & (ids[j] != asked_ids[i])  # a row counts in its primary shard only
             i, j = i[good], j[good]
             np.add.at(links, i, copies[j])

@@ -45,3 +45,31 @@ def test_small_shards_hot_groups_and_odd_rows(spark, monkeypatch):
     assert all(r.n_links <= counts[i] for i, r in found.items())
     assert sum(r.component_id == roots[i] for i, r in found.items()) >= 0.99 * len(rows)
     assert vectors.near_duplicates(table.limit(0)).count() == 0
+
+
+def groups_of_near_copies(count, size):
+    rng = np.random.default_rng(2)
+    v = np.concatenate([c + 0.02 * rng.normal(size=(size, 64)) for c in rng.normal(size=(count, 64))])
+    return v / np.linalg.norm(v, axis=1)[:, None]
+
+
+def walked(v, lists):
+    ids = np.arange(len(v))
+    found = np.zeros((len(v), len(v)), bool)
+    for i, j in vectors._walk(v, lists, v, ids, ids):
+        found[i, j] = True
+    return found
+
+
+def test_groups_without_links_between_them():
+    v = groups_of_near_copies(8, 60)
+    lists = [np.array([k // 60 * 60 + (k + 1) % 60, k // 60 * 60 + (k - 1) % 60]) for k in range(len(v))]
+    assert (walked(v, lists) == (v @ v.T >= vectors.COSINE)).all()
+
+
+def test_short_audit_compares_all_rows(monkeypatch):
+    v = groups_of_near_copies(1, 200)
+    own = lambda v, table, queries, *rest: tuple(np.nonzero(queries @ v.T > 1 - 1e-9))
+    monkeypatch.setattr(vectors, "range_search", own)
+    assert (walked(v, [np.zeros(0, np.int64)] * len(v)) == (v @ v.T >= vectors.COSINE)).all()
+    assert vectors.MARGIN >= np.sqrt(2 - 2 * vectors.COSINE)

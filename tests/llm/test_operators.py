@@ -261,6 +261,13 @@ def test_toxicity_on_held_out_documents(spark):
     assert toxicity.score(table.limit(0), labels).count() == 0
 
 
+def test_toxicity_tells_expressions_of_six_characters_apart(spark):
+    rows = [(t, k) for t, k in (("qabcdz", 1), ("rabcdy", 1), ("qabcdy", 0), ("rabcdz", 0)) for _ in range(20)]
+    model = toxicity.KneserNey.fit(toxicity.count_ngrams(spark.createDataFrame(rows, "text string, toxic int")))
+    ratios = model.word_ratios(["qabcdz", "rabcdy", "qabcdy", "rabcdz"])
+    assert (ratios[:2] > 0.5).all() and (ratios[2:] < -0.5).all()
+
+
 def test_held_out_rule(spark):
     import zlib
     rows = spark.range(200).select(F.col("id").alias("doc_id")).withColumn("h", toxicity.held_out()).collect()

@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyshelf.llm import bytepair, language_model, lines, packing, pii, secrets, simhash, topk, toxicity, vectors
+from tallyshelf.llm import (
+    bytepair, decontamination, divergence, language_model, lines, packing, phrases, pii, secrets, simhash, topk, toxicity, vectors,
+)
+from tallyshelf.llm.oracle import ORACLE
 
 # Places of the public vocabularies; parameters of the operators.
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -65,10 +68,25 @@ def op10_fuzzy_lines(spark: SparkSession, folder: str) -> DataFrame:
     return lines.dedup_lines(docs)
 
 
+def op11_prefix_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    """The audit of all sources of ``documents``."""
+    return divergence.audit(table(spark, folder, "documents"))
+
+
+def op12_automaton_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """All ``documents`` against all ``benchmark`` items."""
+    found = decontamination.find_overlaps(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return decontamination.digest(found).drop("spans")
+
+
+def op13_graph_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    """The phrases of all languages of ``documents``."""
+    return phrases.mine(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_pattern_packing, op2_kneser_ney_toxicity, op3_backoff_automaton, op4_flat_graph, op5_trigram_secrets, op6_simhash_trie, op7_byte_pairs,
-        op8_boosted_pii, op9_kd_top_k, op10_fuzzy_lines,
+        op8_boosted_pii, op9_kd_top_k, op10_fuzzy_lines, op11_prefix_divergence, op12_automaton_decontamination, op13_graph_phrases,
     )
 }
-ORACLE: dict[str, str] = {}

@@ -14,7 +14,7 @@ from tallyshelf.session import tune
 from tallyshelf.sources import warehouse
 from tests.tables import dicts
 
-WRITES_FILES = {name for name in queries() if name.startswith("load_")}
+WRITES_FILES = {name for name in queries() if name.startswith(("load_", "stream_"))}
 USES_PYTHON: set[str] = set()
 NARROW = {"enforce_schema", "coerce_types", "nan_to_null"}
 TEXT_JOBS = {"route_questions", "clean_sql_log", "audit_columns"}
@@ -72,7 +72,8 @@ def test_no_python_outside_the_optional_matcher(plans):
 
 def test_top_k_needs_no_global_sort(plans):
     for name in ("top_sold", "reorder", "slow_movers", "slow_movers_60d", "stock_overview",
-                 "orders_by_value", "payouts", "preview", "ask_top_orders", "ask_reorder"):
+                 "orders_by_value", "payouts", "preview", "ask_top_orders", "ask_reorder", "reorder_as_of",
+                 "reply_recent"):
         assert "TakeOrderedAndProject" in plans[name], name
         assert "rangepartitioning" not in plans[name], name
 

@@ -1,4 +1,7 @@
-"""Trends, segments, anomalies, data quality and retention over the declared tables."""
+"""Trends, segments, anomalies, data quality and retention over the declared tables.
+
+For those of an earlier instant pass the tables of ``functions.as_of``.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyshelf.functions.as_of import Instant, instant, orders_at
 from tallyshelf.functions.calendar import month_number, month_start
 from tallyshelf.functions.ordering import asc, desc
 from tallyshelf.operators.sales import monthly_counts
@@ -102,9 +106,10 @@ def user_segments(orders: DataFrame, segments: int = 4, accuracy: int = 10_000)
     return spend.withColumn("cuts", cuts).select("user_id", "units", "spend", segment.alias("segment"))
 
 
-def last_days(orders: DataFrame, days: int = 60) -> DataFrame:
-    """Order items of the last ``days`` days, counted back from the newest item, not from today."""
-    newest = orders.agg(F.max("created_at")).scalar()
+def last_days(orders: DataFrame, days: int = 60, as_of: Instant | None = None) -> DataFrame:
+    """Order items of the last ``days`` days, counted back from ``as_of``, or else from the newest item; never from today."""
+    newest = orders.agg(F.max("created_at")).scalar() if as_of is None else instant(as_of)
+    orders = orders_at(orders, as_of)
     return orders.where(F.col("created_at") > newest - F.make_dt_interval(days=F.lit(days)))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from tallyshelf.functions.as_of import Instant, mg_at
 from tallyshelf.functions.ordering import asc, desc, take, then_by_rest
 
 # Listed columns in order, and the row limit.
@@ -16,9 +17,9 @@ PAYOUT_COLUMNS = [
 PAYOUT_ROWS = 200
 
 
-def payouts(mg: DataFrame, n: int = PAYOUT_ROWS) -> DataFrame:
-    """The ``n`` worker-months of highest total payout, unknown totals last."""
-    listed = mg.select(*PAYOUT_COLUMNS)
+def payouts(mg: DataFrame, n: int = PAYOUT_ROWS, as_of: Instant | None = None) -> DataFrame:
+    """The ``n`` worker-months of highest total payout, unknown totals last; of months begun by ``as_of`` if given."""
+    listed = mg_at(mg, as_of).select(*PAYOUT_COLUMNS)
     ties = ["id_user", "month"]
     keys = [desc("total_payout"), *[asc(c) for c in ties]]
     return take(listed, [*keys, *then_by_rest(listed, ["total_payout", *ties])], n)

@@ -3,6 +3,9 @@
 ``inventory`` holds one row per physical unit, on hand while ``sold_at`` is null. Product
 attributes come either from the unit rows themselves (the flat form) or, with ``products``, from a
 table of attributes per product (the star form); both give the same report.
+
+With ``as_of`` a report is the one of that instant: items and units created later are left out, and units
+sold later are on hand. Both tables then need their ``created_at``.
 """
 
 from __future__ import annotations
@@ -10,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyshelf.functions.as_of import Instant, inventory_at, orders_at
 from tallyshelf.functions.ordering import BROADCAST_ROWS, asc, desc, take
 from tallyshelf.operators.sales import monthly_counts
 
@@ -93,9 +97,11 @@ def _attach(top: DataFrame, products: DataFrame, n: int) -> DataFrame:
 
 
 def stock_position(
-    orders: DataFrame, inventory: DataFrame, products: DataFrame | None = None
+    orders: DataFrame, inventory: DataFrame, products: DataFrame | None = None,
+    as_of: Instant | None = None,
 ) -> DataFrame:
     """One row per product seen in orders or inventory: units sold, units on hand, attributes."""
+    orders, inventory = orders_at(orders, as_of), inventory_at(inventory, as_of)
     if products is None:
         return _flat_position(orders, inventory).select(*REPORT_COLUMNS)
     attributes = products.groupBy("product_id").agg(*_maxima())
@@ -110,8 +116,10 @@ def _report(
     where: str | None,
     keys: list[Column],
     n: int,
+    as_of: Instant | None,
 ) -> DataFrame:
     keys = [*keys, asc("product_id")]
+    orders, inventory = orders_at(orders, as_of), inventory_at(inventory, as_of)
     if products is None:
         position = _flat_position(orders, inventory)
         chosen = position if where is None else position.where(where)
@@ -123,37 +131,39 @@ def _report(
 
 def top_sold(
     orders: DataFrame, inventory: DataFrame, n: int = TOP_SOLD_ROWS,
-    products: DataFrame | None = None,
+    products: DataFrame | None = None, as_of: Instant | None = None,
 ) -> DataFrame:
     """The ``n`` products with most units sold."""
-    return _report(orders, inventory, products, None, [desc("units_sold")], n)
+    return _report(orders, inventory, products, None, [desc("units_sold")], n, as_of)
 
 
 def reorder(
     orders: DataFrame, inventory: DataFrame, threshold: int = LOW_STOCK,
-    products: DataFrame | None = None, n: int = REPORT_ROWS,
+    products: DataFrame | None = None, n: int = REPORT_ROWS, as_of: Instant | None = None,
 ) -> DataFrame:
     """Products with fewer than ``threshold`` units on hand, emptiest first."""
     low = f"on_hand < {int(threshold)}"
-    return _report(orders, inventory, products, low, [asc("on_hand"), desc("units_sold")], n)
+    keys = [asc("on_hand"), desc("units_sold")]
+    return _report(orders, inventory, products, low, keys, n, as_of)
 
 
 def slow_movers(
     orders: DataFrame, inventory: DataFrame, threshold: int = LOW_STOCK,
     max_units: int = SLOW_UNITS, products: DataFrame | None = None, n: int = REPORT_ROWS,
+    as_of: Instant | None = None,
 ) -> DataFrame:
     """Products with at least ``threshold`` on hand and at most ``max_units`` sold."""
     slow = f"on_hand >= {int(threshold)} AND units_sold <= {int(max_units)}"
-    return _report(orders, inventory, products, slow, [desc("on_hand")], n)
+    return _report(orders, inventory, products, slow, [desc("on_hand")], n, as_of)
 
 
 def stock_overview(
     orders: DataFrame, inventory: DataFrame, products: DataFrame | None = None,
-    n: int = REPORT_ROWS,
+    n: int = REPORT_ROWS, as_of: Instant | None = None,
 ) -> DataFrame:
     """Best sellers first, scarcest first among equals."""
     keys = [desc("units_sold"), asc("on_hand")]
-    return _report(orders, inventory, products, None, keys, n)
+    return _report(orders, inventory, products, None, keys, n, as_of)
 
 
 def stock_on_hand(inventory: DataFrame, products: DataFrame | None = None) -> DataFrame:
@@ -168,9 +178,11 @@ def stock_on_hand(inventory: DataFrame, products: DataFrame | None = None) -> Da
 
 
 def monthly_units_stock(
-    orders: DataFrame, inventory: DataFrame, products: DataFrame | None = None
+    orders: DataFrame, inventory: DataFrame, products: DataFrame | None = None,
+    as_of: Instant | None = None,
 ) -> DataFrame:
     """Units sold per month and product, with the product's current stock and attributes."""
+    orders, inventory = orders_at(orders, as_of), inventory_at(inventory, as_of)
     return (
         monthly_counts(orders)
         .join(stock_on_hand(inventory, products), "product_id", "left")

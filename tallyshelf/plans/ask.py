@@ -3,17 +3,34 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from tallyshelf.functions.as_of import Instant, tables_at
+from tallyshelf.functions.ordering import desc, then_by_rest
 from tallyshelf.operators import payouts, sales, stock
+from tallyshelf.operators.profile import PREVIEW_ROWS
 from tallyshelf.operators.textlog import route_questions
 
 
-def ask(question: str, tables: dict[str, DataFrame]) -> DataFrame:
-    """The report for one question over ``orders``, ``inventory`` and ``mg``.
+def reply(
+    question: str, tables: dict[str, DataFrame], n: int = PREVIEW_ROWS, as_of: Instant | None = None
+) -> DataFrame:
+    """What a questioner is shown: the first ``n`` rows of the answer, each with the row count of all of it.
+
+    The limit meets the report's own sort, so a long listing is a top-k and not sorted as a whole. No rows: no matching data.
+    """
+    answer = ask(question, tables, as_of)
+    total = answer.agg(F.count("*")).scalar()
+    return answer.limit(n).withColumn("total_rows", total)
+
+
+def ask(question: str, tables: dict[str, DataFrame], as_of: Instant | None = None) -> DataFrame:
+    """The report for one question over ``orders``, ``inventory`` and ``mg``, as of an instant if one is given.
 
     A question that fits no report gets the order listing, newest first. The route is worked out
     by the same expressions that label whole question logs.
     """
+    tables = tables_at(tables, as_of)
     orders, inventory, mg = tables["orders"], tables["inventory"], tables["mg"]
     asked = orders.sparkSession.sql("SELECT :asked AS question", args={"asked": question})
     label = route_questions(asked).first()
@@ -24,7 +41,7 @@ def ask(question: str, tables: dict[str, DataFrame]) -> DataFrame:
     if label.route == "orders_by_value":
         return sales.orders_by_value(orders, label.row_limit)
     if label.route == "none":
-        return sales.orders_recent(orders)
+        return orders.orderBy(desc("created_at"), *then_by_rest(orders, ["created_at"]))
     if label.sub_route == "monthly":
         return stock.monthly_units_stock(orders, inventory)
     if label.sub_route == "top_sold":

@@ -199,3 +199,39 @@ def sql_log(spark: SparkSession, folder: str) -> DataFrame:
     )
     sql = F.when(key % 4 == 0, cte).when(key % 3 == 0, payouts).otherwise(joined)
     return events.select(key.alias("query_id"), sql.alias("sql"))
+
+
+def events(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema(
+        "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double"
+    ).parquet(f"{folder}/events.parquet")
+
+
+def promotions(spark: SparkSession, folder: str) -> DataFrame:
+    """``product_id, promo_start, promo_end``: two periods per product, as long as its size says in weeks and in days."""
+    parts = spark.read.schema("p_partkey bigint, p_size int").parquet(f"{folder}/part.parquet")
+    first = F.lit("1995-01-01 00:00:00").cast("timestamp_ntz")
+    days = lambda n: F.make_dt_interval(days=n)
+    early = first + days((F.col("p_partkey") % 1800).cast("int"))
+    late = first + days((F.col("p_partkey") * 7 % 2400).cast("int"))
+    periods = F.array(
+        F.struct(early.alias("promo_start"), (early + days(F.col("p_size") * 7)).alias("promo_end")),
+        F.struct(late.alias("promo_start"), (late + days(F.col("p_size"))).alias("promo_end")),
+    )
+    return parts.select(F.col("p_partkey").alias("product_id"), F.inline(periods))
+
+
+ARRIVING = "order_id bigint, product_id bigint, created_at timestamp_ntz"
+LATE_EVERY, LATE_BEFORE = 50, 1998
+
+
+def arriving_orders(spark: SparkSession, folder: str) -> str:
+    """A folder to which order items were added year by year; some of the years before 1998 came last."""
+    items = warehouse.orders(spark, folder).select("order_id", "product_id", "created_at")
+    year = F.year("created_at")
+    late = (year < LATE_BEFORE) & (F.col("order_id") % LATE_EVERY == 0)
+    path = fresh_path(spark, "arrivals")
+    years = [r[0] for r in items.select(year).distinct().orderBy(year).collect() if r[0] is not None]
+    for arrived in [*((year == y) & ~late for y in years), late]:
+        items.where(arrived).coalesce(1).write.mode("append").parquet(path)
+    return path

@@ -447,6 +447,86 @@ _ANALYSES = {
                FROM shop_inventory"""])),
 }
 
+# --- histories, joins by time and by order ----------------------------------------------------------
+
+_THEN = """known_orders AS (SELECT * FROM shop_orders WHERE created_at <= TIMESTAMP '1999-07-01 12:00:00'),
+known_inventory AS (
+    SELECT * REPLACE (CASE WHEN sold_at <= TIMESTAMP '1999-07-01 12:00:00' THEN sold_at END AS sold_at)
+    FROM shop_inventory WHERE created_at <= TIMESTAMP '1999-07-01 12:00:00'
+)"""
+_POSITION_THEN = _position("known_orders").replace("shop_inventory", "known_inventory")
+
+_HISTORIES = {
+    "stock_as_of": _with(SHOP_ORDERS, SHOP_INVENTORY, _THEN, _POSITION_THEN, query=f"SELECT {REPORT} FROM position"),
+    "reorder_as_of": _with(
+        SHOP_ORDERS, SHOP_INVENTORY, _THEN, _POSITION_THEN,
+        query=f"SELECT {REPORT} FROM position WHERE on_hand < 12 ORDER BY on_hand, units_sold DESC, product_id LIMIT 100"),
+    "reply_recent": _with(SHOP_ORDERS, query=f"""
+        SELECT * REPLACE (CASE WHEN shipped_at <= TIMESTAMP '1999-07-01 12:00:00' THEN shipped_at END AS shipped_at,
+                          CASE WHEN delivered_at <= TIMESTAMP '1999-07-01 12:00:00' THEN delivered_at END AS delivered_at,
+                          CASE WHEN returned_at <= TIMESTAMP '1999-07-01 12:00:00' THEN returned_at END AS returned_at),
+               COUNT(*) OVER () AS total_rows
+        FROM shop_orders WHERE created_at <= TIMESTAMP '1999-07-01 12:00:00' {_BY_DATE} LIMIT 50"""),
+    # The stock of a month's end is counted afresh from the units, not summed up from events.
+    "monthly_stock": _with(SHOP_INVENTORY, query="""
+        SELECT product_id, month, received, sold, (
+            SELECT COUNT(*) FILTER (date_trunc('month', u.created_at) <= m.month) - COUNT(*) FILTER (date_trunc('month', u.sold_at) <= m.month)
+            FROM shop_inventory u WHERE u.product_id = m.product_id) AS on_hand
+        FROM (SELECT product_id, month, CAST(SUM(r) AS BIGINT) AS received, CAST(SUM(s) AS BIGINT) AS sold FROM (
+                  SELECT product_id, date_trunc('month', created_at) AS month, 1 AS r, 0 AS s FROM shop_inventory
+                  UNION ALL SELECT product_id, date_trunc('month', sold_at), 0, 1 FROM shop_inventory WHERE sold_at IS NOT NULL)
+              GROUP BY ALL) AS m"""),
+    "monthly_units_then": _with(SHOP_ORDERS, SHOP_INVENTORY, query="""
+        SELECT m.year_month, m.product_id, MAX(u.product_name) AS product_name, MAX(u.product_brand) AS product_brand,
+               MAX(u.product_category) AS product_category, m.units_sold,
+               COUNT(*) FILTER (date_trunc('month', u.created_at) <= m.year_month)
+               - COUNT(*) FILTER (date_trunc('month', u.sold_at) <= m.year_month) AS on_hand
+        FROM (SELECT date_trunc('month', created_at) AS year_month, product_id, COUNT(*) AS units_sold
+              FROM shop_orders WHERE created_at IS NOT NULL AND product_id IS NOT NULL GROUP BY ALL) AS m
+        LEFT JOIN shop_inventory AS u ON u.product_id = m.product_id
+        GROUP BY m.year_month, m.product_id, m.units_sold"""),
+    "asof_last_event": """
+        SELECT event_id, user_id, ts, best.ts AS last_ts, best.event_type AS last_type, best.event_id AS last_event_id FROM (
+            SELECT p.event_id, p.user_id, p.ts, MAX(CASE WHEN e.event_id IS NOT NULL THEN
+                {'ts': e.ts, 'event_type': e.event_type, 'event_id': e.event_id} END) AS best
+            FROM events p LEFT JOIN events e ON e.user_id = p.user_id AND e.ts <= p.ts AND e.event_type <> 'purchase'
+            WHERE p.event_type = 'purchase' GROUP BY ALL)""",
+    "asof_last_price": _with(SHOP_ORDERS, query="""
+        SELECT inventory_item_id, product_id, created_at, sale_price, best.price AS price_before, best.at AS priced_at FROM (
+            SELECT o.inventory_item_id, o.product_id, o.created_at, o.sale_price, o.number, MAX(CASE WHEN e.product_id IS NOT NULL THEN
+                {'at': e.created_at, 'price': e.sale_price} END) AS best
+            FROM (SELECT *, row_number() OVER () AS number FROM shop_orders) o
+            LEFT JOIN shop_orders e ON e.product_id = o.product_id AND e.created_at < o.created_at GROUP BY ALL)"""),
+    "open_items_at_order": _with(SHOP_ORDERS, query="""
+        SELECT h.o_orderkey AS order_id, COUNT(*) AS open_items
+        FROM orders h JOIN shop_orders i ON i.user_id = h.o_custkey AND i.created_at < h.o_orderdate AND h.o_orderdate < i.shipped_at
+        GROUP BY ALL"""),
+    "promoted_items": _with(SHOP_ORDERS, """promotions AS (
+            SELECT p_partkey AS product_id, s AS promo_start, s + to_days(p_size * 7) AS promo_end
+            FROM (SELECT *, TIMESTAMP '1995-01-01' + to_days(CAST(p_partkey % 1800 AS INTEGER)) AS s FROM part)
+            UNION ALL SELECT p_partkey, s, s + to_days(p_size)
+            FROM (SELECT *, TIMESTAMP '1995-01-01' + to_days(CAST(p_partkey * 7 % 2400 AS INTEGER)) AS s FROM part))""", query="""
+        SELECT inventory_item_id, product_id, created_at, shipped_at, promo_start, promo_end
+        FROM shop_orders JOIN promotions USING (product_id)
+        WHERE created_at < shipped_at AND promo_start < promo_end AND created_at < promo_end AND promo_start < shipped_at"""),
+    "better_products": """
+        WITH p AS (SELECT p_partkey AS product_id, p_retailprice AS product_retail_price, COUNT(*) AS units_sold
+                   FROM part JOIN lineitem ON l_partkey = p_partkey GROUP BY ALL)
+        SELECT x.*, (SELECT COUNT(*) FROM p y WHERE y.product_retail_price <= x.product_retail_price AND y.units_sold >= x.units_sold
+                     AND (y.product_retail_price < x.product_retail_price OR y.units_sold > x.units_sold)) AS beaten_by
+        FROM p x""",
+    "user_sessions": """
+        SELECT user_id, session, MIN(ts) AS session_start, MAX(ts) AS session_end, COUNT(*) AS events,
+               COUNT(*) FILTER (event_type = 'purchase') AS purchases, CAST(SUM(CAST(value AS DECIMAL(18, 2))) AS DOUBLE) AS value
+        FROM (SELECT *, CAST(1 + SUM(CAST(ts > before + INTERVAL '7200' SECOND AS INTEGER)) OVER (PARTITION BY user_id ORDER BY ts) AS BIGINT) AS session
+              FROM (SELECT *, coalesce(LAG(ts) OVER (PARTITION BY user_id ORDER BY ts), ts) AS before FROM events))
+        GROUP BY user_id, session""",
+    "stream_monthly_units": _with(SHOP_ORDERS, query="""
+        SELECT date_trunc('month', created_at) AS month, product_id, COUNT(*) AS units
+        FROM shop_orders WHERE created_at IS NOT NULL AND product_id IS NOT NULL
+          AND NOT (year(created_at) < 1998 AND order_id % 50 = 0) GROUP BY ALL"""),
+}
+
 ORACLE: dict[str, str] = {
-    **_STOCK, **_SALES, **_FREE, **_PROFILES, **_LOADS, **_TEXTS, **_ANALYSES
+    **_STOCK, **_SALES, **_FREE, **_PROFILES, **_LOADS, **_TEXTS, **_ANALYSES, **_HISTORIES
 }

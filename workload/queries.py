@@ -10,11 +10,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyshelf.functions.ordering import desc, then_by_rest
-from tallyshelf.operators import analyses, columns, payouts, profile, sales, stock, textlog
-from tallyshelf.plans.ask import ask
+from tallyshelf.operators import (
+    analyses, columns, dominance, history, payouts, profile, sales, sessions, stock, textlog, time_joins,
+)
+from tallyshelf.plans.ask import ask, reply
 from tallyshelf.plans.free_select import free_select, isolated_session, register
 from tallyshelf.schemas import INVENTORY, MG, ORDERS
 from tallyshelf.sources import conform, csv_tables, warehouse
+from tallyshelf.sources.scratch import fresh_path
+from tallyshelf.streaming import monthly
 from workload import inputs
 from workload.free_sql import FREE_SQL
 
@@ -194,8 +198,89 @@ def _dq_checks(spark: SparkSession, folder: str) -> DataFrame:
     return analyses.dq_checks(**warehouse.tables(spark, folder))
 
 
+# An instant within the given order dates.
+AS_OF = "1999-07-01 12:00:00"
+SESSION_GAP = 7200
+
+
+def _stock_as_of(report: Callable[..., DataFrame], **params: object) -> Query:
+    return lambda spark, folder: report(
+        warehouse.orders(spark, folder), warehouse.inventory_units(spark, folder),
+        products=warehouse.products(spark, folder), as_of=AS_OF, **params,
+    )
+
+
+def _monthly_units_then(spark: SparkSession, folder: str) -> DataFrame:
+    return history.monthly_units_then(
+        warehouse.orders(spark, folder), warehouse.inventory_units(spark, folder), warehouse.products(spark, folder))
+
+
+def _asof_last_event(spark: SparkSession, folder: str) -> DataFrame:
+    """Each purchase with the user's latest other event up to then."""
+    events = inputs.events(spark, folder)
+    bought = events.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
+    others = events.where("event_type <> 'purchase'")
+    taken = {"last_ts": "ts", "last_type": "event_type", "last_event_id": "event_id"}
+    return time_joins.asof_join(bought, others, ["user_id"], "ts", "ts", taken)
+
+
+def _asof_last_price(spark: SparkSession, folder: str) -> DataFrame:
+    """Each sold item with the latest price of its product on an earlier day."""
+    items = warehouse.orders(spark, folder).select("inventory_item_id", "product_id", "created_at", "sale_price")
+    prices = items.select("product_id", "created_at", "sale_price")
+    taken = {"price_before": "sale_price", "priced_at": "created_at"}
+    return time_joins.asof_join(items, prices, ["product_id"], "created_at", "created_at", taken, 90 * 86_400, strict=True)
+
+
+def _open_items(spark: SparkSession, folder: str) -> DataFrame:
+    """Per order how many items of the user's earlier orders were not shipped by then."""
+    orders = warehouse.order_headers(spark, folder).select("order_id", "user_id", "created_at")
+    items = warehouse.orders(spark, folder).select(
+        "user_id", F.col("created_at").alias("opened_at"), "shipped_at")
+    met = time_joins.points_in_intervals(orders, items, ["user_id"], "created_at", "opened_at", "shipped_at", strict=True)
+    return met.groupBy("order_id").agg(F.count("*").alias("open_items"))
+
+
+def _promoted_items(spark: SparkSession, folder: str) -> DataFrame:
+    """Items on their way during a promotion of their product."""
+    items = warehouse.orders(spark, folder).select("inventory_item_id", "product_id", "created_at", "shipped_at")
+    return time_joins.overlapping(
+        items, inputs.promotions(spark, folder), ["product_id"], ("created_at", "shipped_at"), ("promo_start", "promo_end"))
+
+
+def _better_products(spark: SparkSession, folder: str) -> DataFrame:
+    """Per product how many others cost no more and sold no fewer, and differ in one of it."""
+    sold = warehouse.order_lines(spark, folder).groupBy("product_id").agg(F.count("*").alias("units_sold"))
+    products = warehouse.products(spark, folder).select("product_id", "product_retail_price")
+    return dominance.beaten_by(products.join(sold, "product_id"), "product_retail_price", "units_sold")
+
+
+def _user_sessions(spark: SparkSession, folder: str) -> DataFrame:
+    return sessions.user_sessions(inputs.events(spark, folder), SESSION_GAP)
+
+
+def _stream_monthly_units(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders arrive year by year, some of the first years' at the end; those are too late."""
+    arrivals = inputs.arriving_orders(spark, folder)
+    stream = spark.readStream.schema(inputs.ARRIVING).option("maxFilesPerTrigger", 1).parquet(arrivals)
+    return monthly.run_monthly_units(stream, fresh_path(spark, "stream")).monthly
+
+
 QUERIES: dict[str, Query] = {
     # stock
+    "stock_as_of": _stock_as_of(stock.stock_position),
+    "reorder_as_of": _stock_as_of(stock.reorder, threshold=12),
+    "monthly_stock": lambda spark, folder: history.monthly_stock(warehouse.inventory_units(spark, folder)),
+    "monthly_units_then": _monthly_units_then,
+    # joins by time and by order
+    "asof_last_event": _asof_last_event,
+    "asof_last_price": _asof_last_price,
+    "open_items_at_order": _open_items,
+    "promoted_items": _promoted_items,
+    "better_products": _better_products,
+    "user_sessions": _user_sessions,
+    "stream_monthly_units": _stream_monthly_units,
+    "reply_recent": lambda spark, folder: reply("hello there", warehouse.tables(spark, folder), as_of=AS_OF),
     "stock_position": _star(stock.stock_position),
     "stock_position_flat": _flat_position,
     "top_sold": _star(stock.top_sold),

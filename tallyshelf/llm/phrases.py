@@ -30,6 +30,8 @@ CHUNK_TOKENS = 1_000_000
 # Bits that tell the tasks which words' texts are wanted: 2 MB at most.
 FILTER_BITS = 1 << 24
 
+FIELDS = ["a", "b", "c", "n", "of"]
+
 # Words, and runs of marks between pieces.
 _TOKEN = re.compile(rb"[^\x20\x09.,;:!?\x0A-\x0D]+|[.,;:!?\x0A-\x0D]+")
 _MARKS = frozenset(b".,;:!?\n\x0b\x0c\r")
@@ -41,6 +43,10 @@ def word_hash(lang: str, word: bytes, seed: int) -> int:
     return xxhash.xxh64_intdigest(lang.encode() + b"\n" + word, seed) or 1
 
 
+def lang_hash(lang: str, seed: int) -> int:
+    return int(np.uint64(xxhash.xxh64_intdigest(lang.encode(), seed)).view(np.int64))
+
+
 def texts_of(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(NO_LANG)).alias("lang"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("data"))
 
@@ -75,17 +81,20 @@ def edges_of(numbers: list[int], hashes: list[int]) -> tuple[list[np.ndarray], n
 
 
 def edges(texts: DataFrame, seed: int) -> DataFrame:
-    """``a, b, c, n``: edges as hashes of words with their counts in chunks of a task; ``b`` and ``c`` are 0 after the end of a piece."""
+    """``a, b, c, n, of``: edges as hashes of words with their counts in chunks of a task, and the hash of their language; ``b`` and ``c`` are 0
+    after the end of a piece.
+    """
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, tuple[_Numbers, list[int]]] = {}
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for numbers, tokens in held.values():
+            for lang, (numbers, tokens) in held.items():
                 keys, n = edges_of(tokens, numbers.hashes)
                 if len(n):
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, keys), pa.array(n)], ["a", "b", "c", "n"])
+                    columns = [*keys, n, np.full(len(n), lang_hash(lang, seed))]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], FIELDS)
 
         for batch in batches:
             for lang, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -108,7 +117,7 @@ def edges(texts: DataFrame, seed: int) -> DataFrame:
                 held[lang][1].extend((0, 0))
         yield from flush()
 
-    return texts.mapInArrow(per_batch, "a long, b long, c long, n long")
+    return texts.mapInArrow(per_batch, ", ".join(f"{name} long" for name in FIELDS))
 
 
 def _sums(keys: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
@@ -120,7 +129,7 @@ def _sums(keys: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray], np.n
 
 
 def flows(counted: DataFrame, least: int) -> DataFrame:
-    """Three kinds of rows ``a, b, c, n``: edges and nodes (``c`` is 0) of ``least`` or more, and parts of the flow of words (``b`` is 0).
+    """Three kinds of rows ``a, b, c, n, of``: edges and nodes (``c`` is 0) of ``least`` or more, and parts of the flow of words (``b`` is 0).
 
     Edges are dealt by their node and sorted, so a task sums up edge after edge and node after node as they pass by; no node is
     gathered, however many edges it has.
@@ -128,46 +137,48 @@ def flows(counted: DataFrame, least: int) -> DataFrame:
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Sums that the next batch may add to: of the last edge and the last node.
-        edge, node = [np.zeros(0, np.int64)] * 4, [np.zeros(0, np.int64)] * 3
+        edge, node = [np.zeros(0, np.int64)] * 5, [np.zeros(0, np.int64)] * 4
 
-        def rows(a: np.ndarray, b: np.ndarray, c: np.ndarray, n: np.ndarray, keep: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (a, b, c, n)], ["a", "b", "c", "n"])
+        def rows(columns: list[np.ndarray], keep: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in columns], FIELDS)
 
         def done(edge: list[np.ndarray], node: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            yield rows(*edge, (edge[3] >= least) & (edge[2] != 0))
-            yield rows(*node[:2], np.zeros(len(node[0]), np.int64), node[2], (node[2] >= least) & (node[1] != 0))
+            a, b, c, of, n = edge
+            yield rows([a, b, c, n, of], (n >= least) & (c != 0))
+            a, b, of, n = node
+            yield rows([a, b, np.zeros_like(a), n, of], (n >= least) & (b != 0))
 
         for batch in batches:
             if not len(batch):
                 continue
-            a, b, c, n = (x.to_numpy(zero_copy_only=False) for x in batch.columns)
-            joined = [np.concatenate(x) for x in zip(edge, (a, b, c, n), strict=True)]
-            keys, sums = _sums(joined[:3], joined[3])
+            a, b, c, n, of = (x.to_numpy(zero_copy_only=False) for x in batch.columns)
+            *keys, counts = [np.concatenate(x) for x in zip(edge, (a, b, c, of, n), strict=True)]
+            keys, sums = _sums(keys, counts)
             edge = [*keys, sums]
-            joined = [np.concatenate(x) for x in zip(node, (a, b, n), strict=True)]
-            keys, sums = _sums(joined[:2], joined[2])
+            *keys, counts = [np.concatenate(x) for x in zip(node, (a, b, of, n), strict=True)]
+            keys, sums = _sums(keys, counts)
             node = [*keys, sums]
             yield from done([x[:-1] for x in edge], [x[:-1] for x in node])
             edge, node = [x[-1:] for x in edge], [x[-1:] for x in node]
-            (word,), flow = _sums([a], n)
-            none = np.zeros(len(word), np.int64)
-            yield rows(word, none, none, flow, flow > 0)
+            (word, own), flow = _sums([a, of], n)
+            none = np.zeros_like(word)
+            yield rows([word, none, none, flow, own], flow > 0)
         yield from done(edge, node)
 
     dealt = counted.repartition("a", "b").sortWithinPartitions("a", "b", "c")
-    return dealt.mapInArrow(per_batch, "a long, b long, c long, n long")
+    return dealt.mapInArrow(per_batch, dealt.schema)
 
 
 def contract(nodes: DataFrame, solid: DataFrame) -> DataFrame:
-    """``a, b, n, longest`` of the nodes that are on no unary path; ``longest`` is the count of the heaviest edge in or out.
+    """``a, b, n, of, longest`` of the nodes that are on no unary path; ``longest`` is the count of the heaviest edge in or out.
 
     All that flows through a node on such a path comes in by one edge and leaves by one: it needs no row, its edges have its count.
     """
     out = solid.groupBy("a", "b").agg(F.max("n").alias("most_out"))
     into = solid.groupBy(F.col("b").alias("a"), F.col("c").alias("b")).agg(F.max("n").alias("most_in"))
     both = nodes.join(out, ["a", "b"], "left").join(into, ["a", "b"], "left")
-    both = both.select("a", "b", "n", F.coalesce("most_out", F.lit(0)).alias("most_out"), F.coalesce("most_in", F.lit(0)).alias("most_in"))
-    return both.where("most_in < n OR most_out < n").select("a", "b", "n", F.greatest("most_in", "most_out").alias("longest"))
+    both = both.select("a", "b", "n", "of", F.coalesce("most_out", F.lit(0)).alias("most_out"), F.coalesce("most_in", F.lit(0)).alias("most_in"))
+    return both.where("most_in < n OR most_out < n").select("a", "b", "n", "of", F.greatest("most_in", "most_out").alias("longest"))
 
 
 def vocabulary(texts: DataFrame, wanted: DataFrame, seed: int) -> DataFrame:
@@ -218,8 +229,11 @@ def score(a: Column, left: Column, right: Column) -> Column:
     return F.call_function("div", F.lit(SCALE).cast("decimal(7,0)") * (whole(a) * whole(a)), whole(left) * whole(right))
 
 
-def candidates(texts: DataFrame, least: int, seed: int) -> DataFrame:
-    """``a, b, c, n, l, r, score``: pairs (``c`` is 0) and triples of ``least`` occurrences that no longer candidate covers, as hashes."""
+def candidates(texts: DataFrame, least: int, top: int, seed: int) -> DataFrame:
+    """``a, b, c, n, l, r, score``: pairs (``c`` is 0) and triples of ``least`` occurrences that no longer candidate covers, as hashes.
+
+    Of each language those that can be among the first ``top``: all with fewer than ``top`` better ones by score and count, ties included.
+    """
     graph = stored(flows(edges(texts, seed), least), "graph")
     solid, nodes = graph.where("c <> 0"), graph.where("b <> 0 AND c = 0").drop("c")
     words = graph.where("b = 0").groupBy("a").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
@@ -227,18 +241,20 @@ def candidates(texts: DataFrame, least: int, seed: int) -> DataFrame:
     branching = stored(contract(nodes, solid), "branching")
     word = lambda column, count: words.select(F.col("a").alias(column), F.col("n").alias(count))
     node = lambda first, second, count: branching.select(F.col("a").alias(first), F.col("b").alias(second), F.col("n").alias(count))
-    pairs = branching.where(F.col("longest") * 100 < F.col("n") * COVERED).select("a", "b", F.lit(0).cast("long").alias("c"), "n")
+    pairs = branching.where(F.col("longest") * 100 < F.col("n") * COVERED).select("a", "b", F.lit(0).cast("long").alias("c"), "n", "of")
     pairs = pairs.join(word("a", "l"), "a").join(word("b", "r"), "b")
-    pairs = pairs.select("a", "b", "c", "n", "l", "r", score(F.col("n"), F.col("l"), F.col("r")).alias("score"))
+    pairs = pairs.select("a", "b", "c", "n", "of", "l", "r", score(F.col("n"), F.col("l"), F.col("r")).alias("score"))
     # The count of a contracted node is that of its edge.
     triples = solid.join(node("a", "b", "left"), ["a", "b"], "left").join(node("b", "c", "right"), ["b", "c"], "left")
     triples = triples.join(word("a", "first"), "a").join(word("c", "last"), "c")
     early, late = (F.col("first"), F.coalesce("right", "n")), (F.coalesce("left", "n"), F.col("last"))
-    triples = triples.select("a", "b", "c", "n", early[0].alias("l1"), early[1].alias("r1"), late[0].alias("l2"), late[1].alias("r2"),
+    triples = triples.select("a", "b", "c", "n", "of", early[0].alias("l1"), early[1].alias("r1"), late[0].alias("l2"), late[1].alias("r2"),
                              score(F.col("n"), *early).alias("s1"), score(F.col("n"), *late).alias("s2"))
     cut = lambda x: F.when(F.col("s2") < F.col("s1"), F.col(f"{x}2")).otherwise(F.col(f"{x}1"))
-    triples = triples.select("a", "b", "c", "n", cut("l").alias("l"), cut("r").alias("r"), cut("s").alias("score"))
-    found = stored(pairs.union(triples), "candidates")
+    triples = triples.select("a", "b", "c", "n", "of", cut("l").alias("l"), cut("r").alias("r"), cut("s").alias("score"))
+    best = F.rank().over(Window.partitionBy("of").orderBy(F.desc("score"), F.desc("n")))
+    ranked = pairs.union(triples).withColumn("place", best).where(F.col("place") <= top)
+    found = stored(ranked.drop("of", "place"), "candidates")
     discard(graph, words, branching)
     return found
 
@@ -254,7 +270,7 @@ def mine(docs: DataFrame, least: int = LEAST_COUNT, top: int = TOP) -> DataFrame
     """
     texts = texts_of(docs)
     for seed in range(42, 52):
-        found = candidates(texts, least, seed)
+        found = candidates(texts, least, top, seed)
         wanted = found.select(F.explode(F.array("a", "b", "c")).alias("hash")).where("hash <> 0").distinct()
         known = stored(vocabulary(texts, wanted, seed), "vocabulary")
         words = known.where("word IS NOT NULL").select("hash", "lang", "word")

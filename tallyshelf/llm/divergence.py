@@ -24,19 +24,20 @@ LEAST_DOCUMENTS = 30
 TOP_TERMS = 50
 SMOOTH = 5
 UNIT = 1_000_000_000
-# Bytes of the first prefixes; each level doubles them.
-FIRST_PREFIX = 4
+# Bytes of the first prefixes (shorter ones are in nearly all documents); each level doubles them.
+FIRST_PREFIX = 8
 # What survives a level is told to the next one as so many bits: 2 MB, whatever the size of the corpus. A discarded prefix whose bit is
 # set by another one costs some counting and changes nothing, as every level counts exactly.
 FILTER_BITS = 1 << 24
 # Keys counted in a task before they are passed on, and terms whose fate it remembers.
-HELD_KEYS, KNOWN_TERMS = 300_000, 500_000
+HELD_KEYS, KNOWN_TERMS = 700_000, 500_000
 # Cells (terms times sources) of one matrix.
-CELLS = 2_000_000
+CELLS = 50_000
 # Ends a complete term; no term holds it.
 END = b"\0"
 
-_LETTERS = rb"[a-z\x80-\xff]"
+# Letters as they are or in lower case, everything else as a space.
+_LETTERS = bytes(c if c >= 128 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 _BREAK = re.compile(rb"[^a-zA-Z\x80-\xff]")
 
 
@@ -56,6 +57,26 @@ class Survivors:
         return bool(self.bits[place >> 3] >> (place & 7) & 1)
 
 
+class Members:
+    """Which prefixes of a language are left: those met are remembered, so that most are found in a small set."""
+
+    def __init__(self, left: Survivors, lang: str):
+        self.left, self.lang = left, lang.encode()
+        self.inside: set[bytes] = set()
+        self.outside: set[bytes] = set()
+
+    def decide(self, prefix: bytes) -> bool:
+        """For a prefix that is not yet ``inside``."""
+        if prefix in self.outside:
+            return False
+        there = self.left.has(self.lang, prefix)
+        (self.inside if there else self.outside).add(prefix)
+        if len(self.inside) + len(self.outside) > KNOWN_TERMS:
+            self.inside.clear()
+            self.outside.clear()
+        return there
+
+
 def texts_of(docs: DataFrame) -> DataFrame:
     """``lang, source, data``; nulls become empty."""
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
@@ -67,40 +88,33 @@ def prefix_documents(texts: DataFrame, length: int, parents: Survivors | None) -
 
     A complete term counts as itself and ``END``. Documents are whole rows, so each task counts its own and the counts add up.
     """
-    before = length // 2 if parents else 0
-    # Only terms that are not complete at the level before; of the first level only the prefixes.
-    pattern = re.compile(_LETTERS + b"{%d,}" % before) if parents else re.compile(b"(%s{1,%d})%s*" % (_LETTERS, length, _LETTERS))
-
-    def prefix(term: bytes, lang: bytes) -> bytes | None:
-        if parents is None:
-            return term if len(term) == length else term + END
-        return (term + END)[:length] if parents.has(lang, term[:before]) else None
+    before = length // 2
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fate: dict[bytes, dict[bytes, bytes | None]] = {}
-        counts: dict[bytes, Counter[bytes]] = {}
+        members: dict[str, Members] = {}
+        counts: dict[str, Counter[bytes]] = {}
 
         def flush() -> Iterator[pa.RecordBatch]:
             for lang, own in counts.items():
-                columns = [pa.array([lang.decode()] * len(own)), pa.array(list(own), pa.binary()), pa.array(list(own.values()), pa.int64())]
+                prefixes = [x if len(x) == length else x + END for x in own]
+                columns = [pa.array([lang] * len(own), pa.string()), pa.array(prefixes, pa.binary()), pa.array(list(own.values()), pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, ["lang", "prefix", "docs"])
             counts.clear()
 
         for batch in batches:
             for lang, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                lang = lang.encode()
-                known = fate.setdefault(lang, {})
-                terms: set[bytes] = set()
+                own: set[bytes] = set()
                 for part in slices(data.as_py(), _BREAK):
-                    terms.update(pattern.findall(part.lower()))
-                for term in terms.difference(known):
-                    known[term] = prefix(term, lang)
-                own = set(map(known.__getitem__, terms))
-                own.discard(None)
-                if own:
-                    counts.setdefault(lang, Counter()).update(own)
-                if sum(map(len, fate.values())) > KNOWN_TERMS:
-                    fate.clear()
+                    terms = part.translate(_LETTERS).split()
+                    if parents is None:
+                        own.update([term[:length] for term in terms])
+                    else:  # shorter terms were complete at the level before
+                        if lang not in members:
+                            members[lang] = Members(parents, lang)
+                        inside, decide = members[lang].inside, members[lang].decide
+                        long = {term[:length] for term in terms if len(term) >= before}
+                        own.update([x for x in long if (p := x[:before]) in inside or decide(p)])
+                counts.setdefault(lang, Counter()).update(own)
                 if sum(map(len, counts.values())) > HELD_KEYS:
                     yield from flush()
         yield from flush()
@@ -125,33 +139,25 @@ def frequent_terms(texts: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
 def occurrences(texts: DataFrame, terms: DataFrame) -> DataFrame:
     """``lang, source, term, n``: how often each of ``terms (lang, term)`` occurs in each source that has it."""
     kept = Survivors(terms.select("lang", F.col("term").cast("binary").alias("prefix")))
-    pattern = re.compile(_LETTERS + b"+")
-
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fate: dict[bytes, dict[bytes, bool]] = {}
-        counts: dict[tuple[bytes, str], Counter[bytes]] = {}
+        members: dict[str, Members] = {}
+        counts: dict[tuple[str, str], Counter[bytes]] = {}
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for (lang, source), own in counts.items():
-                names = [pa.array([x] * len(own), pa.string()) for x in (lang.decode(), source)]
+            for names, own in counts.items():
                 terms = pa.array(list(own), pa.binary()).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([*names, terms, pa.array(list(own.values()), pa.int64())], ["lang", "source", "term", "n"])
+                columns = [*(pa.array([x] * len(own), pa.string()) for x in names), terms, pa.array(list(own.values()), pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "n"])
             counts.clear()
 
         for batch in batches:
             for lang, source, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                lang = lang.encode()
-                known = fate.setdefault(lang, {})
+                if lang not in members:
+                    members[lang] = Members(kept, lang)
+                inside, decide = members[lang].inside, members[lang].decide
                 own = counts.setdefault((lang, source), Counter())
                 for part in slices(data.as_py(), _BREAK):
-                    met = Counter(pattern.findall(part.lower()))
-                    for term in met.keys() - known.keys():
-                        known[term] = kept.has(lang, term)
-                    for term, n in met.items():
-                        if known[term]:
-                            own[term] += n
-                if sum(map(len, fate.values())) > KNOWN_TERMS:
-                    fate.clear()
+                    own.update([term for term in part.translate(_LETTERS).split() if term in inside or decide(term)])
                 if sum(map(len, counts.values())) > HELD_KEYS:
                     yield from flush()
         yield from flush()
@@ -171,11 +177,12 @@ def distances(cells: DataFrame, groups: DataFrame) -> DataFrame:
     """``lang, source, item, value``: for each ordered pair of sources of a language the summed absolute difference of their shares.
 
     ``cells (lang, source, term, p)`` has the shares of terms that a source has, ``groups (lang, source, nothing, terms)`` the share of
-    those it has not, and the number of terms of the language. Terms are dealt to matrices of ``CELLS`` cells at most on average, whatever the language;
+    those it has not, and the number of terms of the language. Terms are dealt to matrices of about ``CELLS`` cells, whatever the language, of more if sources are very many;
     the differences of each matrix are exact and add up. The rows grow with the square of the sources, as the result does.
     """
     sizes = groups.groupBy("lang").agg(F.count("*").alias("sources"), F.max("terms").alias("terms"))
-    blocks = (1 + F.col("sources") * F.col("terms") / CELLS).cast("long")
+    # A matrix is well larger than the rows of differences that it gives.
+    blocks = (1 + F.col("sources") * F.col("terms") / (CELLS + 8 * F.col("sources") * F.col("sources"))).cast("long")
     sizes = sizes.select("lang", blocks.alias("blocks"))
     here = cells.join(sizes, "lang").select("lang", F.pmod(F.xxhash64("term"), "blocks").alias("block"), "source", "term", "p")
     everywhere = groups.join(sizes, "lang").select(

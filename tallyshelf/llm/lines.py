@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyshelf.llm.components import component_roots
+from tallyshelf.llm.texts import unused
 from tallyshelf.sources.scratch import discard, stored
 
 SHINGLE = 9
@@ -283,10 +284,11 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     dropped = dropped.where(~F.col("place").eqNullSafe(F.col("first"))).select("row", "pos").distinct()
     dropped = stored(dropped.groupBy("row").agg(F.collect_list("pos").alias("gone")), "dropped")
     discard(marks, several, keepers)
-    gone = _sized(dropped.select(F.col("row").alias("__row"), F.col("gone").alias("__gone")))
-    rows = docs.join(gone, F.xxhash64(docs["doc_id"], docs["text"]) == F.col("__row"), "left")
-    stay = F.filter(F.split("text", "\n", -1), lambda line, at: ~F.array_contains("__gone", at))
-    rows = rows.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(stay, "\n")))
+    own_row, own_gone = unused("row", docs.columns), unused("gone", docs.columns)
+    gone = _sized(dropped.select(F.col("row").alias(own_row), F.col("gone").alias(own_gone)))
+    rows = docs.join(gone, F.xxhash64(docs["doc_id"], docs["text"]) == F.col(own_row), "left")
+    stay = F.filter(F.split("text", "\n", -1), lambda line, at: ~F.array_contains(own_gone, at))
+    rows = rows.withColumn("text", F.when(F.col(own_gone).isNull(), F.col("text")).otherwise(F.array_join(stay, "\n")))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return rows.select(*docs.columns)

@@ -15,16 +15,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyshelf.llm.spans import listing, matches, tagged
+from tallyshelf.llm.texts import unused
 from tallyshelf.sources.scratch import stored
 
 # The kinds in listed order; the last two are for spans that only the trees select.
 KINDS = ("email", "ip", "card", "phone", "contact", "number")
 BASE_KINDS = 4
+# Repeated groups are possessive and capture nothing: others make Java's matcher recurse once per repetition, which ends the executor on a
+# long run. None of them could match otherwise by giving something back.
 # A match begins where its run of characters begins, or where the last match ended: the same matches without trying every
 # place of a long run.
-EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(\.[A-Za-z0-9-]++)+"
+EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?:(?<![0-9])|\G)[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)"
-CARD = r"[0-9]([\x20-]?[0-9]){12,}"
+CARD = r"[0-9](?:[\x20-]?+[0-9]){12,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 BYTE_VALUE = r"^0*([0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$"
 # Generators of candidates: (pattern, the text it cannot do without, kind).
@@ -222,11 +225,16 @@ def redacted(text: Column, found: Column) -> Column:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with personal data replaced in ``text`` (and ``n_chars`` counted anew, if there); all columns and rows stay."""
+    """``docs`` with personal data replaced in ``text`` (and ``n_chars`` counted anew, if there); all columns and rows stay.
+
+    Null and empty texts stay as they are, repeated rows are treated alike, very long texts are searched whole; columns of any other names,
+    the helpers' included, come back unchanged. An empty table gives an empty one.
+    """
     model = learn(docs)
-    rows = docs.withColumn("__base", base_spans(F.col("text")))
-    rows = rows.withColumn("__found", _all_spans(F.col("text"), F.col("__base"), model))
-    rows = rows.withColumn("text", redacted(F.col("text"), F.col("__found")))
+    base, found = unused("base_spans", docs.columns), unused("found_spans", docs.columns)
+    rows = docs.withColumn(base, base_spans(F.col("text")))
+    rows = rows.withColumn(found, _all_spans(F.col("text"), F.col(base), model))
+    rows = rows.withColumn("text", redacted(F.col("text"), F.col(found)))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return rows.select(*docs.columns)

@@ -18,3 +18,11 @@ def slices(data: bytes, at: re.Pattern[bytes], size: int = SLICE_BYTES) -> Itera
         yield data[begin : cut.start()]
         begin = cut.start()
     yield data[begin:]
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, or a longer one that no column has (letters' case aside)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

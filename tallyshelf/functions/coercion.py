@@ -49,20 +49,36 @@ def _utc_wall_clock(instant: Column) -> Column:
     return epoch + F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))
 
 
+# Text of these shapes is read without being told its format, month first; each shape has its patterns.
+DEFAULT_FORMATS = {
+    r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}": ("M/d/yyyy", "M/d/yyyy H:mm:ss", "M/d/yyyy H:mm"),
+    r"^[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}": ("yyyy/M/d", "yyyy/M/d H:mm:ss", "yyyy/M/d H:mm"),
+    r"^[A-Z][a-z]{2} [0-9]{1,2},? [0-9]{4}": ("MMM d yyyy", "MMM d, yyyy"),
+    r"^[0-9]{1,2} [A-Z][a-z]{2} [0-9]{4}": ("d MMM yyyy",),
+}
+_ZONED = r"(?i):[0-9]{2}(\.[0-9]+)?\s*(z|utc|gmt|[+-][0-9]{2}(:?[0-9]{2})?|[a-z]+(/[a-z_+-]+)+)$"
+# What the cast may read as a wall clock: no other shape, as it drops zone names without a word.
+_WALL_CLOCK = r"^[0-9]{4,}(-[0-9]{1,2}(-[0-9]{1,2}([ T][0-9]{1,2}:[0-9]{1,2}(:[0-9]{1,2}(\.[0-9]+)?)?)?)?)?$"
+
+
 def to_timestamp_ntz(text: Column, formats: Sequence[str] = ()) -> Column:
     """A zone-less timestamp, or null.
 
-    Text with an offset is moved to UTC and the offset dropped. ISO forms are tried first, then
-    each of ``formats`` (Spark datetime patterns) in turn.
+    Text with an offset or the name of a zone is moved to UTC; an unknown name makes it null. ISO forms are tried first, then
+    each of ``formats`` (Spark datetime patterns) in turn, then the patterns of ``DEFAULT_FORMATS`` for the text's shape: so
+    ``01/05/2024`` is the fifth of January unless ``formats`` has ``dd/MM/yyyy``.
     """
     clean = F.trim(text)
-    offset = clean.rlike(r"(?i):[0-9]{2}(\.[0-9]+)?\s*(z|utc|gmt|[+-][0-9]{2}(:?[0-9]{2})?)$")
     # Spark's cast wants +05:30, exports also write +0530.
     colon = F.regexp_replace(clean, r"([+-][0-9]{2})([0-9]{2})$", "$1:$2")
-    iso = F.when(offset, _utc_wall_clock(colon.try_cast("timestamp"))).otherwise(
-        clean.try_cast("timestamp_ntz")
+    iso = F.when(clean.rlike(_ZONED), _utc_wall_clock(colon.try_cast("timestamp"))).when(
+        clean.rlike(_WALL_CLOCK), clean.try_cast("timestamp_ntz")
     )
-    return F.coalesce(iso, *[_parse_with(clean, pattern) for pattern in formats])
+    usual = [
+        F.when(clean.rlike(shape), F.coalesce(*[_parse_with(clean, pattern) for pattern in patterns]))
+        for shape, patterns in DEFAULT_FORMATS.items()
+    ]
+    return F.coalesce(iso, *[_parse_with(clean, pattern) for pattern in formats], *usual)
 
 
 def _parse_with(text: Column, pattern: str) -> Column:

@@ -66,9 +66,7 @@ class Members:
         self.outside: set[bytes] = set()
 
     def decide(self, prefix: bytes) -> bool:
-        """For a prefix that is not yet ``inside``."""
-        if prefix in self.outside:
-            return False
+        """For a prefix that is neither ``inside`` nor ``outside`` yet."""
         there = self.left.has(self.lang, prefix)
         (self.inside if there else self.outside).add(prefix)
         if len(self.inside) + len(self.outside) > KNOWN_TERMS:
@@ -107,13 +105,13 @@ def prefix_documents(texts: DataFrame, length: int, parents: Survivors | None) -
                 for part in slices(data.as_py(), _BREAK):
                     terms = part.translate(_LETTERS).split()
                     if parents is None:
-                        own.update([term[:length] for term in terms])
+                        own.update({term[:length] for term in terms})
                     else:  # shorter terms were complete at the level before
                         if lang not in members:
                             members[lang] = Members(parents, lang)
-                        inside, decide = members[lang].inside, members[lang].decide
+                        inside, outside, decide = members[lang].inside, members[lang].outside, members[lang].decide
                         long = {term[:length] for term in terms if len(term) >= before}
-                        own.update([x for x in long if (p := x[:before]) in inside or decide(p)])
+                        own.update([x for x in long if (p := x[:before]) in inside or (p not in outside and decide(p))])
                 counts.setdefault(lang, Counter()).update(own)
                 if sum(map(len, counts.values())) > HELD_KEYS:
                     yield from flush()
@@ -154,10 +152,10 @@ def occurrences(texts: DataFrame, terms: DataFrame) -> DataFrame:
             for lang, source, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 if lang not in members:
                     members[lang] = Members(kept, lang)
-                inside, decide = members[lang].inside, members[lang].decide
+                inside, outside, decide = members[lang].inside, members[lang].outside, members[lang].decide
                 own = counts.setdefault((lang, source), Counter())
                 for part in slices(data.as_py(), _BREAK):
-                    own.update([term for term in part.translate(_LETTERS).split() if term in inside or decide(term)])
+                    own.update([term for term in part.translate(_LETTERS).split() if term in inside or (term not in outside and decide(term))])
                 if sum(map(len, counts.values())) > HELD_KEYS:
                     yield from flush()
         yield from flush()

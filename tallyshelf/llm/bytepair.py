@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 import struct
 from collections.abc import Iterator
 from functools import cache, lru_cache
@@ -21,6 +22,10 @@ from pyspark.sql import DataFrame
 
 # Byte strings up to this length are merged directly.
 LEAF_BYTES = 4
+# Longer ones are merged with a heap, in time in proportion to their length (but for its logarithm).
+SHORT_BYTES = 256
+# Seams of more tokens are not remembered, so that what a worker holds stays small.
+SEAM_TOKENS = 32
 # Above every rank.
 NO_RANK = 1 << 60
 # Distinct pieces, leaves and seams that a worker remembers; forgotten ones only cost time.
@@ -36,11 +41,13 @@ class BytePairs:
         self.pieces = regex.compile(pattern).findall
         self.stable = lru_cache(REMEMBERED // 3)(lambda a, b: self._merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b])
         self.leaf = lru_cache(REMEMBERED // 3)(self._merge)
-        self.seam = lru_cache(REMEMBERED // 3)(lambda *ids: self._merge(b"".join(map(self.bytes_of.__getitem__, ids))))
+        self.short_seam = lru_cache(REMEMBERED // 3)(lambda *ids: self._merge(b"".join(map(self.bytes_of.__getitem__, ids))))
         self.known = _Known(self)
 
     def _merge(self, piece: bytes) -> list[int]:
         """The rule itself: the adjacent pair of lowest rank is joined, leftmost first, until none is left."""
+        if len(piece) > SHORT_BYTES:
+            return self._merge_long(piece)
         get = self.ranks.get
         parts = [piece[k : k + 1] for k in range(len(piece))]
         pairs = [get(piece[k : k + 2], NO_RANK) for k in range(len(piece) - 1)]
@@ -57,28 +64,71 @@ class BytePairs:
                 pairs[at - 1] = get(parts[at - 1] + parts[at], NO_RANK)
         return [self.ranks[p] for p in parts]
 
-    def encode_piece(self, piece: bytes) -> list[int]:
-        """Token ids of one byte string, by halves."""
+    def _merge_long(self, piece: bytes) -> list[int]:
+        """The same rule with a heap of the pairs by rank and place; entries whose pair has changed since are passed over."""
+        get = self.ranks.get
+        size = len(piece)
+        ends = list(range(1, size + 1))  # of the part that begins at a place
+        before = list(range(-1, size - 1))  # where the part before it begins
+        rank = [get(piece[k : k + 2], NO_RANK) for k in range(size - 1)] + [NO_RANK]  # of the pair that begins there
+        heap = [(r, k) for k, r in enumerate(rank) if r != NO_RANK]
+        heapq.heapify(heap)
+        while heap:
+            best, at = heapq.heappop(heap)
+            if rank[at] != best:
+                continue
+            other = ends[at]
+            rank[other] = NO_RANK
+            ends[at] = end = ends[other]
+            if end < size:
+                before[end] = at
+                rank[at] = get(piece[at : ends[end]], NO_RANK)
+                if rank[at] != NO_RANK:
+                    heapq.heappush(heap, (rank[at], at))
+            else:
+                rank[at] = NO_RANK
+            left = before[at]
+            if left >= 0:
+                rank[left] = get(piece[left:end], NO_RANK)
+                if rank[left] != NO_RANK:
+                    heapq.heappush(heap, (rank[left], left))
+        ids, at = [], 0
+        while at < size:
+            ids.append(self.ranks[piece[at : ends[at]]])
+            at = ends[at]
+        return ids
+
+    def seam(self, ids: list[int]) -> list[int]:
+        """The encoding of the bytes of a window of tokens."""
+        if len(ids) <= SEAM_TOKENS:
+            return self.short_seam(*ids)
+        return self._merge(b"".join(map(self.bytes_of.__getitem__, ids)))
+
+    def encode_piece(self, piece: bytes, done: dict[bytes, list[int]] | None = None) -> list[int]:
+        """Token ids of one byte string, by halves; ``done`` holds the halves met in it, of which a run has few."""
         if piece in self.ranks:
             return [self.ranks[piece]]
         if len(piece) <= LEAF_BYTES:
             return self.leaf(piece)
-        half = len(piece) // 2
-        return self.join(self.encode_piece(piece[:half]), self.encode_piece(piece[half:]))
+        done = {} if done is None else done
+        if piece not in done:
+            half = len(piece) // 2
+            done[piece] = self.join(self.encode_piece(piece[:half], done), self.encode_piece(piece[half:], done))
+        return done[piece]
 
     def join(self, left: list[int], right: list[int]) -> list[int]:
-        """The encoding of the bytes of ``left`` and then ``right``, two encodings."""
+        """The encoding of the bytes of ``left`` and then ``right``, two encodings; a side that does not stand has its window doubled."""
         if not left or not right or self.stable(left[-1], right[0]):
             return left + right
         before, after = 1, 1
         while True:
-            window = self.seam(*left[-before:], *right[:after])
+            window = self.seam(left[-before:] + right[:after])
             left_stands = before == len(left) or self.stable(left[-before - 1], window[0])
             right_stands = after == len(right) or self.stable(window[-1], right[after])
             if left_stands and right_stands:
                 return left[:-before] + window + right[after:]
-            before += not left_stands
-            after += not right_stands
+            before = before if left_stands else min(2 * before, len(left))
+            after = after if right_stands else min(2 * after, len(right))
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers; the pattern's matches are encoded apart."""
@@ -118,7 +168,8 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every row of ``docs (doc_id, text)``.
 
     Digests of the ids (little-endian unsigned 32-bit) and of the bytes they decode to. Null counts as the empty text, which
-    has no token; any doc_id may be null or repeated; an empty table gives an empty one. Other columns are not read.
+    has no token; any doc_id may be null or repeated; an empty table gives an empty one. Very long texts and runs of one character are encoded
+    whole. Other columns are not read.
     """
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

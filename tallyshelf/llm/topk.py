@@ -55,16 +55,21 @@ class KdTree:
         return node
 
 
-def search(rows: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, least: np.ndarray, k: int):
-    """Per query the k best ``(score, id)`` among rows whose score is at least ``least``, without the query's own id.
+def search(rows: np.ndarray, queries: np.ndarray, own: np.ndarray, least: np.ndarray, k: int):
+    """Per query the k best ``(score, place)`` among rows whose score is at least ``least``, without its ``own`` place; ties to the lower place.
 
     All queries go through the tree together: nodes are opened by the best bound that any query gives them, and each opened
-    leaf is scored for those queries whose k-th score its box can still reach. Scores are exact: sums stay below 2**53.
+    leaf is scored for those queries whose k-th score its box can still reach. Sums that may pass 2**53 are done in whole numbers,
+    without bounds.
     """
     tree = KdTree(rows)
     data, q = rows.astype(float), queries.astype(float)
     up, down = np.maximum(q, 0), np.minimum(q, 0)
-    bound = lambda node: up @ tree.high[node].astype(float) + down @ tree.low[node].astype(float)
+    if np.abs(data).max() * np.abs(q).max() * max(1, data.shape[1]) < 2**53:
+        bound = lambda node: up @ tree.high[node].astype(float) + down @ tree.low[node].astype(float)
+    else:
+        data, q = rows.astype(object), queries.astype(object)
+        bound = lambda node: np.full(len(q), np.inf)
     scores = np.full((len(q), k), LOWEST, np.int64)
     found = np.full((len(q), k), np.iinfo(np.int64).max, np.int64)
     least = least.copy()
@@ -84,14 +89,14 @@ def search(rows: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np
         lo, hi = tree.span[node]
         at = tree.order[lo:hi]
         new = (q[open_for] @ data[at].T).astype(np.int64)
-        good = (new >= least[open_for][:, None]) & (ids[at][None, :] != query_ids[open_for][:, None])
+        good = (new >= least[open_for][:, None]) & (at[None, :] != own[open_for][:, None])
         row, column = np.nonzero(good)
         if not len(row):
             continue
         mine = open_for[np.unique(row)]
         who = np.concatenate([np.repeat(mine, k), open_for[row]])
         score = np.concatenate([scores[mine].ravel(), new[row, column]])
-        which = np.concatenate([found[mine].ravel(), ids[at][column]])
+        which = np.concatenate([found[mine].ravel(), at[column]])
         order = np.lexsort((which, -score, who))
         first = np.searchsorted(who[order], mine)
         best = order[first[:, None] + np.arange(k)]
@@ -103,47 +108,49 @@ def search(rows: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np
 def top_k(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     """``query_id, rank, vec_id, score`` for the rows of ``vectors (vec_id, v)`` whose id is divisible by ``every``.
 
-    Ties go to the smaller vec_id. A query meets every row but its own id's; if rows repeat an id, they are all
-    candidates of others, and the smallest vector is the query. Vectors of another length than the query's do not
-    take part with it. An empty table gives an empty one.
+    Ties go to the smaller vec_id. A query meets every row but its own; rows that repeat an id are queries each, and candidates of each
+    other. Vectors of another length than the query's do not take part with it. An empty table gives an empty one.
     """
-    vectors = stored(vectors.withColumn("width", F.size("v")), "vectors")
+    vectors = stored(vectors.select("vec_id", "v", F.size("v").alias("width"), F.monotonically_increasing_id().alias("row")), "vectors")
     widths = vectors.groupBy("width").agg(F.count("*").alias("n"))
     sizes = stored(widths.withColumn("shards", F.ceil(F.col("n") / SHARD_ROWS).cast("int")), "sizes")
-    rows = vectors.join(sizes, "width").withColumn("shard", F.pmod(F.xxhash64("vec_id", "v"), F.col("shards")).cast("int"))
-    picked = vectors.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct("v", "width")).alias("q"))
-    picked = picked.select("vec_id", "q.v", "q.width").join(sizes, "width")
+    rows = vectors.join(sizes, "width").withColumn("shard", F.pmod(F.xxhash64("row"), F.col("shards")).cast("int"))
+    picked = vectors.where(F.col("vec_id") % every == 0).join(sizes, "width")
     blocks = F.ceil(F.col("n") / (BLOCK_ROWS * every)).cast("int")
-    picked = picked.withColumn("block", F.pmod(F.xxhash64("vec_id"), blocks).cast("int"))
+    picked = picked.withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "row"), blocks).cast("int"))
     picked = stored(picked.withColumn("home", F.pmod(F.col("block"), F.col("shards")).cast("int")), "queries")
     grid = stored(picked.select("width", "block", "home", "shards").distinct(), "grid")
 
     def wave(asked: DataFrame, cells: DataFrame) -> DataFrame:
-        """Searches the cells (width, block, shard) for the queries ``vec_id, v, width, block, least``."""
-        members = rows.join(cells, ["width", "shard"]).select("width", "block", "shard", "vec_id", "v")
-        queries = asked.join(cells, ["width", "block"]).select("width", "block", "shard", "vec_id", "v", "least")
+        """Searches the cells (width, block, shard) for the queries ``row, vec_id, v, width, block, least``."""
+        members = rows.join(cells, ["width", "shard"]).select("width", "block", "shard", "row", "vec_id", "v")
+        queries = asked.join(cells, ["width", "block"]).select("width", "block", "shard", "row", "vec_id", "v", "least")
 
         def meet(queries: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
             if not len(queries) or not len(members):
-                return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-            scores, found = search(
-                np.stack(members["v"]), members["vec_id"].to_numpy(), np.stack(queries["v"]), queries["vec_id"].to_numpy(),
-                queries["least"].to_numpy(), k)
-            good = (scores >= queries["least"].to_numpy()[:, None]) & (scores > LOWEST)
-            query = np.broadcast_to(queries["vec_id"].to_numpy()[:, None], scores.shape)
-            return pd.DataFrame({"query_id": query[good], "vec_id": found[good], "score": scores[good]})
+                return pd.DataFrame({"query_row": [], "query_id": [], "vec_id": [], "score": []})
+            members = members.sort_values(["vec_id", "row"], ignore_index=True)
+            own = queries["row"].map(pd.Series(members.index, members["row"])).fillna(-1).to_numpy(np.int64)
+            least = queries["least"].to_numpy()
+            scores, found = search(np.stack(members["v"]), np.stack(queries["v"]), own, least, k)
+            good = (scores >= least[:, None]) & (scores > LOWEST)
+            at = np.nonzero(good)[0]
+            return pd.DataFrame({
+                "query_row": queries["row"].to_numpy()[at], "query_id": queries["vec_id"].to_numpy()[at],
+                "vec_id": members["vec_id"].to_numpy()[found[good]], "score": scores[good]})
 
         key = ["width", "block", "shard"]
-        return queries.groupBy(key).cogroup(members.groupBy(key)).applyInPandas(meet, "query_id long, vec_id long, score long")
+        fields = "query_row long, query_id long, vec_id long, score long"
+        return queries.groupBy(key).cogroup(members.groupBy(key)).applyInPandas(meet, fields)
 
     home = grid.select("width", "block", F.col("home").alias("shard"))
     first = stored(wave(picked.withColumn("least", F.lit(LOWEST)), home), "first")
-    kth = first.groupBy("query_id").agg(F.count("*").alias("m"), F.min("score").alias("least"))
-    kth = kth.select(F.col("query_id").alias("vec_id"), F.when(F.col("m") >= k, F.col("least")).otherwise(LOWEST).alias("least"))
+    kth = first.groupBy("query_row").agg(F.count("*").alias("m"), F.min("score").alias("least"))
+    kth = kth.select(F.col("query_row").alias("row"), F.when(F.col("m") >= k, F.col("least")).otherwise(LOWEST).alias("least"))
     away = grid.select("width", "block", "home", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
     away = away.where("shard <> home").select("width", "block", "shard")
-    asked = picked.join(kth, "vec_id", "left").withColumn("least", F.coalesce("least", F.lit(LOWEST)))
+    asked = picked.join(kth, "row", "left").withColumn("least", F.coalesce("least", F.lit(LOWEST)))
     every_hit = first.union(wave(asked, away))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     ranked = every_hit.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

@@ -216,6 +216,27 @@ def test_plan_holds_the_histogram():
         assert held == wanted
 
 
+def windows(histogram, window):
+    plan = packing.plan_windows(histogram, window)
+    held: dict[int, int] = {}
+    for content, repeats in plan:
+        assert sum(content) <= window
+        for v in content:
+            held[v] = held.get(v, 0) + repeats
+    assert held == histogram
+    return sum(repeats for _, repeats in plan)
+
+
+def test_patterns_of_middling_and_short_lengths():
+    rng = random.Random(12)
+    assert windows({341: 284, 342: 293}, 1024) == 142 + 76
+    for low, high in ((300, 640), (100, 500), (1, 1024)):
+        histogram = {length: rng.randint(1, 400) for length in range(low, high + 1)}
+        filled = sum(k * n for k, n in histogram.items()) / 1024
+        without = sum(repeats for _, repeats in packing.best_fit(histogram, 1024))
+        assert windows(histogram, 1024) <= min(without, 1.02 * filled + 3), (low, high)
+
+
 def test_top_k(spark, folder):
     rng = random.Random(6)
     rows = [(k, [rng.choice([-1.0, 0.1, 0.5, 2.0]) for _ in range(4)]) for k in range(300)]
@@ -239,6 +260,21 @@ def test_top_k_over_many_shards(spark, monkeypatch):
     assert found == brute.top_k(rows, 20, 20)
 
 
+def test_top_k_repeated_ids_and_great_numbers(spark, monkeypatch):
+    monkeypatch.setattr(topk, "SHARD_ROWS", 30)
+    rng = random.Random(17)
+    rows = [(k % 60, [float(rng.randint(-9, 9)) for _ in range(3)]) for k in range(150)]
+    rows += [(k, [2.0**40, float(k), -(2.0**38)]) for k in (400, 401, 402)] + [(20, rows[20][1])] * 3
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = [tuple(r) for r in topk.top_k(topk.integer_vectors(table, 1)).select("query_id", "rank", "vec_id", "score").collect()]
+    expected = []
+    for place, (query, q) in enumerate(rows):
+        if query % 20 == 0:
+            others = [(-sum(int(a) * int(b) for a, b in zip(q, v, strict=True)), i) for at, (i, v) in enumerate(rows) if at != place]
+            expected += [(query, rank, i, -score) for rank, (score, i) in enumerate(sorted(others)[:20], 1)]
+    assert sorted(found) == sorted(expected)
+
+
 def test_toxicity_on_held_out_documents(spark):
     rng = random.Random(8)
     syllables = ["tha", "ner", "ion", "st", "re", "on", "wh", "ed", "ly", "an"]

@@ -25,10 +25,11 @@ from tallyshelf.sources.scratch import stored
 
 WINDOW = 1024
 PATTERN_DOCS = 3
-# The least share of the window that a pattern's longest length fills: patterns are for documents that are hard to place, and
-# what best fit gets has short ones to fill gaps with.
-LONG_SHARE = 2 / 3
-FIT_STEPS = 8000
+# Least shares of the window that a pattern's longest length fills. Each gives a plan, and the plan of fewest windows is taken: without such
+# a bound short documents are used up that best fit would fill gaps with; with it there may be few patterns, or none.
+LONG_SHARES = (2 / 3, 1 / 2, 0.0)
+# The descent ends at moves below half a document, or below this share of the documents if that is more.
+LEAST_MOVE = 1e-6
 # Pieces of a length are numbered within blocks of about so many rows.
 BLOCK_ROWS = 20_000
 
@@ -86,7 +87,7 @@ def token_pieces(docs: DataFrame, ranks: str, pattern: str, tokenizer: str, end_
     return docs.select("doc_id", "text").mapInArrow(per_batch, fields)
 
 
-def full_patterns(lengths: list[int], window: int, most: int = PATTERN_DOCS, longest: float = LONG_SHARE) -> np.ndarray:
+def full_patterns(lengths: list[int], window: int, most: int = PATTERN_DOCS, longest: float = 0.0) -> np.ndarray:
     """Multisets of at most ``most`` (three at most) of the lengths that sum to the window, as falling rows filled with zeros.
 
     The first length is at least ``longest * window``.
@@ -102,17 +103,18 @@ def full_patterns(lengths: list[int], window: int, most: int = PATTERN_DOCS, lon
     return np.stack([first[good], second[good], third[good]], axis=1)
 
 
-def fit_counts(patterns: np.ndarray, histogram: np.ndarray, steps: int = FIT_STEPS) -> np.ndarray:
+def fit_counts(patterns: np.ndarray, histogram: np.ndarray) -> np.ndarray:
     """Repeat counts ``x >= 0`` that minimise ``|A x - histogram|``: greedy coordinate descent.
 
     ``A`` counts a pattern's lengths. Each step moves the one count that moves most to its best value, so few patterns are
-    used; it ends when no count would move by half a document.
+    used; it ends when no count would move by ``LEAST_MOVE`` of all documents, or by half a document.
     """
     number, parts = patterns.shape
     if not number:
         return np.zeros(0)
     histogram = histogram.astype(float)
     histogram[0] = 0
+    least = max(0.5, LEAST_MOVE * histogram.sum())
     a, b, c = patterns.T  # falling; zeros last
     times_a = 1.0 + (b == a) + (c == a)
     times_b = np.where(b > 0, 1.0 + (c == b) + (b == a), 0)
@@ -124,17 +126,16 @@ def fit_counts(patterns: np.ndarray, histogram: np.ndarray, steps: int = FIT_STE
     touched = [order[bounds[v] : bounds[v + 1]] // parts for v in range(len(histogram))]
     gain = histogram[patterns].sum(axis=1)
     counts = np.zeros(number)
-    for _ in range(steps):
+    while True:
         move = np.maximum(gain / column, -counts)
         best = int(np.abs(move).argmax())
         change = move[best]
-        if abs(change) < 0.5:
-            break
+        if abs(change) < least:
+            return counts
         counts[best] += change
         for length in patterns[best]:
             if length:
                 np.subtract.at(gain, touched[length], change)
-    return counts
 
 
 def best_fit(histogram: dict[int, int], window: int) -> list[tuple[tuple[int, ...], int]]:
@@ -177,12 +178,17 @@ def best_fit(histogram: dict[int, int], window: int) -> list[tuple[tuple[int, ..
 
 
 def plan_windows(histogram: dict[int, int], window: int = WINDOW) -> list[tuple[tuple[int, ...], int]]:
-    """``(lengths, repeats)`` that hold every piece of the histogram once, in few windows."""
-    left = dict(histogram)
+    """``(lengths, repeats)`` that hold every piece of the histogram once, in few windows: the best plan of ``LONG_SHARES``."""
+    plans = [_plan(histogram, window, share) for share in LONG_SHARES]
+    return min(plans, key=lambda plan: sum(repeats for _, repeats in plan))
+
+
+def _plan(histogram: dict[int, int], window: int, longest: float) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns by their fitted counts, rounded, and best fit for what they leave."""
     counts = np.zeros(window + 1, np.int64)
-    for length, number in left.items():
+    for length, number in histogram.items():
         counts[length] = number
-    patterns = full_patterns(list(left), window)
+    patterns = full_patterns(list(histogram), window, longest=longest)
     fitted = fit_counts(patterns, counts)
     plan = []
     for at in np.argsort(-fitted, kind="stable"):

@@ -18,7 +18,7 @@ from tallyshelf.sources.scratch import stored
 
 SCALE = 64
 SHARD_ROWS, BLOCK_ROWS, LEAF_ROWS = 2048, 1024, 256
-LOWEST = -(1 << 62)
+LOWEST = -(1 << 63)
 
 
 def integer_vectors(table: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -109,7 +109,7 @@ def top_k(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     """``query_id, rank, vec_id, score`` for the rows of ``vectors (vec_id, v)`` whose id is divisible by ``every``.
 
     Ties go to the smaller vec_id. A query meets every row but its own; rows that repeat an id are queries each, and candidates of each
-    other. Vectors of another length than the query's do not take part with it. An empty table gives an empty one.
+    other. Vectors of another length than the query's do not take part with it; a score beyond 64 bits is an error. An empty table gives an empty one.
     """
     vectors = stored(vectors.select("vec_id", "v", F.size("v").alias("width"), F.monotonically_increasing_id().alias("row")), "vectors")
     widths = vectors.groupBy("width").agg(F.count("*").alias("n"))

@@ -18,7 +18,7 @@ from tallyshelf.sources.scratch import stored
 
 SCALE = 64
 SHARD_ROWS, BLOCK_ROWS, LEAF_ROWS = 2048, 1024, 256
-LOWEST = -(1 << 63)
+LOWEST = 1 - (1 << 63)
 
 
 def integer_vectors(table: DataFrame, scale: int = SCALE) -> DataFrame:

@@ -1,20 +1,25 @@
 """Personal data by candidate boosting, in DataFrame expressions only.
 
-High-recall generators propose spans that may overlap. Boosted trees over their format and context, learned from how often each
-combination of features meets a certain (base) span, score them; a threshold that holds a wanted precision on documents not learned from
-selects what is redacted besides the base spans. The trees see a table of feature combinations, whose size
-the features bound, and are applied as one SQL expression.
+High-recall generators propose spans that may overlap. Boosted trees over their shape and context score them; a threshold that holds a wanted
+precision on documents not learned from selects what is redacted besides the base spans.
+
+The trees learn from candidates that lie on a certain (base) span or not, but no feature sees what makes a base span certain: the plus
+of a phone number, the check digit of a card, the byte values of an address, the dots of a domain. So a damaged copy of a base span
+(a number without its plus, a domain without its end) has the features of the whole one, and a candidate is added where nearly all
+that look and stand like it are certain. The trees see a table of feature combinations, whose size the features bound, and are applied as
+one SQL expression.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyshelf.llm.spans import listing, matches, tagged
+from tallyshelf.llm.spans import against, listing, matches, tagged
 from tallyshelf.llm.texts import unused
 from tallyshelf.sources.scratch import stored
 
@@ -30,17 +35,22 @@ IP = r"(?:(?<![0-9])|\G)[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)"
 CARD = r"[0-9](?:[\x20-]?+[0-9]){12,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 BYTE_VALUE = r"^0*([0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$"
-# Generators of candidates: (pattern, the text it cannot do without, kind).
+# Generators of candidates: (pattern, the text it cannot do without, kind, whether base spans look like that and so teach the trees).
 GENERATORS = (
-    (r"[^\x20\x09-\x0D@]{1,64}@[^\x20\x09-\x0D@]{1,64}", "@", 4),
-    (r"[A-Za-z0-9._%+-]{1,64}\x20?[\[(]at[\])]\x20?[A-Za-z0-9.-]{1,64}", "at", 4),
-    (r"[+(]{0,2}[0-9][\x20().0-9-]{5,30}[0-9]", None, 5),
+    (r"(?<![^\x20\x09-\x0D@])[^\x20\x09-\x0D@]++@[^\x20\x09-\x0D@]++", "@", 4, True),
+    (r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]++(?:(?:\.|\x20?[\[(]dot[\])]\x20?)[A-Za-z0-9-]++)++", "at", 4, False),
+    (r"[+(]{0,2}+[0-9][\x20().0-9-]{5,}[0-9]", None, 5, True),
 )
 CUES = r"(mail|phone|tel|call|fax|card|visa|account|ip|host|server|contact|address)"
 CONTEXT = 24
 TREES, RATE, PRECISION = 24, 0.5, 0.98
+# Personal data that no base rule takes counts against the trees, though it is what they look for. So a candidate's chance to be certain is
+# compared with that of certain ones (the estimate for learning from positive and unmarked rows), taken as at least this.
+LEAST_CERTAIN = 0.8
+# No threshold without so many certain candidates above it.
+LEAST_EVIDENCE = 50
 
-FEATURES = ("generator", "digits", "plus", "dots", "gaps", "parens", "domain", "cue", "glued", "long")
+FEATURES = ("kind", "digits", "dots", "gaps", "parens", "cue", "glued", "long")
 
 
 def base_spans(text: Column) -> Column:
@@ -58,33 +68,28 @@ def base_spans(text: Column) -> Column:
 
 
 def candidate_spans(text: Column) -> Column:
-    """Tagged candidates of all generators; the kind is the generator's number."""
+    """Tagged candidates of all generators, with the characters before; the kind is the generator's number."""
     found = []
-    for number, (pattern, needs, _) in enumerate(GENERATORS):
-        found.append(tagged(matches(text, pattern, None if needs is None else F.contains(text, F.lit(needs))), number))
+    for number, (pattern, needs, _, _) in enumerate(GENERATORS):
+        spans = matches(text, pattern, None if needs is None else F.contains(text, F.lit(needs)), CONTEXT)
+        found.append(tagged(spans, number, "before"))
     return F.concat(*found)
 
 
-def _overlaps(span: Column, spans: Column) -> Column:
-    return F.exists(spans, lambda b: (b["start"] < span["end"]) & (span["start"] < b["end"]))
-
-
-def _features(text: Column, span: Column) -> list[Column]:
-    match = span["match"]
+def _features(span: Column) -> list[Column]:
+    match, left = span["match"], F.lower(span["before"])
     count = lambda pattern: F.length(F.regexp_replace(match, pattern, ""))
-    left = F.lower(F.substring(text, F.greatest(F.lit(1), span["start"] - CONTEXT + 1), F.least(F.lit(CONTEXT), span["start"])))
     steps = lambda value, cuts: sum(((value >= c).cast("int") for c in cuts), F.lit(0))
+    number = F.element_at(F.array(*[F.lit(int(kind == 5)) for _, _, kind, _ in GENERATORS]), span["kind"] + 1)
     return [
-        span["kind"],
-        steps(count("[^0-9]"), (4, 7, 9, 13, 16, 20)),
-        match.startswith("+").cast("int"),
-        F.least(F.lit(4), count("[^.]")),
-        match.rlike("[ -]").cast("int"),
-        match.rlike("[()]").cast("int"),
-        match.rlike(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}").cast("int"),
+        number,
+        number * steps(count("[^0-9]"), (7, 9, 13, 16, 20)),
+        number * F.least(F.lit(4), count("[^.]")),
+        number * match.rlike("[ -]").cast("int"),
+        number * match.rlike("[()]").cast("int"),
         left.rlike(CUES).cast("int"),
-        F.coalesce(left.rlike(r"[A-Za-z0-9]$"), F.lit(False)).cast("int"),
-        steps(F.length(match), (8, 14, 20, 40)),
+        number * left.rlike("[a-z0-9]$").cast("int"),
+        number * steps(F.length(match), (20, 40)),
     ]
 
 
@@ -140,8 +145,9 @@ def _grow(rows: list[tuple], depth: int, least: float = 2.0) -> tuple:
 def boost(table: list[tuple[tuple[int, ...], int, float, float]]) -> Trees:
     """Trees from ``(feature values, fold, candidates, candidates on a base span)``.
 
-    Fold 0 is learned from, fold 1 gives the threshold: the least score from which on at least ``PRECISION`` of the candidates lie on base
-    spans; infinite if there is none, so that nothing is added.
+    Fold 0 is learned from, fold 1 gives the threshold: the least score down to which at least ``PRECISION`` times the mean chance of certain
+    candidates lie on base spans, and at every single score ``PRECISION`` times ``LEAST_CERTAIN``, both within two standard errors; infinite if
+    there is none, so that nothing is added.
     """
     learn = [(v, n, p) for v, fold, n, p in table if fold == 0]
     n, p = sum(r[1] for r in learn), sum(r[2] for r in learn)
@@ -157,23 +163,31 @@ def boost(table: list[tuple[tuple[int, ...], int, float, float]]) -> Trees:
         scores = [s + _apply(trees[-1], r[0]) for s, r in zip(scores, learn, strict=True)]
     model = Trees(start, tuple(trees), math.inf)
     checked = sorted(((model.score(list(v)), n, p) for v, fold, n, p in table if fold == 1), reverse=True)
+    certain = sum(p / (1 + math.exp(-score)) for score, _, p in checked) / max(1, sum(p for _, _, p in checked))
+    least, share = PRECISION * LEAST_CERTAIN, PRECISION * max(LEAST_CERTAIN, certain)
+    enough = lambda seen, hit, wanted: hit >= wanted * seen - 2 * math.sqrt(seen * wanted * (1 - wanted))
     threshold, seen, hit = math.inf, 0.0, 0.0
-    for at, (score, n, p) in enumerate(checked):
-        seen, hit = seen + n, hit + p
-        if (at + 1 == len(checked) or checked[at + 1][0] < score) and hit >= PRECISION * (seen + 1):
+    for score, group in itertools.groupby(checked, key=lambda row: row[0]):
+        sizes = [(n, p) for _, n, p in group]
+        own_seen, own_hit = (sum(column) for column in zip(*sizes, strict=True))
+        seen, hit = seen + own_seen, hit + own_hit
+        if 1 / (1 + math.exp(-score)) < least or not enough(own_seen, own_hit, least):
+            break
+        if hit >= LEAST_EVIDENCE and enough(seen, hit, share):
             threshold = score
     return Trees(start, tuple(trees), threshold)
 
 
 def learn(docs: DataFrame) -> Trees:
     """The trees for ``docs (doc_id, text)``, from all candidates of all rows."""
-    base, found = base_spans(F.col("text")), candidate_spans(F.col("text"))
+    taught = F.array(*[F.lit(teaches) for _, _, _, teaches in GENERATORS])
+    found = F.filter(candidate_spans(F.col("text")), lambda s: F.element_at(taught, s["kind"] + 1))
     rows = docs.select("doc_id", "text", found.alias("found")).where(F.size("found") > 0)
-    rows = rows.withColumn("base", base)
-    features = F.transform("found", lambda s: F.struct(
-        *[c.alias(n) for c, n in zip(_features(F.col("text"), s), FEATURES, strict=True)], _overlaps(s, F.col("base")).alias("hit")))
+    features = lambda s: F.struct(*[c.alias(n) for c, n in zip(_features(s), FEATURES, strict=True)])
+    marked = against(F.col("found"), base_spans(F.col("text")), lambda part, meets: F.transform(
+        part, lambda s: F.struct(features(s).alias("f"), meets(s).alias("hit"))))
     fold = F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(2)).alias("fold")
-    rows = rows.select(fold, F.explode(features).alias("f")).select("fold", "f.*")
+    rows = rows.select(fold, F.explode(marked).alias("m")).select("fold", "m.f.*", "m.hit")
     table = stored(rows.groupBy(*FEATURES, "fold").agg(F.count("*").alias("n"), F.count_if("hit").alias("p")), "features")
     return boost([(tuple(r[f] for f in FEATURES), r["fold"], r["n"], r["p"]) for r in table.orderBy(*FEATURES, "fold").collect()])
 
@@ -181,8 +195,9 @@ def learn(docs: DataFrame) -> Trees:
 def _all_spans(text: Column, base: Column, model: Trees) -> Column:
     if math.isinf(model.threshold):
         return base
-    kinds = F.array(*[F.lit(kind) for _, _, kind in GENERATORS])
-    chosen = F.filter(candidate_spans(text), lambda s: ~_overlaps(s, base) & (model.score(_features(text, s)) >= model.threshold))
+    kinds = F.array(*[F.lit(kind) for _, _, kind, _ in GENERATORS])
+    chosen = against(candidate_spans(text), base, lambda part, meets: F.filter(
+        part, lambda s: (model.score(_features(s)) >= model.threshold) & ~meets(s)))
     return F.concat(base, F.transform(chosen, lambda s: F.struct(
         F.element_at(kinds, s["kind"] + 1).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["match"].alias("match"))))
 
@@ -191,7 +206,7 @@ def find_personal(docs: DataFrame) -> DataFrame:
     """``doc_id, found``: the tagged spans (kinds are places in ``KINDS``) of every row of ``docs (doc_id, text)``.
 
     Null and empty texts have none; repeated rows are searched each; an empty table gives an empty one; other columns are
-    not read. Base spans of different kinds may overlap; added spans never overlap a base span.
+    not read; very long texts are searched whole. Base spans of different kinds may overlap; added spans never overlap a base span.
     """
     model = learn(docs)
     rows = docs.select("doc_id", "text", base_spans(F.col("text")).alias("base"))

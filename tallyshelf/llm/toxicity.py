@@ -30,7 +30,7 @@ CUT = 0.3
 LARGEST = (1, 2, 4, 8)
 UNKNOWN_CHARACTER = 1e-5
 # Distinct words that a task remembers; forgotten ones only cost time.
-REMEMBERED = 150_000
+REMEMBERED = 300_000
 # Texts whose features are computed at a time, and distinct words counted or rated at a time.
 TEXTS_AT_ONCE, WORDS_AT_ONCE = 500, 20_000
 
@@ -111,8 +111,9 @@ def _places(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """Where ``wanted`` stand in the sorted ``keys``; ``len(keys)`` for those that are not there."""
     if not len(keys):
         return np.zeros(len(wanted), np.int64)
+    wanted, number = np.unique(wanted, return_inverse=True)  # in order, neighbours are looked up in memory just read
     at = np.searchsorted(keys, wanted)
-    return np.where(keys[np.minimum(at, len(keys) - 1)] == wanted, at, len(keys))
+    return np.where(keys[np.minimum(at, len(keys) - 1)] == wanted, at, len(keys))[number]
 
 
 @dataclass

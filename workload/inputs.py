@@ -235,3 +235,35 @@ def arriving_orders(spark: SparkSession, folder: str) -> str:
     for arrived in [*((year == y) & ~late for y in years), late]:
         items.where(arrived).coalesce(1).write.mode("append").parquet(path)
     return path
+
+
+def payloads(spark: SparkSession, folder: str) -> DataFrame:
+    """``event_id, payload``: an event as JSON text; some break off, some spell the user as a word, some have a field more, some are null."""
+    seen = events(spark, folder)
+    event, user = F.col("event_id"), F.col("user_id").cast("string")
+    quote = lambda column: F.concat(F.lit('"'), column, F.lit('"'))
+    text = F.concat(
+        F.lit('{"user": '), F.when(event % 11 == 0, quote(F.concat(F.lit("u"), user))).otherwise(user),
+        F.lit(', "kind": '), quote(F.col("event_type")), F.lit(', "value": '), F.col("value").cast("decimal(18,2)").cast("string"),
+        F.lit(', "tags": ["a", "b"]'), F.when(event % 7 == 0, F.lit(', "note": "x"')).otherwise(""),
+        F.when(event % 13 == 0, "").otherwise("}"))
+    return seen.select("event_id", F.when(event % 17 != 0, text).alias("payload"))
+
+
+def order_states(spark: SparkSession, folder: str) -> DataFrame:
+    """``order_id, user_id, status, created_at, changed_at, placed``: orders with the year they were placed in."""
+    headers = warehouse.order_headers(spark, folder)
+    return headers.withColumns({"changed_at": F.col("created_at"), "placed": F.year("created_at")})
+
+
+def order_changes(spark: SparkSession, folder: str) -> DataFrame:
+    """Later states of every tenth order: two for every twentieth, one that comes too late for every thirtieth, another year for every
+    seventieth, each of them twice."""
+    states, order = order_states(spark, folder).where("order_id % 10 = 0"), F.col("order_id")
+    days = lambda n: F.col("created_at") + F.make_dt_interval(days=F.lit(n))
+    changed = states.withColumns({
+        "status": F.lit("R"), "changed_at": days(5), "placed": F.when(order % 70 == 0, F.col("placed") + 1).otherwise(F.col("placed"))})
+    again = changed.where("order_id % 20 = 0").withColumns({"status": F.lit("C"), "changed_at": days(9)})
+    stale = states.where("order_id % 30 = 0").withColumns({"status": F.lit("X"), "changed_at": days(-1)})
+    every = changed.unionByName(again).unionByName(stale)
+    return every.unionByName(every)

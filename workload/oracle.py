@@ -527,6 +527,62 @@ _HISTORIES = {
           AND NOT (year(created_at) < 1998 AND order_id % 50 = 0) GROUP BY ALL"""),
 }
 
+_VISITS = """visits AS (SELECT user_id, year(ts) AS year_of, event_type, hour(ts) >= 18 AS evening FROM events)"""
+_CUBED = "year_of, event_type, evening, CAST(GROUPING_ID(year_of, event_type, evening) AS BIGINT) AS level, COUNT(*) AS row_count"
+
+_SAID = """said AS (
+    SELECT *, conv_id IS NOT NULL AND role IS NOT DISTINCT FROM LAG(role) OVER w AND ROW_NUMBER() OVER w > 1 AS same,
+           coalesce(greatest(turn - LAG(turn) OVER w - 1, 0), 0) AS gap,
+           len(list_filter(string_split_regex(coalesce(text, ''), '\\s+'), lambda x: x <> '')) AS words
+    FROM (SELECT DISTINCT conv_id, CAST(floor(turn / 1000) AS BIGINT) AS block, turn, role, text
+          FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL)
+    WINDOW w AS (PARTITION BY conv_id, block ORDER BY turn, role, text)
+)"""
+
+_SENT = """sent AS (
+    SELECT event_id, user_id, event_type, CAST(CAST(value AS DECIMAL(18, 2)) AS DOUBLE) AS value,
+           CASE WHEN event_id % 17 <> 0 THEN '{"user": ' || CASE WHEN event_id % 11 = 0 THEN '"u' || user_id || '"' ELSE '' || user_id END
+               || ', "kind": "' || event_type || '", "value": ' || CAST(value AS DECIMAL(18, 2)) || ', "tags": ["a", "b"]'
+               || CASE WHEN event_id % 7 = 0 THEN ', "note": "x"' ELSE '' END || CASE WHEN event_id % 13 = 0 THEN '' ELSE '}' END END AS text
+    FROM events
+)"""
+
+_MORE = {
+    "user_cube": _with(_VISITS, query=f"""
+        SELECT {_CUBED}, COUNT(DISTINCT user_id) AS users FROM visits GROUP BY CUBE (year_of, event_type, evening)"""),
+    "sketched_user_cube": _with(_VISITS, query=f"""
+        SELECT {_CUBED}, TRUE AS near FROM visits GROUP BY CUBE (year_of, event_type, evening)"""),
+    "conversation_blocks": _with(_SAID, query="""
+        SELECT t.conv_id, t.block, COUNT(*) AS n_turns, COUNT(*) FILTER (same) AS same_role, CAST(SUM(gap) AS BIGINT) AS left_out,
+               (SELECT coalesce(string_agg(role || ':' || n, ',' ORDER BY role), '') FROM (
+                    SELECT role, SUM(words) AS n FROM said s
+                    WHERE s.conv_id = t.conv_id AND s.block = t.block AND role IS NOT NULL GROUP BY role)) AS words_by_role
+        FROM said t GROUP BY t.conv_id, t.block"""),
+    "payloads": _with(_SENT, query="""
+        SELECT event_id, CASE WHEN state IN ('fits', 'surplus') THEN user_id END AS "user",
+               CASE WHEN state NOT IN ('missing', 'broken') THEN event_type END AS kind,
+               CASE WHEN state NOT IN ('missing', 'broken') THEN value END AS value,
+               CASE WHEN state NOT IN ('missing', 'broken') THEN 'a+b' END AS tags, state, CASE WHEN state <> 'fits' THEN text END AS raw
+        FROM (SELECT *, CASE WHEN text IS NULL THEN 'missing' WHEN event_id % 13 = 0 THEN 'broken' WHEN event_id % 11 = 0 THEN 'misfit'
+                             WHEN event_id % 7 = 0 THEN 'surplus' ELSE 'fits' END AS state FROM sent)"""),
+    "payload_states": _with(_SENT, query="""
+        SELECT CASE WHEN text IS NULL THEN 'missing' WHEN event_id % 13 = 0 THEN 'broken' ELSE 'fits' END AS state, COUNT(*) AS row_count
+        FROM sent GROUP BY ALL"""),
+    "upserted_orders": """
+        SELECT o_orderkey AS order_id, o_custkey AS user_id, o_orderdate AS created_at,
+               CASE WHEN o_orderkey % 20 = 0 THEN 'C' WHEN o_orderkey % 10 = 0 THEN 'R' ELSE o_orderstatus END AS status,
+               o_orderdate + to_days(CASE WHEN o_orderkey % 20 = 0 THEN 9 WHEN o_orderkey % 10 = 0 THEN 5 ELSE 0 END) AS changed_at,
+               year(o_orderdate) + CASE WHEN o_orderkey % 70 = 0 THEN 1 ELSE 0 END AS placed
+        FROM orders""",
+    "status_runs": _with(SHOP_ORDERS, query="""
+        SELECT product_id, CAST(run AS BIGINT) AS run, status, MIN(created_at) AS run_start, MAX(created_at) AS run_end, COUNT(*) AS items
+        FROM (SELECT *, SUM(begins) OVER (PARTITION BY product_id ORDER BY created_at, inventory_item_id ROWS UNBOUNDED PRECEDING) AS run
+              FROM (SELECT *, CASE WHEN LAG(order_id) OVER w IS NULL OR status IS DISTINCT FROM LAG(status) OVER w THEN 1 ELSE 0 END AS begins
+                    FROM shop_orders WHERE product_id IS NOT NULL AND created_at IS NOT NULL
+                    WINDOW w AS (PARTITION BY product_id ORDER BY created_at, inventory_item_id)))
+        GROUP BY product_id, run, status"""),
+}
+
 ORACLE: dict[str, str] = {
-    **_STOCK, **_SALES, **_FREE, **_PROFILES, **_LOADS, **_TEXTS, **_ANALYSES, **_HISTORIES
+    **_MORE, **_STOCK, **_SALES, **_FREE, **_PROFILES, **_LOADS, **_TEXTS, **_ANALYSES, **_HISTORIES
 }

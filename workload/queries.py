@@ -5,17 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyshelf.functions.ordering import desc, then_by_rest
 from tallyshelf.operators import (
-    analyses, columns, dominance, history, payouts, profile, sales, sessions, stock, textlog, time_joins,
+    analyses, columns, cubes, dominance, history, nested, payouts, profile, runs, sales, sessions, stock, textlog, time_joins,
 )
 from tallyshelf.plans.ask import ask, reply
 from tallyshelf.plans.free_select import free_select, isolated_session, register
 from tallyshelf.schemas import INVENTORY, MG, ORDERS
+from tallyshelf.sinks import upsert
 from tallyshelf.sources import conform, csv_tables, warehouse
 from tallyshelf.sources.scratch import fresh_path
 from tallyshelf.streaming import monthly
@@ -266,7 +267,71 @@ def _stream_monthly_units(spark: SparkSession, folder: str) -> DataFrame:
     return monthly.run_monthly_units(stream, fresh_path(spark, "stream")).monthly
 
 
+CUBE = ["year_of", "event_type", "evening"]
+
+
+def _visits(spark: SparkSession, folder: str) -> DataFrame:
+    at = F.col("ts")
+    return inputs.events(spark, folder).select(
+        "user_id", F.to_date(at).alias("day"), F.year(at).cast("bigint").alias("year_of"), "event_type", (F.hour(at) >= 18).alias("evening"))
+
+
+def _user_cube(spark: SparkSession, folder: str) -> DataFrame:
+    return cubes.exact_cube(_visits(spark, folder), CUBE)
+
+
+def _sketched_user_cube(spark: SparkSession, folder: str) -> DataFrame:
+    """Sketches per day merged to the cube, beside the exact numbers: whether each is within four per cent."""
+    days = cubes.user_cells(_visits(spark, folder), ["day", *CUBE])
+    exact = _user_cube(spark, folder).alias("e")
+    sketched = cubes.cube_of_cells(days, CUBE).alias("s")
+    same = reduce(Column.__and__, [F.col(f"e.{c}").eqNullSafe(F.col(f"s.{c}")) for c in [*CUBE, "level"]])
+    near = F.abs(F.col("s.users") - F.col("e.users")) <= F.ceil(F.col("e.users") * 0.04)
+    return exact.join(sketched, same).select("e.level", *[f"e.{c}" for c in CUBE], "s.row_count", near.alias("near"))
+
+
+def _conversation_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    return nested.block_facts(nested.fold_turns(warehouse.source(spark, folder, "conversations")))
+
+
+PAYLOAD = (
+    T.StructType().add("user", T.LongType()).add("kind", T.StringType()).add("value", T.DoubleType())
+    .add("tags", T.ArrayType(T.StringType())))
+
+
+def _payloads(spark: SparkSession, folder: str) -> DataFrame:
+    read = nested.read_payloads(inputs.payloads(spark, folder), "payload", PAYLOAD)
+    tags = F.when(F.col("payload.tags").isNotNull(), F.array_join("payload.tags", "+"))
+    return read.select("event_id", "payload.user", "payload.kind", "payload.value", tags.alias("tags"), "state", "raw")
+
+
+def _payload_states(spark: SparkSession, folder: str) -> DataFrame:
+    """Under a learned schema: the user is text there, and the field that some rows have more is known."""
+    rows = inputs.payloads(spark, folder)
+    return nested.payload_states(nested.read_payloads(rows, "payload", nested.learned_schema(rows, "payload")))
+
+
+def _upserted_orders(spark: SparkSession, folder: str) -> DataFrame:
+    """All orders, then their later states, which come a second time."""
+    path, rows, changes = fresh_path(spark, "order-states"), inputs.order_states(spark, folder), inputs.order_changes(spark, folder)
+    for batch in (rows, changes, changes):
+        upsert.upsert(batch, path, ["order_id"], "changed_at", "placed")
+    return upsert.read(spark, path, rows.schema).withColumn("placed", F.col("placed").cast("bigint"))
+
+
+def _status_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return runs.state_runs(warehouse.orders(spark, folder), "product_id", "status", "created_at", "inventory_item_id")
+
+
 QUERIES: dict[str, Query] = {
+    # cubes, nested data, sinks and table functions
+    "user_cube": _user_cube,
+    "sketched_user_cube": _sketched_user_cube,
+    "conversation_blocks": _conversation_blocks,
+    "payloads": _payloads,
+    "payload_states": _payload_states,
+    "upserted_orders": _upserted_orders,
+    "status_runs": _status_runs,
     # stock
     "stock_as_of": _stock_as_of(stock.stock_position),
     "reorder_as_of": _stock_as_of(stock.reorder, threshold=12),

@@ -14,7 +14,6 @@ from tallyshelf.functions.as_of import Instant, instant, orders_at
 from tallyshelf.functions.calendar import month_number, month_start
 from tallyshelf.functions.ordering import asc, desc
 from tallyshelf.operators.sales import monthly_counts
-from tallyshelf.sources.scratch import stored
 
 
 def _money(column: str) -> Column:
@@ -97,9 +96,10 @@ def user_segments(orders: DataFrame, segments: int = 4, accuracy: int = 10_000)
 
     No global sort or rank is taken; ``accuracy`` only decides how many values are looked at again.
     A user at a cut point belongs below it, and a user without a price belongs to no segment.
-    Spend per user is used three times, so it is worked out at once and stored.
+    Spend per user is used three times but worked out once: the filter, which every user passes, keeps ``units`` in all three, so that
+    their exchanges are one.
     """
-    spend = stored(user_spend(orders), "user-spend")
+    spend = user_spend(orders).where("units > 0")
     cuts = _spend_cuts(spend, segments, accuracy).scalar()
     above = F.size(F.filter(F.col("cuts"), lambda cut: cut < F.col("spend")))
     segment = F.when(F.col("spend").isNotNull(), above + 1).cast("bigint")
@@ -199,14 +199,22 @@ def orphan_check(name: str, df: DataFrame, column: str, parent: DataFrame) -> Da
     return joined.agg(check.alias("c")).select("c.*")
 
 
-def dq_checks(orders: DataFrame, inventory: DataFrame, mg: DataFrame) -> DataFrame:
-    """All checks over the three tables: ``check_name, table_name, column_name, failed, checked``."""
+def dq_checks(
+    orders: DataFrame, inventory: DataFrame, mg: DataFrame,
+    order_keys: DataFrame | None = None, inventory_keys: DataFrame | None = None,
+) -> DataFrame:
+    """All checks over the three tables: ``check_name, table_name, column_name, failed, checked``.
+
+    Where the tables are joins, ``order_keys`` and ``inventory_keys`` may be cheaper tables with the same rows and key columns.
+    """
+    keys = orders if order_keys is None else order_keys
+    units = inventory if inventory_keys is None else inventory_keys
     parts = [
         row_checks("orders", orders, [("created_at", "shipped_at")]),
         row_checks("inventory", inventory, [("created_at", "sold_at")]),
         row_checks("mg", mg),
-        duplicate_check("orders", orders, ["order_id", "inventory_item_id"]),
+        duplicate_check("orders", keys, ["order_id", "inventory_item_id"]),
         duplicate_check("mg", mg, ["month", "id_user"]),
-        orphan_check("orders", orders, "product_id", inventory),
+        orphan_check("orders", keys, "product_id", units),
     ]
     return reduce(DataFrame.unionByName, parts)

@@ -45,20 +45,19 @@ FREE_SQL = {
     """,
     # Each side is made distinct before the sets meet, so a popular product is one row there too.
     "free_select_sets": """
-        SELECT product_id, 'not returned' AS kind FROM (
-            SELECT DISTINCT product_id FROM {orders} WHERE sale_price > 60000
+        SELECT id, 'not returned' AS kind FROM (
+            SELECT DISTINCT order_id AS id FROM {orders}
             EXCEPT
-            SELECT DISTINCT product_id FROM {orders}
-            WHERE returned_at IS NOT NULL AND sale_price > 60000
+            SELECT DISTINCT order_id AS id FROM {orders} WHERE returned_at IS NOT NULL
         ) AS clean
         UNION ALL
-        SELECT product_id, 'scarce and dear' AS kind FROM (
-            SELECT DISTINCT product_id FROM {orders} WHERE sale_price > 69000
+        SELECT id, 'sold and scarce' AS kind FROM (
+            SELECT DISTINCT product_id AS id FROM {orders}
             INTERSECT
-            SELECT product_id FROM {inventory} GROUP BY product_id
+            SELECT product_id AS id FROM {inventory} GROUP BY product_id
             HAVING SUM(CASE WHEN sold_at IS NULL THEN 1 ELSE 0 END) < 12
         ) AS scarce
-        ORDER BY kind, product_id
+        ORDER BY kind, id
     """,
     "free_select_exists": """
         SELECT o.status AS status, COUNT(*) AS items, COUNT(DISTINCT o.user_id) AS users

@@ -97,19 +97,26 @@ def aliased_csv(spark: SparkSession, folder: str) -> str:
 def messy_orders(spark: SparkSession, folder: str) -> DataFrame:
     """Order items as text, with values that do not fit their column's type."""
     items = warehouse.orders(spark, folder)
-    order, product = F.col("order_id"), F.col("product_id")
-    created = F.col("created_at")
+    order, product, item = F.col("order_id"), F.col("product_id"), F.col("inventory_item_id")
+    created, user = F.col("created_at"), F.col("user_id")
     return items.select(
+        F.when(item % 41 == 0, "item").otherwise(F.concat(F.lit(" "), item.cast("string"), F.lit(" "))).alias("id"),
         F.when(order % 11 == 0, F.concat(order.cast("string"), F.lit(".5")))
         .when(order % 7 == 0, F.concat(order.cast("string"), F.lit(".0")))
         .otherwise(order.cast("string")).alias("order_id"),
-        F.col("user_id").cast("string").alias("user_id"),
-        product.cast("string").alias("product_id"),
+        F.when(user % 43 == 0, F.concat(F.lit("+"), user.cast("string"))).otherwise(user.cast("string")).alias("user_id"),
+        F.when(product % 47 == 0, F.concat(product.cast("string"), F.lit("e0"))).otherwise(product.cast("string")).alias("product_id"),
+        F.concat(item.cast("string"), F.when(item % 31 == 0, F.lit(".50")).otherwise(".00")).alias("inventory_item_id"),
         F.when(product % 29 == 0, "NA").otherwise(F.col("status")).alias("status"),
         F.when(order % 5 == 0, F.date_format(created, "yyyy-MM-dd'T'HH:mm:ss'+05:30'"))
         .when(order % 19 == 0, F.date_format(created, "dd/MM/yyyy"))
         .when(order % 23 == 0, "soon")
         .otherwise(F.date_format(created, ISO)).alias("created_at"),
+        F.when(product % 7 == 0, "later").when(product % 3 == 0, F.date_format("shipped_at", "yyyy/M/d H:mm:ss"))
+        .otherwise(F.date_format("shipped_at", ISO)).alias("shipped_at"),
+        F.when(product % 5 == 0, F.date_format("delivered_at", "MMM d, yyyy"))
+        .otherwise(F.date_format("delivered_at", ISO)).alias("delivered_at"),
+        F.date_format("returned_at", "yyyy-MM-dd HH:mm:ss'+0200'").alias("returned_at"),
         F.when(product % 13 == 0, "n/a")
         .when(product % 17 == 0, "x")
         .otherwise(F.col("sale_price").cast("string")).alias("sale_price"),

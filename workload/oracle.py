@@ -165,7 +165,7 @@ def _manifest_row(table: str, position: int, name: str, dtype: str, chars: int)
         "string": f"MIN(substring({name}, 1, {chars}))",
         "bigint": f"substring(CAST(MIN({name}) AS VARCHAR), 1, {chars})",
         "timestamp_ntz": f"strftime(MIN({name}), '%Y-%m-%d %H:%M:%S')",
-        "double": "CAST(NULL AS VARCHAR)",
+        "double": f"regexp_replace(CAST(TRY_CAST(MIN({name}) AS DECIMAL(38, 6)) AS VARCHAR), '0{{1,5}}$', '')",
     }[dtype]
     return (f"SELECT '{table}' AS table_name, '{name}' AS column_name, "
             f"CAST({position} AS BIGINT) AS position, '{dtype}' AS data_type, "
@@ -189,9 +189,9 @@ _PROFILES = {
 
 # --- loads -------------------------------------------------------------------------------------
 
-_DOCUMENTS = """
-    SELECT doc_id AS product_id, nullif(text, '') AS product_name, source AS product_brand,
-           lang AS product_category FROM documents"""
+_DOCUMENTS = "SELECT " + _declared("inventory", {
+    "product_id": "doc_id", "product_name": "nullif(text, '')", "product_brand": "source", "product_category": "lang",
+}) + " FROM documents"
 
 _LOADS = {
     "load_orders": _with(SHOP_ORDERS, query="SELECT * FROM shop_orders"),
@@ -206,9 +206,9 @@ _LOADS = {
         "shipped_at": "CASE WHEN l_orderkey % 7 <> 0 THEN l_shipdate END",
         "sale_price": "CASE WHEN l_orderkey % 7 <> 0 THEN l_extendedprice END",
     }) + " FROM lineitem WHERE l_orderkey % 5 <> 0",
-    "load_aliases": """
-        SELECT o_orderkey AS order_id, o_custkey AS user_id, o_orderdate AS created_at
-        FROM orders""",
+    "load_aliases": "SELECT " + _declared("orders", {
+        "order_id": "o_orderkey", "user_id": "o_custkey", "created_at": "o_orderdate",
+    }) + " FROM orders",
     "load_report": _with(SHOP_MG, query="""
         SELECT 'orders' AS table_name, FALSE AS missing, FALSE AS latin1,
                FALSE AS multiline, 'skip' AS bad_rows, CAST(5 AS BIGINT) AS cols,
@@ -223,7 +223,12 @@ _LOADS = {
         "SELECT * REPLACE (CAST(NULL AS TIMESTAMP) AS returned_at, "
         "CAST(NULL AS BIGINT) AS inventory_item_id) FROM shop_orders")),
     "coerce_types": _with(SHOP_ORDERS, query="""
-        SELECT CASE WHEN order_id % 11 <> 0 THEN order_id END AS order_id, user_id, product_id,
+        SELECT CASE WHEN inventory_item_id % 41 <> 0 THEN inventory_item_id END AS id,
+               CASE WHEN order_id % 11 <> 0 THEN order_id END AS order_id, user_id, product_id,
+               CASE WHEN inventory_item_id % 31 <> 0 THEN inventory_item_id END AS inventory_item_id,
+               CASE WHEN product_id % 7 <> 0 THEN shipped_at END AS shipped_at,
+               CASE WHEN product_id % 5 <> 0 THEN delivered_at ELSE date_trunc('day', delivered_at) END AS delivered_at,
+               returned_at - INTERVAL '2 hours' AS returned_at,
                CASE WHEN product_id % 29 <> 0 THEN status END AS status,
                CASE WHEN order_id % 5 = 0 THEN created_at - INTERVAL '5 hours 30 minutes'
                     WHEN order_id % 19 = 0 THEN date_trunc('day', created_at)
@@ -234,6 +239,12 @@ _LOADS = {
     "coercion_report": _with(SHOP_ORDERS, query="""
         SELECT 'orders' AS table_name, 'order_id' AS column_name, COUNT(*) AS given,
                COUNT(*) FILTER (WHERE order_id % 11 = 0) AS failed FROM shop_orders
+        UNION ALL SELECT 'orders', 'id', COUNT(*), COUNT(*) FILTER (WHERE inventory_item_id % 41 = 0) FROM shop_orders
+        UNION ALL SELECT 'orders', 'inventory_item_id', COUNT(*), COUNT(*) FILTER (WHERE inventory_item_id % 31 = 0) FROM shop_orders
+        UNION ALL SELECT 'orders', 'shipped_at', COUNT(*) FILTER (WHERE product_id % 7 = 0 OR shipped_at IS NOT NULL),
+            COUNT(*) FILTER (WHERE product_id % 7 = 0) FROM shop_orders
+        UNION ALL SELECT 'orders', 'delivered_at', COUNT(delivered_at), 0 FROM shop_orders
+        UNION ALL SELECT 'orders', 'returned_at', COUNT(returned_at), 0 FROM shop_orders
         UNION ALL SELECT 'orders', 'user_id', COUNT(user_id), 0 FROM shop_orders
         UNION ALL SELECT 'orders', 'product_id', COUNT(product_id), 0 FROM shop_orders
         UNION ALL SELECT 'orders', 'status', COUNT(*) FILTER (WHERE product_id % 29 <> 0), 0

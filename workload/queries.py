@@ -74,7 +74,8 @@ def _orders_by_value(spark: SparkSession, folder: str) -> DataFrame:
 
 def _preview(spark: SparkSession, folder: str) -> DataFrame:
     listing = warehouse.orders(spark, folder)
-    return profile.preview(listing, [desc("created_at"), *then_by_rest(listing, ["created_at"])])
+    keys = [desc("created_at"), *then_by_rest(listing, ["created_at"])]
+    return profile.preview(listing, keys, as_many=warehouse.order_lines(spark, folder))
 
 
 def _payouts(spark: SparkSession, folder: str) -> DataFrame:
@@ -95,11 +96,13 @@ def _asked(question: str) -> Query:
 
 
 def _manifest(spark: SparkSession, folder: str) -> DataFrame:
-    return profile.column_manifest(warehouse.tables(spark, folder), no_sample=(T.DoubleType,))
+    return profile.column_manifest(warehouse.tables(spark, folder))
 
 
 def _table_shapes(spark: SparkSession, folder: str) -> DataFrame:
-    return profile.table_shapes(warehouse.tables(spark, folder))
+    # By the foreign keys of the mapping, each line is one order item and one unit.
+    lines = warehouse.order_lines(spark, folder)
+    return profile.table_shapes(warehouse.tables(spark, folder), {"orders": lines, "inventory": lines})
 
 
 def _load_orders(spark: SparkSession, folder: str) -> DataFrame:
@@ -113,8 +116,7 @@ def _load_inventory(spark: SparkSession, folder: str) -> DataFrame:
 def _load_documents(**options: object) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
         path = inputs.documents_latin1_csv(spark, folder)
-        loaded = csv_tables.load_table(spark, INVENTORY, path, **options).table
-        return loaded.select("product_id", "product_name", "product_brand", "product_category")
+        return csv_tables.load_table(spark, INVENTORY, path, **options).table
 
     return run
 
@@ -134,8 +136,7 @@ def _load_mg_missing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _load_aliases(spark: SparkSession, folder: str) -> DataFrame:
-    loaded = csv_tables.load_table(spark, ORDERS, inputs.aliased_csv(spark, folder)).table
-    return loaded.select("order_id", "user_id", "created_at")
+    return csv_tables.load_table(spark, ORDERS, inputs.aliased_csv(spark, folder)).table
 
 
 def _load_report(spark: SparkSession, folder: str) -> DataFrame:
@@ -187,16 +188,16 @@ def _audit_columns(spark: SparkSession, folder: str) -> DataFrame:
 def _suggest(similarity: str) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
         missing = columns.audit_columns(inputs.sql_log(spark, folder))
-        samples = profile.column_samples(
-            warehouse.tables(spark, folder), no_sample=(T.DoubleType,)
-        )
+        samples = profile.column_samples(warehouse.tables(spark, folder))
         return columns.suggest_columns(missing, samples, similarity)
 
     return run
 
 
 def _dq_checks(spark: SparkSession, folder: str) -> DataFrame:
-    return analyses.dq_checks(**warehouse.tables(spark, folder))
+    return analyses.dq_checks(
+        **warehouse.tables(spark, folder), order_keys=warehouse.order_lines(spark, folder),
+        inventory_keys=warehouse.inventory_units(spark, folder))
 
 
 # An instant within the given order dates.

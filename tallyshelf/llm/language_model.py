@@ -15,10 +15,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyshelf.sources.scratch import stored
+from tallyshelf.sources.scratch import discard, stored
 
 # Pairs and triples of words that occur so often are arcs, whatever the size of the corpus.
 LEAST_COUNT = 2
@@ -26,6 +27,8 @@ DISCOUNT = 0.75
 BLOCK_ROWS = 1024
 # Tokens whose n-grams are made distinct at once.
 CHUNK_TOKENS = 1_000_000
+# What is counted often enough is told to the next readings as so many bits, 16 MB at any size of the corpus; a false bit costs some rows.
+HINT_BITS = 27
 END = b"\n"  # no word holds white space
 _BITS = 32
 SEED = 42
@@ -92,10 +95,29 @@ def gram_keys(h: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return pair, triple, at_pair, at_triple
 
 
-def ngram_rows(rows: DataFrame, learn: bool) -> DataFrame:
-    """``key, context, tail, triple, n``: counts of pairs and triples in the documents to learn from, by chunks; ``context`` is the key of
-    the n-gram without its last, ``tail`` without its first word. Without ``learn`` ``block, key``: those of all documents, by blocks.
+def hints(counted: DataFrame) -> Broadcast:
+    """The low bits of all keys as a bitmap for every task, of a size that does not depend on the corpus."""
+    place = F.col("key").bitwiseAND((1 << HINT_BITS) - 1)
+    pieces = counted.groupBy(F.shiftright(place, 15).alias("piece")).agg(
+        F.bitmap_construct_agg(place.bitwiseAND((1 << 15) - 1)).alias("bits")).collect()
+    bitmap = np.zeros((1 << HINT_BITS - 15, 1 << 12), np.uint8)
+    for piece, bits in pieces:
+        bitmap[piece] = np.frombuffer(bits, np.uint8)
+    return counted.sparkSession.sparkContext.broadcast(bitmap.reshape(-1))
+
+
+def hinted(keys: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+    """Which keys may be among those of the bitmap; none that is goes missing."""
+    place = keys & np.uint64((1 << HINT_BITS) - 1)
+    return (bitmap[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
+def ngram_rows(rows: DataFrame, what: str, hint: Broadcast | None = None) -> DataFrame:
+    """Pairs and triples of words, distinct within chunks of texts: ``count`` gives ``key, n``, the counts in documents to learn from;
+    ``parts`` gives ``key, context, tail, triple`` of the same: ``context`` is the key of the n-gram without its last, ``tail`` without its
+    first word; ``blocks`` gives ``block, key`` of all documents. With ``hint`` those only whose keys it may have.
     """
+    learn = what != "blocks"
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes: dict[bytes, int] = {}
@@ -105,13 +127,17 @@ def ngram_rows(rows: DataFrame, learn: bool) -> DataFrame:
             h = np.array(kept, np.uint64)
             pair, triple, at_pair, at_triple = gram_keys(h, np.repeat(np.arange(len(sizes)), sizes))
             keys, first, n = np.unique(np.concatenate([pair[at_pair], triple[at_triple]]), return_index=True, return_counts=True)
-            if not learn:
+            if hint is not None:
+                may = hinted(keys, hint.value)
+                keys, first, n = keys[may], first[may], n[may]
+            if what == "count":
+                return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["key", "n"])
+            if what == "blocks":
                 return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), now)), pa.array(keys.view(np.int64))], ["block", "key"])
             context = np.concatenate([h[at_pair], pair[at_triple]])[first]
             tail = np.concatenate([h[at_pair + 1], pair[at_triple + 1]])[first]
             columns = [pa.array(x.view(np.int64)) for x in (keys, context, tail)]
-            columns += [pa.array(first >= len(at_pair)), pa.array(n.astype(np.int64))]
-            return pa.RecordBatch.from_arrays(columns, ["key", "context", "tail", "triple", "n"])
+            return pa.RecordBatch.from_arrays([*columns, pa.array(first >= len(at_pair))], ["key", "context", "tail", "triple"])
 
         for batch in batches:
             for block, held, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
@@ -133,8 +159,8 @@ def ngram_rows(rows: DataFrame, learn: bool) -> DataFrame:
         if len(kept) > 1:
             yield flush()
 
-    fields = "key long, context long, tail long, triple boolean, n long" if learn else "block long, key long"
-    return rows.select("block", "held_out", "text").mapInArrow(per_batch, fields)
+    fields = {"count": "key long, n long", "parts": "key long, context long, tail long, triple boolean", "blocks": "block long, key long"}
+    return rows.select("block", "held_out", "text").mapInArrow(per_batch, fields[what])
 
 
 def _weights(grams: DataFrame, totals: DataFrame) -> DataFrame:
@@ -144,11 +170,17 @@ def _weights(grams: DataFrame, totals: DataFrame) -> DataFrame:
     return sums.join(totals, "context").select("context", F.log10(left).alias("weight"))
 
 
-def model(rows: DataFrame, counts: DataFrame, every: int) -> tuple[DataFrame, DataFrame]:
-    """``key, n, weight`` of all pairs and triples that are arcs (a weight if it is a context), and ``word, c, weight`` of all words."""
-    counted = ngram_rows(rows, True).groupBy("key").agg(
-        F.sum("n").alias("n"), *(F.first(c).alias(c) for c in ("context", "tail", "triple"))).where(F.col("n") >= LEAST_COUNT)
-    counted = stored(counted, "grams")
+def model(rows: DataFrame, counts: DataFrame, every: int) -> tuple[DataFrame, DataFrame, Broadcast]:
+    """``key, n, weight`` of all pairs and triples that are arcs (a weight if it is a context), ``word, c, weight`` of all words, and the
+    bitmap of the arcs' keys.
+
+    Most n-grams occur once: only key and count of those are shuffled, the rest is read again for what is left.
+    """
+    often = stored(ngram_rows(rows, "count").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_COUNT), "often")
+    hint = hints(often)
+    parts = ngram_rows(rows, "parts", hint).groupBy("key").agg(*(F.first(c).alias(c) for c in ("context", "tail", "triple")))
+    counted = stored(parts.join(often, "key"), "grams")
+    discard(often)
     words = counts.withColumn("hash", F.xxhash64("word"))
     pairs, triples = counted.where("NOT triple"), counted.where("triple")
     # Every pair within a triple is as frequent as that, so it is there.
@@ -159,7 +191,7 @@ def model(rows: DataFrame, counts: DataFrame, every: int) -> tuple[DataFrame, Da
     of_pairs = _weights(triples.join(lower, "tail"), pairs.select(F.col("key").alias("context"), F.col("n").alias("total")))
     grams = counted.select("key", "n").join(of_pairs.withColumnRenamed("context", "key"), "key", "left")
     words = words.join(of_words.withColumnRenamed("context", "hash"), "hash", "left").select("word", "c", "weight")
-    return grams, words
+    return grams, words, hint
 
 
 @dataclass
@@ -253,17 +285,17 @@ def score(docs: DataFrame) -> DataFrame:
     The base score is that of add-one word frequencies, the score that of the automaton; both are log10 probabilities of the words and
     an end mark. Null and empty texts are the end mark alone. Repeated rows count and are scored each; a missing doc_id counts as the empty
     text in the split; an empty table gives an empty one; other columns are not read. ``docs`` must be read from files: it is read
-    four times, and fails if a block's words are not the same each time. N-grams are told apart by 64-bit hashes.
+    five times, and fails if a block's words are not the same each time. N-grams are told apart by 64-bit hashes.
     """
     rows = blocked(docs)
     found = stored(block_words(rows), "words")
     counts = stored(found.groupBy("word").agg(F.sum("n").alias("c")), "counts")
     tokens, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
     every = tokens + kinds + 1
-    grams, words = model(rows, counts, every)
+    grams, words, hint = model(rows, counts, every)
     own_words = found.select("word", "block").join(words, "word").select(
         F.col("block").alias("at"), "word", F.lit(None).cast("long").alias("key"), F.col("c").alias("n"), "weight")
-    own_grams = ngram_rows(rows, False).join(grams, "key").select(
+    own_grams = ngram_rows(rows, "blocks", hint).join(grams, "key").select(
         F.col("block").alias("at"), F.lit(None).cast("string").alias("word"), "key", "n", "weight")
     known = own_words.union(own_grams)
 

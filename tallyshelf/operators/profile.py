@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -16,8 +17,10 @@ SUGGESTION_SAMPLE_CHARS = 80
 PREVIEW_ROWS = 50
 
 
-def _sample(field: T.StructField, chars: int) -> str:
+def _sample(field: T.StructField, chars: int, no_sample: Collection[type]) -> str:
     """A value that does not depend on row order: the smallest, as text, cut to ``chars``; of doubles to six decimals."""
+    if isinstance(field.dataType, tuple(no_sample)):
+        return "CAST(NULL AS STRING)"
     if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
         text = f"CAST(try_cast(min(`{field.name}`) AS DECIMAL(38,6)) AS STRING)"
         return f"substring(regexp_replace({text}, '0{{1,5}}$', ''), 1, {chars})"
@@ -29,12 +32,12 @@ def _sample(field: T.StructField, chars: int) -> str:
     return f"substring(CAST(min(`{field.name}`) AS STRING), 1, {chars})"
 
 
-def _manifest_of(name: str, df: DataFrame, chars: int) -> DataFrame:
+def _manifest_of(name: str, df: DataFrame, chars: int, no_sample: Collection[type]) -> DataFrame:
     entries = ", ".join(
         f"named_struct('column_name', '{f.name}', 'position', {position}L, "
         f"'data_type', '{f.dataType.simpleString()}', "
         f"'has_nulls', coalesce(bool_or(`{f.name}` IS NULL), FALSE), "
-        f"'sample', {_sample(f, chars)})"
+        f"'sample', {_sample(f, chars, no_sample)})"
         for position, f in enumerate(df.schema.fields, start=1)
     )
     return df.agg(F.expr(f"array({entries})").alias("columns")).select(
@@ -42,9 +45,14 @@ def _manifest_of(name: str, df: DataFrame, chars: int) -> DataFrame:
     )
 
 
-def column_manifest(tables: dict[str, DataFrame], chars: int = MANIFEST_SAMPLE_CHARS) -> DataFrame:
-    """Per table and column: type, whether nulls occur, and a sample. One pass per table."""
-    parts = [_manifest_of(name, df, chars) for name, df in tables.items()]
+def column_manifest(
+    tables: dict[str, DataFrame], chars: int = MANIFEST_SAMPLE_CHARS, no_sample: Collection[type] = ()
+) -> DataFrame:
+    """Per table and column: type, whether nulls occur, and a sample. One pass per table.
+
+    Columns of the ``no_sample`` types get a null sample.
+    """
+    parts = [_manifest_of(name, df, chars, no_sample) for name, df in tables.items()]
     return reduce(DataFrame.unionByName, parts)
 
 

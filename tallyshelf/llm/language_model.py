@@ -90,7 +90,7 @@ def _mixed(left: np.ndarray, right: np.ndarray, order: int) -> np.ndarray:
 def gram_keys(h: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """64-bit keys of the pairs and triples of words with hashes ``h`` in texts ``own``, and where each begins."""
     pair = _mixed(h[:-1], h[1:], 2)
-    triple = _mixed(pair[:-1], h[2:], 3)
+    triple = _mixed(pair[:-1], pair[1:], 3)
     at_pair, at_triple = np.flatnonzero(own[:-1] == own[1:]), np.flatnonzero(own[:-2] == own[2:])
     return pair, triple, at_pair, at_triple
 
@@ -114,8 +114,8 @@ def hinted(keys: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
 
 def ngram_rows(rows: DataFrame, what: str, hint: Broadcast | None = None) -> DataFrame:
     """Pairs and triples of words, distinct within chunks of texts: ``count`` gives ``key, n``, the counts in documents to learn from;
-    ``parts`` gives ``key, context, tail, triple`` of the same: ``context`` is the key of the n-gram without its last, ``tail`` without its
-    first word; ``blocks`` gives ``block, key`` of all documents. With ``hint`` those only whose keys it may have.
+    ``parts`` gives ``context, tail, triple`` of the same, the keys of the n-gram without its last and without its first word, of which its
+    own is made; ``blocks`` gives ``block, key`` of all documents. With ``hint`` those only whose keys it may have.
     """
     learn = what != "blocks"
 
@@ -136,8 +136,8 @@ def ngram_rows(rows: DataFrame, what: str, hint: Broadcast | None = None) -> Dat
                 return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), now)), pa.array(keys.view(np.int64))], ["block", "key"])
             context = np.concatenate([h[at_pair], pair[at_triple]])[first]
             tail = np.concatenate([h[at_pair + 1], pair[at_triple + 1]])[first]
-            columns = [pa.array(x.view(np.int64)) for x in (keys, context, tail)]
-            return pa.RecordBatch.from_arrays([*columns, pa.array(first >= len(at_pair))], ["key", "context", "tail", "triple"])
+            columns = [pa.array(x.view(np.int64)) for x in (context, tail)]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(first >= len(at_pair))], ["context", "tail", "triple"])
 
         for batch in batches:
             for block, held, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
@@ -159,10 +159,23 @@ def ngram_rows(rows: DataFrame, what: str, hint: Broadcast | None = None) -> Dat
         if len(kept) > 1:
             yield flush()
 
-    fields = {"count": "key long, n long", "parts": "key long, context long, tail long, triple boolean", "blocks": "block long, key long"}
+    fields = {"count": "key long, n long", "parts": "context long, tail long, triple boolean", "blocks": "block long, key long"}
     return rows.select("block", "held_out", "text").mapInArrow(per_batch, fields[what])
 
 
+def with_keys(parts: DataFrame) -> DataFrame:
+    """``key, context, tail, triple``: the n-grams' own keys beside their parts."""
+
+    def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            context, tail = (batch.column(k).to_numpy().view(np.uint64) for k in (0, 1))
+            triple = batch.column(2).to_numpy(zero_copy_only=False)
+            keys = np.where(triple, _mixed(context, tail, 3), _mixed(context, tail, 2))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *batch.columns], ["key", "context", "tail", "triple"])
+
+    return parts.mapInArrow(per_batch, "key long, context long, tail long, triple boolean")
+
+
 def _weights(grams: DataFrame, totals: DataFrame) -> DataFrame:
     """``context, weight`` from ``context, n, lower`` of all arcs (``lower``: the shorter context's probability) and ``context, total``."""
     sums = grams.groupBy("context").agg(F.sum(F.col("n") - DISCOUNT).alias("given"), F.sum("lower").alias("taken"))
@@ -178,7 +191,7 @@ def model(rows: DataFrame, counts: DataFrame, every: int) -> tuple[DataFrame, Da
     """
     often = stored(ngram_rows(rows, "count").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_COUNT), "often")
     hint = hints(often)
-    parts = ngram_rows(rows, "parts", hint).groupBy("key").agg(*(F.first(c).alias(c) for c in ("context", "tail", "triple")))
+    parts = with_keys(ngram_rows(rows, "parts", hint).distinct())
     counted = stored(parts.join(often, "key"), "grams")
     discard(often)
     words = counts.withColumn("hash", F.xxhash64("word"))

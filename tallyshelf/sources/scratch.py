@@ -10,6 +10,8 @@ import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Removes a query's shuffle files as soon as the query ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _PLACES: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
@@ -42,11 +44,17 @@ def fresh_path(spark: SparkSession, label: str) -> str:
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared folder and read back, for a result that is used several times.
 
-    Unlike a cache it survives the loss of executors, and its readers start from the files.
+    Unlike a cache it survives the loss of executors, and its readers start from the files. So nothing needs the shuffle files behind it once it
+    is written: they go at once, not when the driver next collects garbage.
     """
-    path = fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
-    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path, before = fresh_path(spark, label), spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    table = spark.read.schema(df.schema).parquet(path)
     _PLACES[table] = path
     return table
 

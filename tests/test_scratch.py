@@ -13,3 +13,13 @@ def test_discard_removes_stored_tables_only(spark):
     assert [os.path.isdir(folder) for folder in folders] == [False, True]
     discard(first)
     assert second.count() == 3
+
+
+def test_stored_tables_leave_the_setting_as_it_was(spark):
+    from tallyshelf.sources import scratch
+
+    before = spark.conf.get(scratch._CLEANUP)
+    table = scratch.stored(spark.range(1000).selectExpr("id % 7 AS k").groupBy("k").count(), "test")
+    assert sorted(map(tuple, table.collect())) == [(k, 1000 // 7 + (k < 1000 % 7)) for k in range(7)]
+    assert spark.conf.get(scratch._CLEANUP) == before
+    scratch.discard(table)

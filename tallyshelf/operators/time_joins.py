@@ -71,6 +71,8 @@ def points_in_intervals(
 
     An interval lies in the at most three buckets of the level whose buckets are as long as itself; a point in one bucket of each level
     that occurs. So a long interval is not cut into many pieces, a pair meets in exactly one bucket, and a popular key is split by time.
+
+    Spark estimates both sides as small as before their rows were multiplied, so it would broadcast millions of rows: they are merged instead.
     """
     names = list(on)
     spans = intervals.where(f"`{start}` < `{end}`").withColumn("level", _level(F.col(start), F.col(end)))
@@ -80,7 +82,7 @@ def points_in_intervals(
     spans = spans.withColumn("bucket", F.explode(covered))
     probes = points.where(F.col(at).isNotNull()).withColumn("level", F.explode(levels))
     probes = probes.withColumn("bucket", bucket(F.col(at), wide))
-    met = probes.join(spans, [*names, "level", "bucket"])
+    met = probes.hint("merge").join(spans, [*names, "level", "bucket"])
     inside = (F.col(start) < F.col(at)) if strict else (F.col(start) <= F.col(at))
     return met.where(inside & (F.col(at) < F.col(end))).drop("level", "bucket")
 

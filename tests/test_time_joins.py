@@ -88,6 +88,18 @@ def test_points_and_overlaps(spark):
     assert sorted((r.a, r.b) for r in both.collect()) == expected and expected
 
 
+def test_multiplied_rows_are_not_broadcast(spark):
+    """A few thousand rows look small enough, whatever they are multiplied by."""
+    points = spark.range(50).select(F.lit(1).alias("k"), F.lit(START).cast("timestamp_ntz").alias("at"))
+    held = spark.createDataFrame([(1, START, START + dt.timedelta(hours=2**n)) for n in range(8)], "k int, s timestamp_ntz, e timestamp_ntz")
+    other = spark.createDataFrame([(1, START, START + dt.timedelta(hours=3))], "k int, s2 timestamp_ntz, e2 timestamp_ntz")
+    for found, rows in ((time_joins.points_in_intervals(points, held, ["k"], "at", "s", "e"), 400),
+                        (time_joins.overlapping(held, other, ["k"], ("s", "e"), ("s2", "e2")), 8)):
+        assert found.count() == rows
+        plan = plan_of(found)
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_long_intervals_lie_in_few_buckets(spark):
     years = spark.createDataFrame([(1, dt.datetime(1990, 1, 1), dt.datetime(2030, 1, 1)), (1, START, START + dt.timedelta(seconds=1))],
                                   "k long, s timestamp_ntz, e timestamp_ntz")

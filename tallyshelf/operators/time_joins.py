@@ -5,6 +5,7 @@ None compares rows pair by pair within a key. Rows of a key are split by time bu
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -12,8 +13,8 @@ from pyspark.sql import functions as F
 
 from tallyshelf.functions.positions import DAY, bucket, seconds
 
-# Seconds of the smallest interval buckets; each level doubles them.
-SMALLEST = 3600
+# Seconds of the smallest interval buckets; each level has buckets four times as long, as a point is multiplied by the levels.
+SMALLEST, LONGER = 3600, 4
 
 
 def asof_join(
@@ -53,13 +54,13 @@ def asof_join(
 
 
 def _level(start: Column, end: Column) -> Column:
-    """The first level whose buckets are as long as the interval."""
+    """The first level whose buckets are at least as long as the interval."""
     length = F.greatest(seconds(end) - seconds(start), F.lit(1))
-    return F.greatest(F.ceil(F.log2(length / SMALLEST)), F.lit(0)).cast("int")
+    return F.greatest(F.ceil(F.log2(length / SMALLEST) / math.log2(LONGER)), F.lit(0)).cast("int")
 
 
 def _width(level: Column) -> Column:
-    return (F.lit(SMALLEST) * F.pow(F.lit(2), level)).cast("bigint")
+    return (F.lit(SMALLEST) * F.pow(F.lit(LONGER), level)).cast("bigint")
 
 
 def points_in_intervals(
@@ -69,14 +70,14 @@ def points_in_intervals(
 
     Besides ``on`` the tables share no column name. Null keys and times, and intervals that end before they begin or at once, meet nothing.
 
-    An interval lies in the at most three buckets of the level whose buckets are as long as itself; a point in one bucket of each level
+    An interval lies in the at most three buckets of the first level whose buckets are as long as itself; a point in one bucket of each level
     that occurs. So a long interval is not cut into many pieces, a pair meets in exactly one bucket, and a popular key is split by time.
 
     Spark estimates both sides as small as before their rows were multiplied, so it would broadcast millions of rows: they are merged instead.
     """
     names = list(on)
     spans = intervals.where(f"`{start}` < `{end}`").withColumn("level", _level(F.col(start), F.col(end)))
-    levels = spans.agg(F.collect_set("level")).scalar()  # some thirty at most
+    levels = spans.agg(F.collect_set("level")).scalar()  # some fifteen at most
     wide = _width(F.col("level"))
     covered = F.sequence(bucket(F.col(start), wide), bucket(F.col(end), wide))
     spans = spans.withColumn("bucket", F.explode(covered))

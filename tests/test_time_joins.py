@@ -109,6 +109,15 @@ def test_long_intervals_lie_in_few_buckets(spark):
     assert all(r[0] <= 2 for r in pieces)
 
 
+def test_a_point_is_multiplied_by_few_levels(spark):
+    """Intervals of an hour to over a hundred years."""
+    lengths = spark.range(21).select(F.timestamp_seconds(F.lit(0)).alias("s"), F.timestamp_seconds(F.lit(3600) * F.pow(F.lit(2), "id")).alias("e"))
+    level = time_joins._level(F.col("s"), F.col("e"))
+    assert lengths.select(level.alias("level")).distinct().count() == 11
+    short = lengths.where(F.unix_seconds("e") > time_joins._width(level))
+    assert short.count() == 0
+
+
 @pytest.mark.parametrize("width", [600, 86_400])
 def test_sessions(spark, width):
     pick = random.Random(4)

@@ -49,6 +49,30 @@ def test_equals_grouping_in_order(spark, rows):
     assert _runs(spark, rows, 3) == _brute(rows)
 
 
+def test_runs_across_arrow_batches(spark):
+    rows = [(p, "FFOF"[d * p % 4] if d % 9 else None, d // 2, d) for p in range(1, 12) for d in range(30)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        assert _runs(spark, rows, 5) == _brute(rows)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_states_of_any_type(spark):
+    rows = [(1, s, START + dt.timedelta(days=d), d) for d, s in enumerate([(1, "a"), (1, "a"), (1, None), None, None, (1, "a")])]
+    table = spark.createDataFrame(rows, "product_id bigint, status struct<x int, y string>, at timestamp_ntz, item bigint")
+    found = state_runs(table, "product_id", "status", "at", "item", 10 * DAY).collect()
+    assert sorted((r.run, None if r.status is None else tuple(r.status), r["items"]) for r in found) == [
+        (1, (1, "a"), 2), (2, (1, None), 1), (3, None, 2), (4, (1, "a"), 1)]
+
+
+def test_the_table_function_takes_whole_batches(spark):
+    """No call per row, and none per key and bucket, of which most hold a row or two."""
+    plan = state_runs(spark.createDataFrame([], SCHEMA), "product_id", "status", "at", "item")._jdf.queryExecution().executedPlan().toString()
+    function = plan[plan.index("ArrowEvalPythonUDTF"):]
+    assert function.splitlines()[0].rstrip().endswith(", 302") and "Sort [key" in function and "bucket" in function.split("Sort [key", 1)[1].splitlines()[0]
+
+
 def test_a_popular_key_is_dealt_by_time(spark):
     table = spark.createDataFrame([], SCHEMA)
     plan = state_runs(table, "product_id", "status", "at", "item")._jdf.queryExecution().executedPlan().toString()

@@ -32,8 +32,14 @@ def asof_join(
     names = list(on)
     full = lambda time: " AND ".join(f"`{c}` IS NOT NULL" for c in (*names, time))
     value = F.struct(*[F.col(c).alias(new) for new, c in take.items()])
+    # A left row carries what its key and time do not say already; where the tables' types differ, they may be widened.
+    said = {c: F.col(f"key{k}") for k, c in enumerate(names) if left.schema[c].dataType == right.schema[c].dataType}
+    if left.schema[left_time].dataType == right.schema[right_time].dataType:
+        said[left_time] = F.col("at")
+    rest = [c for c in left.columns if c not in said]
     here = left.select(
-        *[F.col(c).alias(f"key{k}") for k, c in enumerate(names)], F.col(left_time).alias("at"), F.struct(*left.columns).alias("row"))
+        *[F.col(c).alias(f"key{k}") for k, c in enumerate(names)], F.col(left_time).alias("at"),
+        F.struct(*(rest or [F.lit(True).alias("asks")])).alias("row"))
     keys = [f"key{k}" for k in range(len(names))]
     timed = " AND ".join(f"{c} IS NOT NULL" for c in (*keys, "at"))
     theirs = right.where(full(right_time)).select(
@@ -48,9 +54,10 @@ def asof_join(
     before = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     ends = ends.select(*keys, "bucket", F.last("latest", ignorenulls=True).over(before).alias("before"))
     joined = carried.join(ends.where("before IS NOT NULL"), [*keys, "bucket"], "left")
-    joined = joined.select("row", F.coalesce("found", "before").alias("found"))
-    untimed = here.where(f"NOT ({timed})").select("row", F.lit(None).cast(theirs.schema["value"].dataType).alias("found"))
-    return joined.union(untimed).select("row.*", *[F.col(f"found.{new}").alias(new) for new in take])
+    joined = joined.select(*keys, "at", "row", F.coalesce("found", "before").alias("found"))
+    untimed = here.where(f"NOT ({timed})").withColumn("found", F.lit(None).cast(theirs.schema["value"].dataType))
+    own = [said[c].alias(c) if c in said else F.col(f"row.{c}") for c in left.columns]
+    return joined.union(untimed).select(*own, *[F.col(f"found.{new}").alias(new) for new in take])
 
 
 def _level(start: Column, end: Column) -> Column:

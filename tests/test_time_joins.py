@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -58,6 +59,21 @@ def test_a_popular_key_is_spread_over_its_buckets(spark):
     assert "specifiedwindowframe(RowFrame, unboundedpreceding$(), currentrow$())" in plan
 
 
+def test_asof_join_moves_keys_and_times_once(spark):
+    rows = spark.createDataFrame([(7, 1, START)], "id long, k long, t timestamp_ntz")
+    plan = time_joins.asof_join(rows, rows, ["k"], "t", "t", {"at": "t"})._jdf.queryExecution().analyzed().toString()
+    assert re.findall(r"(?:named_)?struct\((id, id#[^)]*)\) AS row", plan)
+    assert not re.search(r"struct\(id, [^)]*\bk#", plan)
+
+
+def test_asof_join_keeps_the_left_types(spark):
+    left = spark.createDataFrame([(2**24 + 1, dt.date(2024, 3, 10)), (None, None)], "k int, t date")
+    right = spark.createDataFrame([(2**24 + 1, START)], "k long, t timestamp_ntz")
+    found = time_joins.asof_join(left, right, ["k"], "t", "t", {"at": "t"})
+    assert dict(found.dtypes) == {"k": "int", "t": "date", "at": "timestamp_ntz"}
+    assert sorted(map(tuple, found.collect()), key=str) == [(2**24 + 1, dt.date(2024, 3, 10), START), (None, None, None)]
+
+
 def spans(pick, n, hours):
     out = []
     for start in moments(pick, n, hours):

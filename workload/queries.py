@@ -18,7 +18,7 @@ from tallyshelf.plans.free_select import free_select, isolated_session, register
 from tallyshelf.schemas import INVENTORY, MG, ORDERS
 from tallyshelf.sinks import upsert
 from tallyshelf.sources import conform, csv_tables, warehouse
-from tallyshelf.sources.scratch import fresh_path
+from tallyshelf.sources.scratch import fresh_path, stored
 from tallyshelf.streaming import monthly
 from workload import inputs
 from workload.free_sql import FREE_SQL
@@ -228,7 +228,8 @@ def _asof_last_event(spark: SparkSession, folder: str) -> DataFrame:
 
 def _asof_last_price(spark: SparkSession, folder: str) -> DataFrame:
     """Each sold item with the latest price of its product on an earlier day."""
-    items = warehouse.orders(spark, folder).select("inventory_item_id", "product_id", "created_at", "sale_price")
+    # The join reads its tables several times: lines meet their headers once.
+    items = stored(warehouse.orders(spark, folder).select("inventory_item_id", "product_id", "created_at", "sale_price"), "priced")
     prices = items.select("product_id", "created_at", "sale_price")
     taken = {"price_before": "sale_price", "priced_at": "created_at"}
     return time_joins.asof_join(items, prices, ["product_id"], "created_at", "created_at", taken, 90 * 86_400, strict=True)

@@ -5,10 +5,12 @@ from __future__ import annotations
 import datetime as dt
 from collections import Counter
 
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from tallyshelf.sources.scratch import fresh_path
 from tallyshelf.streaming import monthly
+from workload import inputs
 
 SCHEMA = "product_id long, created_at timestamp_ntz"
 
@@ -65,3 +67,19 @@ def test_state_and_watermark_are_in_the_plan(spark):
     arrive(spark, arrivals, [(1, day("2024-01-05"))])
     plan = monthly.daily_units(stream(spark, arrivals))._jdf.queryExecution().logical().toString()
     assert "EventTimeWatermark" in plan and "window" in plan
+
+
+def test_one_task_writes_a_year_but_joins_none(spark, folder, monkeypatch):
+    plans, write = {}, DataFrameWriter.parquet
+
+    def noted(writer, path, *more, **options):
+        plans.setdefault(path, []).append(writer._df._jdf.queryExecution().executedPlan().toString())
+        return write(writer, path, *more, **options)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", noted)
+    path = inputs.arriving_orders(spark, folder)
+    assert len(plans[path]) > 2
+    for plan in plans[path]:
+        assert "Coalesce" not in plan and "Join" not in plan and "SinglePartition" in plan
+    files = spark.read.schema(inputs.ARRIVING).parquet(path).groupBy(F.input_file_name()).count().count()
+    assert files == len(plans[path])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tallyshelf.schemas import MG, ORDERS
 from tallyshelf.sources import warehouse
-from tallyshelf.sources.scratch import fresh_path
+from tallyshelf.sources.scratch import fresh_path, stored
 
 ISO = "yyyy-MM-dd HH:mm:ss"
 
@@ -234,13 +234,14 @@ LATE_EVERY, LATE_BEFORE = 50, 1998
 
 def arriving_orders(spark: SparkSession, folder: str) -> str:
     """A folder to which order items were added year by year; some of the years before 1998 came last."""
-    items = warehouse.orders(spark, folder).select("order_id", "product_id", "created_at")
+    items = stored(warehouse.orders(spark, folder).select("order_id", "product_id", "created_at"), "arriving")
     year = F.year("created_at")
     late = (year < LATE_BEFORE) & (F.col("order_id") % LATE_EVERY == 0)
     path = fresh_path(spark, "arrivals")
     years = [r[0] for r in items.select(year).distinct().orderBy(year).collect() if r[0] is not None]
+    # One file is one batch of the stream. Its one task only writes: joins and filters run in many.
     for arrived in [*((year == y) & ~late for y in years), late]:
-        items.where(arrived).coalesce(1).write.mode("append").parquet(path)
+        items.where(arrived).repartition(1).write.mode("append").parquet(path)
     return path
 
 

@@ -2,8 +2,8 @@
 
 Within a label, vectors go to the shards of their nearest centroids (a hash sample of about one in ``SHARD_ROWS``), overlapping ones. Each
 shard builds a pruned neighbour graph; a vector's lists from all its shards are united. Queries then walk the united graph of every shard
-whose cell can hold a near vector: greedily from the medoid and a row of every other connected part, and on through everything in range.
-Each task audits its recall against brute force on a sample of its queries, searches wider where it is short, and compares all rows where
+whose cell can hold a near vector, unless a few directions tell that no row of it is near: greedily from the medoid and a row of every
+other connected part, and on through everything in range. Each task audits its recall against brute force on a sample of its queries, searches wider where it is short, and compares all rows where
 the widest search is still short. Only verified pairs count.
 """
 
@@ -28,6 +28,8 @@ MARGIN = 0.2 + 1e-9
 DEGREE, CANDIDATES, FAR_CANDIDATES, ALPHA = 16, 48, 16, 1.2
 BEAM, SLACK, QUERIES_AT_ONCE = 24, 0.03, 256
 AUDITED, RECALL = 32, 0.99
+# Directions in which a query is first compared with a shard's rows.
+DIRECTIONS = 16
 
 
 def unit_vectors(table: DataFrame) -> DataFrame:
@@ -145,6 +147,26 @@ def range_search(v: np.ndarray, table: np.ndarray, queries: np.ndarray, starts:
     return np.nonzero(score >= COSINE)
 
 
+def may_link(v: np.ndarray, ids: np.ndarray, queries: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """The places of the queries that can have a cosine of ``COSINE`` or more with a row of ``v`` other than their own.
+
+    Vectors so near are as near in any ``DIRECTIONS`` orthonormal directions, so no query with such a row goes missing; most others do,
+    as their walks would end without a pair.
+    """
+    axes, _ = np.linalg.qr(v[:: -(-len(v) // DIRECTIONS)].T)
+    rows = v @ axes
+    size = (rows * rows).sum(axis=1)
+    there = []
+    for lo in range(0, len(queries), QUERIES_AT_ONCE):
+        own = queries[lo : lo + QUERIES_AT_ONCE] @ axes
+        # Half the squared distance, less half the query's squared length.
+        apart = size / 2 - own @ rows.T
+        near = apart <= ((MARGIN * MARGIN - (own * own).sum(axis=1)) / 2)[:, None]
+        i, j = np.nonzero(near)
+        there.append(lo + np.unique(i[ids[j] != asked[lo + i]]))
+    return np.concatenate([*there, np.zeros(0, np.int64)]).astype(np.int64)
+
+
 def _starts(lists: list[np.ndarray], medoid: int) -> np.ndarray:
     """The medoid, and the first row of every part of the graph that no link joins to the medoid's."""
     part = merge_labels(
@@ -215,19 +237,24 @@ def near_duplicates(table: DataFrame) -> DataFrame:
         if not len(queries) or not len(members):
             return pd.DataFrame({"node": [], "root": [], "links": []})
         ids, v = members["node"].to_numpy(), np.stack(members["v"])
+        own, copies = members["rank"].to_numpy() == 0, members["copies"].to_numpy()
+        asked_ids, at = queries["query"].to_numpy(), np.stack(queries["at"])
+        # A row counts in its primary shard only.
+        some = may_link(v[own], ids[own], at, asked_ids) if own.any() else np.zeros(0, np.int64)
+        if not len(some):
+            return pd.DataFrame({"node": [], "root": [], "links": []})
+        asked_ids = asked_ids[some]
         order = np.argsort(ids)
         lists = []
         for near in members["near"]:
-            at = np.minimum(np.searchsorted(ids[order], near), len(ids) - 1)
-            lists.append(order[at[ids[order][at] == near]])
-        own, copies = members["rank"].to_numpy() == 0, members["copies"].to_numpy()
-        asked_ids = queries["query"].to_numpy()
+            place = np.minimum(np.searchsorted(ids[order], near), len(ids) - 1)
+            lists.append(order[place[ids[order][place] == near]])
         every = np.concatenate([ids, asked_ids])
         names, place = np.unique(every, return_inverse=True)
         label = np.arange(len(names))
         links = np.zeros(len(asked_ids), np.int64)
-        for i, j in _walk(v, lists, np.stack(queries["at"]), ids, asked_ids):
-            good = own[j] & (ids[j] != asked_ids[i])  # a row counts in its primary shard only
+        for i, j in _walk(v, lists, at[some], ids, asked_ids):
+            good = own[j] & (ids[j] != asked_ids[i])
             i, j = i[good], j[good]
             np.add.at(links, i, copies[j])
             label = merge_labels(label, place[len(ids) + i], place[j])

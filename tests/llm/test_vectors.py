@@ -73,3 +73,17 @@ def test_short_audit_compares_all_rows(monkeypatch):
     monkeypatch.setattr(vectors, "range_search", own)
     assert (walked(v, [np.zeros(0, np.int64)] * len(v)) == (v @ v.T >= vectors.COSINE)).all()
     assert vectors.MARGIN >= np.sqrt(2 - 2 * vectors.COSINE)
+
+
+def test_only_queries_that_can_link_walk():
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(600, 64))
+    v = np.concatenate([v, v[:40] + 0.02 * rng.normal(size=(40, 64)), np.repeat(v[:1], 5, axis=0)])
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    ids = np.arange(len(v))
+    near = v @ v.T >= vectors.COSINE
+    np.fill_diagonal(near, False)
+    left = vectors.may_link(v, ids, v, ids)
+    assert set(np.flatnonzero(near.any(axis=1))) <= set(left) and len(left) < 100
+    few = vectors.may_link(v[:3, :4] / np.linalg.norm(v[:3, :4], axis=1)[:, None], ids[:3], np.eye(4), ids[10:14])
+    assert set(few) <= set(range(4))

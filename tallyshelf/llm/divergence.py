@@ -31,6 +31,8 @@ FIRST_PREFIX = 8
 FILTER_BITS = 1 << 24
 # Keys counted in a task before they are passed on, and terms whose fate it remembers.
 HELD_KEYS, KNOWN_TERMS = 700_000, 500_000
+# Bytes of texts put in order by group before their terms are counted, and terms of a group counted before those not asked for go.
+HELD_BYTES, GROUP_TERMS = 16_000_000, 200_000
 # Cells (terms times sources) of one matrix.
 CELLS = 50_000
 # Ends a complete term; no term holds it.
@@ -81,6 +83,24 @@ def texts_of(docs: DataFrame) -> DataFrame:
     return docs.select(empty("lang").alias("lang"), empty("source").alias("source"), empty("text").cast("binary").alias("data"))
 
 
+def by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, ...], list[bytes]]]:
+    """Texts by the columns before them, so that those of one group are counted together while its counts are at hand.
+
+    About ``HELD_BYTES`` are put in order at once; a group comes back with its later texts.
+    """
+    held, size = {}, 0
+    for batch in batches:
+        *names, texts = batch.columns
+        for name, text in zip(zip(*(x.to_pylist() for x in names), strict=True), texts, strict=True):
+            data = text.as_py()
+            held.setdefault(name, []).append(data)
+            size += len(data)
+            if size > HELD_BYTES:
+                yield from held.items()
+                held, size = {}, 0
+    yield from held.items()
+
+
 def prefix_documents(texts: DataFrame, length: int, parents: Survivors | None) -> DataFrame:
     """``lang, prefix, docs``: for each prefix of ``length`` bytes that extends one of the ``parents`` the documents that have it.
 
@@ -99,26 +119,32 @@ def prefix_documents(texts: DataFrame, length: int, parents: Survivors | None) -
                 yield pa.RecordBatch.from_arrays(columns, ["lang", "prefix", "docs"])
             counts.clear()
 
-        for batch in batches:
-            for lang, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        held = 0
+        for (lang,), group in by_group(batches):
+            if lang not in members and parents is not None:
+                members[lang] = Members(parents, lang)
+            for data in group:
                 own: set[bytes] = set()
-                for part in slices(data.as_py(), _BREAK):
+                for part in slices(data, _BREAK):
                     terms = part.translate(_LETTERS).split()
                     if parents is None:
                         own.update({term[:length] for term in terms})
                     else:  # shorter terms were complete at the level before
-                        if lang not in members:
-                            members[lang] = Members(parents, lang)
                         inside, outside, decide = members[lang].inside, members[lang].outside, members[lang].decide
                         long = {term[:length] for term in terms if len(term) >= before}
                         own.update([x for x in long if (p := x[:before]) in inside or (p not in outside and decide(p))])
-                counts.setdefault(lang, Counter()).update(own)
-                if sum(map(len, counts.values())) > HELD_KEYS:
+                counted = counts.setdefault(lang, Counter())
+                held -= len(counted)
+                counted.update(own)
+                held += len(counted)
+                if held > HELD_KEYS:
                     yield from flush()
+                    held = 0
         yield from flush()
 
     found = texts.select("lang", "data").mapInArrow(per_batch, "lang string, prefix binary, docs long")
-    return found.groupBy("lang", "prefix").agg(F.sum("docs").alias("docs"))
+    # Tasks have added up their own: adding again before the exchange would hardly shorten it.
+    return found.repartition("lang", "prefix").groupBy("lang", "prefix").agg(F.sum("docs").alias("docs"))
 
 
 def frequent_terms(texts: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
@@ -137,6 +163,7 @@ def frequent_terms(texts: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
 def occurrences(texts: DataFrame, terms: DataFrame) -> DataFrame:
     """``lang, source, term, n``: how often each of ``terms (lang, term)`` occurs in each source that has it."""
     kept = Survivors(terms.select("lang", F.col("term").cast("binary").alias("prefix")))
+
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         members: dict[str, Members] = {}
         counts: dict[tuple[str, str], Counter[bytes]] = {}
@@ -148,20 +175,29 @@ def occurrences(texts: DataFrame, terms: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "n"])
             counts.clear()
 
-        for batch in batches:
-            for lang, source, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                if lang not in members:
-                    members[lang] = Members(kept, lang)
-                inside, outside, decide = members[lang].inside, members[lang].outside, members[lang].decide
-                own = counts.setdefault((lang, source), Counter())
-                for part in slices(data.as_py(), _BREAK):
-                    own.update([term for term in part.translate(_LETTERS).split() if term in inside or (term not in outside and decide(term))])
-                if sum(map(len, counts.values())) > HELD_KEYS:
-                    yield from flush()
+        held = 0
+        for (lang, source), group in by_group(batches):
+            if lang not in members:
+                members[lang] = Members(kept, lang)
+            inside, outside, decide = members[lang].inside, members[lang].outside, members[lang].decide
+            own, every = counts.setdefault((lang, source), Counter()), Counter()
+            held -= len(own)
+            for data in group:
+                for part in slices(data, _BREAK):
+                    every.update(part.translate(_LETTERS).split())
+                    if len(every) > GROUP_TERMS:
+                        own.update({term: n for term, n in every.items() if term in inside or (term not in outside and decide(term))})
+                        every.clear()
+            own.update({term: n for term, n in every.items() if term in inside or (term not in outside and decide(term))})
+            held += len(own)
+            if held > HELD_KEYS:
+                yield from flush()
+                held = 0
         yield from flush()
 
     found = texts.mapInArrow(per_batch, "lang string, source string, term string, n long")
-    return found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n")).join(terms, ["lang", "term"], "left_semi")
+    found = found.repartition("lang", "source", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
+    return found.join(terms, ["lang", "term"], "left_semi")
 
 
 def share(n: Column, total: Column, terms: Column) -> Column:

@@ -7,6 +7,7 @@ import re
 
 import duckdb
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -161,3 +162,15 @@ def test_slices_keep_all_bytes_and_cut_at_breaks():
     parts = list(slices(data, re.compile(b" "), 100))
     assert b"".join(parts) == data and all(p.startswith(b" ") for p in parts[1:]) and len(parts) > 5
     assert list(slices(b"x" * 300, re.compile(b" "), 100)) == [b"x" * 300] and list(slices(b"", re.compile(b" "))) == [b""]
+
+
+def test_divergence_counts_a_group_at_a_time(monkeypatch):
+    rows = [("en", "a", b"one two"), ("de", "a", b"drei"), ("en", "a", b""), ("en", "b", b"one"), ("en", "a", b"two")]
+    batches = lambda: iter(pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*part, strict=True)], ["lang", "source", "data"])
+                           for part in (rows[:2], rows[2:]))
+    assert list(divergence.by_group(batches())) == [
+        (("en", "a"), [b"one two", b"", b"two"]), (("de", "a"), [b"drei"]), (("en", "b"), [b"one"])]
+    monkeypatch.setattr(divergence, "HELD_BYTES", 8)
+    parts = list(divergence.by_group(batches()))
+    assert len(parts) == 4 and sorted((*name, data) for name, group in parts for data in group) == sorted(rows)
+    assert list(divergence.by_group(iter([]))) == []

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyshelf.llm.components import component_roots
+from tallyshelf.llm.language_model import hinted, hints
 from tallyshelf.llm.texts import unused
 from tallyshelf.sources.scratch import discard, stored
 
@@ -150,6 +151,26 @@ def line_marks(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(per_batch, f"doc_id {kind}, row long, pos int, line long, bands array<long>")
 
 
+def may_be_similar(left: list[str], right: list[str]) -> np.ndarray:
+    """Which pairs of lines, ``CHUNK_LINES`` at most, can be similar; no similar pair goes missing.
+
+    Hashes that one line of a pair has and the other has not are at most as many as such shingles, whichever shingles share a hash.
+    """
+    keys, places = [], 0
+    step = np.uint64(64 - CHUNK_LINES.bit_length())
+    for side, own in enumerate((left, right)):
+        h, count = _shingle_hashes(own)
+        pair = np.repeat(np.arange(len(own), dtype=np.uint64), count)
+        keys.append((pair << step) | (h >> (np.uint64(64) - step) & ~np.uint64(1)) | np.uint64(side))
+        places = places + count
+    keys = np.sort(np.concatenate(keys))
+    keys = keys[np.append(True, keys[1:] != keys[:-1])]
+    both = keys[1:][keys[1:] >> np.uint64(1) == keys[:-1] >> np.uint64(1)]
+    of_pair = lambda keys: np.bincount((keys >> step).astype(np.int64), minlength=len(left))
+    apart = of_pair(keys) - 2 * of_pair(both)
+    return apart * (1 + SIMILARITY) <= places * (1 - SIMILARITY) + 1e-6
+
+
 @lru_cache(4)
 def _shingles(line: str) -> frozenset[str]:
     return frozenset(line[k : k + SHINGLE] for k in range(len(line) - SHINGLE + 1))
@@ -158,13 +179,22 @@ def _shingles(line: str) -> frozenset[str]:
 def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs ``a, b`` of lines whose shingle sets have a Jaccard similarity of ``SIMILARITY`` or more."""
 
+    def similar(one: str, other: str) -> bool:
+        x, y = _shingles(one), _shingles(other)
+        shared = len(x & y)
+        return shared >= SIMILARITY * (len(x) + len(y) - shared)
+
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
-            for left, right in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = _shingles(left.as_py()), _shingles(right.as_py())
-                shared = len(x & y)
-                good.append(shared >= SIMILARITY * (len(x) + len(y) - shared))
+            good, left, right, size = [], [], [], 0
+            for number, (one, other) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+                left.append(one.as_py())
+                right.append(other.as_py())
+                size += len(left[-1]) + len(right[-1])
+                if size > CHUNK_CHARS or len(left) == CHUNK_LINES or number + 1 == len(batch):
+                    may = may_be_similar(left, right).tolist()
+                    good += [can and similar(x, y) for can, x, y in zip(may, left, right, strict=True)]
+                    left, right, size = [], [], 0
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     left = texts.select(F.col("line").alias("a"), F.col("text").alias("left"))
@@ -207,6 +237,37 @@ def _sized(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
 
+def line_texts(docs: DataFrame, lines: DataFrame) -> DataFrame:
+    """``line, text`` of ``lines (line)``; a bitmap of a size that does not depend on the corpus spares most other lines the way to the join."""
+    hint = hints(lines.select(F.col("line").alias("key")))
+
+    def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, own, size = [], [], 0
+
+            def asked() -> pa.RecordBatch:
+                keys = np.array(ids, np.uint64)
+                may = hinted(keys, hint.value)
+                texts = [line for line, there in zip(own, may.tolist(), strict=True) if there]
+                return pa.RecordBatch.from_arrays([pa.array(keys[may].view(np.int64)), pa.array(texts, pa.string())], ["line", "text"])
+
+            for text in batch.column(0):
+                for line in (text.as_py() or "").split("\n"):
+                    line = line.strip(SPACE)
+                    if len(line) >= LEAST_CHARS:
+                        ids.append(xxhash.xxh64_intdigest(line.encode(), SEED))
+                        own.append(line)
+                        size += len(line)
+                if size > CHUNK_CHARS:
+                    yield asked()
+                    ids, own, size = [], [], 0
+            if own:
+                yield asked()
+
+    found = docs.select("text").mapInArrow(per_batch, "line long, text string")
+    return found.join(_sized(lines), "line").groupBy("line").agg(F.min("text").alias("text"))
+
+
 def line_links(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """``a, b``: links that join similar ``lines (line, bands)`` of ``docs`` into the components of all similar pairs in shared bands.
 
@@ -223,9 +284,7 @@ def line_links(docs: DataFrame, lines: DataFrame) -> DataFrame:
     first = stored(first.distinct(), "pairs")
     discard(shared, crowded)
     ids = stored(first.select(F.explode(F.array("a", "b")).alias("line")).distinct(), "compared")
-    pieces = docs.select(F.explode(F.split("text", "\n", -1)).alias("piece")).select(F.btrim("piece", F.lit(SPACE)).alias("text"))
-    pieces = pieces.where(F.length("text") >= LEAST_CHARS).withColumn("line", F.xxhash64("text"))
-    texts = stored(pieces.join(_sized(ids), "line").groupBy("line").agg(F.min("text").alias("text")), "texts")
+    texts = _stored_by_batches(line_texts(docs, ids), "texts")
     discard(ids)
     good = _stored_by_batches(_similar(first, texts), "similar")
     discard(first)

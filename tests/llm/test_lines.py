@@ -122,3 +122,24 @@ def test_pipeline(spark):
         assert r.offset == places.get(r.sequence_id, 0)
         places[r.sequence_id] = r.offset + r.length
     assert max(places.values()) <= 1024
+
+
+def test_pairs_that_cannot_be_similar_are_told_by_hashes():
+    made = near_copies(200) + ["x" * 9, "ab" * 40, "é" * 30 + "日本語" * 9, "y" * 10_000]
+    left, right = made[:100] * 2 + made[200:] * 2, made[100:200] + made[:100] + made[200:] + made[200:][::-1]
+    sets = lambda line: frozenset(line[k : k + 9] for k in range(len(line) - 8))
+    similar = [len(sets(a) & sets(b)) >= 0.8 * len(sets(a) | sets(b)) for a, b in zip(left, right, strict=True)]
+    may = lines.may_be_similar(left, right).tolist()
+    assert all(x >= y for x, y in zip(may, similar, strict=True)) and sum(similar) > 100 and not all(may)
+    assert sum(may) <= sum(similar) + 5
+    pairs = [("abcdefghij" * 5 + str(k), "klmnopqrst" * 5 + str(k)) for k in range(lines.CHUNK_LINES)]
+    assert not lines.may_be_similar(*zip(*pairs, strict=True)).any()
+    assert lines.may_be_similar(*zip(*[(a, a) for a, _ in pairs], strict=True)).all()
+
+
+def test_texts_of_some_lines(spark):
+    docs = spark.createDataFrame([("a long line\n  another line\t\nshort\r\n", ), (None, ), ("",), ("another line\na third line é", )], "text string")
+    own = ["another line", "a third line é", "not a line here"]
+    asked = spark.createDataFrame([(x,) for x in own], "text string").selectExpr("xxhash64(text) AS line")
+    assert sorted(r.text for r in lines.line_texts(docs, asked).collect()) == sorted(own[:2])
+    assert lines.line_texts(docs, asked.limit(0)).count() == 0

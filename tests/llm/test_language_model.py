@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import math
+import random
 import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tallyshelf.llm import language_model as lm
 
@@ -74,3 +77,34 @@ def test_odd_rows(spark, tmp_path):
     assert sorted(r.n_tokens for r in found) == [1, 1, 1, 2, 3, 3, 3]
     assert all(math.isfinite(r.score) for r in found)
     assert lm.score(docs.limit(0)).count() == 0
+
+
+def test_texts_are_read_once(spark):
+    # The words differ at every reading.
+    text = F.udf(lambda k: f"a b w{random.random()} a b").asNondeterministic()
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), text("id").alias("text"))
+    found = lm.score(docs).collect()
+    assert [r.n_tokens for r in found] == [6] * 40
+
+
+def test_rows_that_pass_grow_with_blocks_and_not_with_grams(spark, tmp_path, monkeypatch):
+    made = random.Random(5)
+    texts = [(k, " ".join(made.choices("abcdefghij", k=60))) for k in range(200)]
+    spark.createDataFrame(texts, "doc_id long, text string").coalesce(2).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    at_once = sorted(lm.score(docs).collect())
+    monkeypatch.setattr(lm, "BLOCK_TOKENS", 2000)
+    monkeypatch.setattr(lm, "PART_TOKENS", 3000)
+    blocks = lm.block_tokens(lm.split(docs)).localCheckpoint()
+    assert 5 < blocks.count() < 10
+    for length in (2, 3):
+        assert lm.gram_counts(blocks, length, 3).count() == 3 * blocks.count()
+    in_blocks = sorted(lm.score(docs).collect())
+    assert [r[:5] for r in in_blocks] == [r[:5] for r in at_once]
+    for a, b in zip(at_once, in_blocks, strict=True):
+        assert (b.base_score, b.score) == pytest.approx((a.base_score, a.score), rel=1e-9)
+
+
+def test_packed_numbers_come_back():
+    for numbers in ([], [0], [0, 1, 255], [1 << 63, 3, 1 << 40]):
+        assert lm.unpacked(lm.packed(np.array(numbers, np.uint64))).tolist() == numbers
